@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, warc
+from . import bpe, media, minhash, mixing, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (warc.op3_warc, media.op7_media_columns, bpe.op8_byte_bpe, mixing.op9_mix_sources)}
+    return {f.__name__: f for f in (minhash.op1_minhash_dedup, quality.op10_quality_rules, warc.op3_warc, media.op7_media_columns, bpe.op8_byte_bpe, mixing.op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
