@@ -27,7 +27,7 @@ MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: Steps of a statistic, the share a fit is made of, concentration steps, and the fewest documents of a fit.
 SCALE, H, STEPS, LEAST = 256, 0.75, 4, 60
 #: Standard deviations that a fit never goes below, so that constant statistics reject nothing by a hair.
-FLOORS = (0.15, 0.08, 0.10, 0.10)
+FLOORS = (0.15, 0.05, 0.10, 0.10)
 #: A clean document is rejected once in so many.
 ODDS = 100_000
 SYMBOLS = "#*$%&|<>"
