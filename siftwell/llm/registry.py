@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, minhash, mixing, quality, suffixes, warc
+from . import bpe, lines, media, minhash, mixing, quality, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (minhash.op1_minhash_dedup, quality.op10_quality_rules, warc.op3_warc, suffixes.op6_suffix_dedup, media.op7_media_columns, bpe.op8_byte_bpe, mixing.op9_mix_sources)}
+    return {f.__name__: f for f in (minhash.op1_minhash_dedup, lines.op4_line_dedup, quality.op10_quality_rules, warc.op3_warc, suffixes.op6_suffix_dedup, media.op7_media_columns, bpe.op8_byte_bpe, mixing.op9_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": lines.OP4_SQL}
