@@ -75,12 +75,13 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) > width, _let(_let(hashes, windows), count)).otherwise(F.lit(0).cast("long"))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, the base counts, base_failed, v0..v3)."""
+def statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_row with the carried columns, doc_id, lang, source, the base counts, base_failed, v0..v3)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = _let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("repeats")))
     lines = _let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     rows = docs.select(
+        F.struct(F.lit(0).alias("_"), *carry).alias("_row"),
         "doc_id",
         F.col("lang").cast("string").alias("lang"),
         F.col("source").cast("string").alias("source"),
@@ -89,7 +90,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         lines.cast("long").alias("n_dup_lines"),
     )
-    rows = rows.select("doc_id", "lang", "source", F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_words.repeats").alias("n_repeat_words"))
+    rows = rows.select("_row", "doc_id", "lang", "source", F.col("_words.n").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_words.repeats").alias("n_repeat_words"))
     n, failed = F.greatest(F.col("n_words"), F.lit(1)), (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     vector = [F.log(chars / n), F.sqrt(F.col("n_symbols") / chars), F.sqrt(F.col("n_dup_lines") / n), F.sqrt(F.col("n_repeat_words") / n)]
@@ -152,9 +153,9 @@ def _groups() -> tuple[Column, Column]:
     return tuple(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """(doc_id, base counts, base_failed, distance, kept) for each row."""
-    stats = saved(statistics(docs))
+def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(_row with the carried columns, doc_id, base counts, base_failed, distance, kept) for each row."""
+    stats = saved(statistics(docs, carry))
     fit = fits(stats)
     lang, source = _groups()
     pairs = stats.select(lang.alias("_lang"), source.alias("_source")).distinct()
