@@ -216,7 +216,8 @@ _PLACES = "(SELECT DISTINCT file || ':' || (l_suppkey % 30) AS req_id, file, l_s
 @query(f"""SELECT p.req_id, p.file, p.ln, arg_min(function_name, (end_line - start_line, function_name)) AS function_name, arg_min(start_line, (end_line - start_line, function_name)) AS start_line, arg_min(end_line, (end_line - start_line, function_name)) AS end_line
 FROM {_PLACES} p LEFT JOIN functions_v ON filename = file AND ln BETWEEN start_line AND end_line GROUP BY 1, 2, 3""")
 def current_function(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.current_function(_places(spark, d), V.functions(spark, d))
+    rows = lookups.current_function(_places(spark, d), V.functions(spark, d))
+    return rows.select("req_id", "file", "function_name", *(F.col(c).cast("long").alias(c) for c in ("ln", "start_line", "end_line")))
 
 
 @query(f"""SELECT p.req_id, arg_min(function_name, (end_line - start_line, function_name)) AS function_name FROM {_PLACES} p JOIN functions_v ON filename = file AND ln BETWEEN start_line AND end_line GROUP BY 1""")
@@ -282,18 +283,18 @@ def path_events_code(spark: SparkSession, d: str) -> DataFrame:
   SELECT p.req_id, p.ln, l.ln AS place, contains(l.text, 'th') AS ok FROM {_PLACES} p LEFT JOIN lines_v l ON l.file = p.file AND l.ln BETWEEN greatest(p.ln - 5, 1) AND p.ln + 4) GROUP BY 1, 2""")
 def reanchor(spark: SparkSession, d: str) -> DataFrame:
     wanted = _places(spark, d).select("req_id", F.col("file").alias("fl"), "ln", F.lit(" th ").alias("code"))
-    return lookups.reanchored(wanted, V.source_lines(spark, d)).select("req_id", "ln", "anchor")
+    return lookups.reanchored(wanted, V.source_lines(spark, d)).select("req_id", F.col("ln").cast("long").alias("ln"), F.col("anchor").cast("long").alias("anchor"))
 
 
 @query("""SELECT req_id, path_no, event_no, type, ln FROM events_v JOIN (SELECT req_id, arg_min(path_no, (n, path_no)) AS path_no FROM (SELECT req_id, path_no, count(*) AS n FROM events_v GROUP BY 1, 2) GROUP BY 1) USING (req_id, path_no)""")
 def shortest_path(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.shortest_path(V.with_file(V.path_events(spark, d), spark, d)).select("req_id", "path_no", "event_no", "type", "ln")
+    return lookups.shortest_path(V.with_file(V.path_events(spark, d), spark, d)).select("req_id", "path_no", F.col("event_no").cast("long").alias("event_no"), "type", "ln")
 
 
 @query("""SELECT file, ln, list_filter([5, 20, 60], lambda c: contains(left(text, c), 'var'))[1] AS store_column FROM code_v""")
 def store_column(spark: SparkSession, d: str) -> DataFrame:
     columns = F.array(F.lit(5), F.lit(20), F.lit(60))
-    return V.code_lines(spark, d).select("file", "ln", lookups.store_column(columns, F.col("text"), F.lit("var")).alias("store_column"))
+    return V.code_lines(spark, d).select("file", F.col("ln").cast("long").alias("ln"), lookups.store_column(columns, F.col("text"), F.lit("var")).alias("store_column"))
 
 
 # conclusions
@@ -401,7 +402,7 @@ def tail_after_marker(spark: SparkSession, d: str) -> DataFrame:
   SELECT file, ln, list_filter(regexp_extract_all(text, '([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1), lambda x: x NOT IN ('if', 'while', 'for', 'switch', 'do', 'return', 'break', 'continue', 'goto', 'case', 'default', 'sizeof', 'typeof', '__typeof__', 'static', 'extern', 'auto', 'register', 'volatile', 'const', 'struct', 'union', 'enum', 'typedef')) AS r FROM code_v) WHERE len(r) > 0""")
 def call_names(spark: SparkSession, d: str) -> DataFrame:
     rows = V.code_lines(spark, d).select("file", "ln", T.call_names(F.col("text")).alias("names")).where("size(names) > 0")
-    return rows.select("file", "ln", F.array_join("names", ",").alias("names"))
+    return rows.select("file", F.col("ln").cast("long").alias("ln"), F.array_join("names", ",").alias("names"))
 
 
 @query()
