@@ -131,7 +131,7 @@ WITH u AS (
 )
 SELECT conv_id, turn, id AS call_id,
        CASE WHEN call IS NULL THEN 'orphan_result' WHEN result IS NULL THEN 'missing_result' ELSE 'linked' END AS status,
-       level, CASE WHEN call IS NOT NULL THEN CASE WHEN long THEN 1 ELSE 0 END END AS n_errors,
+       level, CASE WHEN call IS NOT NULL THEN CASE WHEN long THEN 1 ELSE 0 END END::bigint AS n_errors,
        CASE WHEN call IS NOT NULL THEN CASE WHEN long THEN 'text: too long' ELSE '' END END AS errors,
        sha256('{"arguments":' || coalesce(arguments::varchar, 'null') || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"id":' || to_json(id)::varchar || ',"name":' || CASE WHEN call IS NULL THEN 'null' ELSE '"reply"' END || '}') AS message_sha256
 FROM j

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..work import folder as shared_dir
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows handed to a Python worker at once; long texts stay within a worker's memory.
 ARROW_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_dir(df.sparkSession)
