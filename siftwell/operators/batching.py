@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..work import saved
+
 SEPARATOR = "\n\n--- NEXT ALERT ---\n\n"
 
 
@@ -13,12 +15,14 @@ def numbered(rows: DataFrame, key: str, name: str, before: str) -> DataFrame:
     """rows (one per key) with a 1-based number `name` and the sum `before` of `n` over smaller keys.
 
     Rows are range-partitioned by key; sums inside a partition need no other one, and each
-    partition's start comes from one small row per partition. No window spans all rows.
+    partition's start comes from one small row per partition. No window spans all rows. The
+    partitioned rows are written once, since range bounds come from a sample and may differ if
+    they are drawn again.
     """
     parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     placed = rows.repartitionByRange(parts, key).withColumn("_part", F.spark_partition_id())
     within = W.partitionBy("_part").orderBy(key)
-    placed = placed.select("*", F.row_number().over(within).alias("_rank"), (F.sum("n").over(within) - F.col("n")).alias("_before"))
+    placed = saved(placed.select("*", F.row_number().over(within).alias("_rank"), (F.sum("n").over(within) - F.col("n")).alias("_before")))
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_n"), F.min(key).alias("_least"))
     order = W.orderBy("_least")  # one row per partition
     starts = sizes.select("_part", (F.sum("_rows").over(order) - F.col("_rows")).alias("_r0"), (F.sum("_n").over(order) - F.col("_n")).alias("_n0"))

@@ -36,7 +36,7 @@ def query(sql: str | None = None):
 
 @query("SELECT coalesce(category, '*') AS category, count(*) AS n_alerts, count(classification) AS n_classified, count(*) - count(classification) AS n_pending FROM alerts_v GROUP BY GROUPING SETS ((category), ())")
 def alert_stats(spark: SparkSession, d: str) -> DataFrame:
-    return A.stats(V.alerts(spark, d))
+    return A.stats(V.alerts(spark, d, with_paths=False))
 
 
 @query("SELECT alert_id, row_number() OVER (PARTITION BY alert_id ORDER BY pos) - 1 AS pos, role, file, line, col FROM nodes_v")
