@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..work import folder as shared_dir
+from ..work import folder as shared_dir  # noqa: F401
+from ..work import saved  # noqa: F401
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,13 +17,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 ARROW_ROWS = 1000
 
 
-def saved(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of an Arrow batch for this session."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:

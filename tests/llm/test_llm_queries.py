@@ -39,3 +39,17 @@ def test_pipeline_stage_by_stage(spark):
                 ids = EXACT.encode_ordinary(before[r.doc_id])
                 assert bytes(r.ids) == struct.pack(f"<{len(ids)}I", *ids) and r.n_tokens == len(ids)
                 assert r.decoded_sha256 == hashlib.sha256(before[r.doc_id].encode()).hexdigest()
+
+
+def test_pipeline_on_odd_rows_and_clashing_columns(spark):
+    clash = ["size", "kept", "taken", "key", "label", "d", "h", "n", "lines", "drops", "target", "span", "rep", "_row", "_copy"]
+    text = "every word of this text is its own and stays where it was put by hand"
+    rows = [(i, t, lang, source, None) for i, (t, lang, source) in enumerate([(text, "en", "a"), (text, None, None), (None, "en", "a"), ("", None, "a"), (text.upper(), "en", None), ("x " * 50_000, "en", "a")])]
+    rows += [rows[0], (None, text + " twice", "en", "a", 3)]
+    docs = spark.createDataFrame([(*r, *range(len(clash))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in clash))
+    for part in (docs, docs.limit(0)):
+        current, n = part, None
+        for _, stage in corpus_pipeline.STAGES:
+            current = corpus_pipeline.saved(stage(spark, current, SMALL))
+            n = current.count()
+        assert current.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and (n > 0) == (part is docs)
