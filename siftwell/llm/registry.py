@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, lines, media, minhash, mixing, quality, suffixes, warc
+from . import bpe, chat, licenses, lines, media, minhash, mixing, oracles, quality, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,4 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": lines.OP4_SQL, "op5_chat_format": chat.OP5_SQL}
+    return {
+        "op1_minhash_dedup": oracles.OP1,
+        "op3_warc": oracles.OP3,
+        "op4_line_dedup": lines.OP4_SQL,
+        "op5_chat_format": chat.OP5_SQL,
+        "op6_suffix_dedup": oracles.OP6,
+        "op9_mix_sources": oracles.OP9,
+    }
