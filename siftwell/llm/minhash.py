@@ -2,9 +2,10 @@
 
 A document's register j is the smallest of its shingles' j-th hashes, on an exponential scale
 with base B, truncated to 16 bits. Equal sets become one class first. Bands of registers name
-buckets; within a bucket each class is compared with the bucket's smallest one, and once
-components are known, with whatever of another component the bucket still holds. A pair's
-registers give a joint likelihood of its similarity (the sizes of the sets being known); pairs
+buckets; within a bucket each class is compared with the bucket's smallest one. Once components
+are known, classes that share a bucket with another component are compared across components
+wherever a shingle among each one's rarest lets both still reach the threshold, so no bucket's
+pairs are made. A pair's registers give a joint likelihood of its similarity (the sizes of the sets being known); pairs
 that can't reach the threshold go, the rest is checked on the full shingle sets.
 
 Null or wordless texts have no shingles and are linked with nothing. Rows with equal ids count
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import pieces, saved, small_batches
@@ -29,6 +31,8 @@ REGISTERS, BAND, BASE, RATE = 252, 6, 1.001, 20.0
 #: A pair is dropped unseen only if its best similarity is e^15 times as likely as the threshold.
 DOUBT = 15.0
 TEXT_BYTES = 2 << 20
+#: Seeds of the two hashes that name a set.
+NAME_SEED, OTHER_SEED = 0xA5A5A5A5, 0x1234567
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -62,7 +66,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             names = np.zeros((2, len(sizes)), np.uint64)
             sketch: list = [None] * len(sizes)
             if len(full):
-                for k, seed in enumerate((0xA5A5A5A5, 0x1234567)):
+                for k, seed in enumerate((NAME_SEED, OTHER_SEED)):
                     names[k, full] = np.add.reduceat(mix(hashes + np.uint64(seed)), starts)
                 for i, row in zip(full.tolist(), registers(hashes, starts)):
                     sketch[i] = row.tobytes()
@@ -148,7 +152,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
             names = np.zeros(2 * n, np.uint64)
             full = np.flatnonzero(sizes)
             if len(full):
-                names[full] = np.add.reduceat(mix(hashes + np.uint64(0xA5A5A5A5)), cuts[:-1][full])
+                names[full] = np.add.reduceat(mix(hashes + np.uint64(NAME_SEED)), cuts[:-1][full])
             wanted = np.concatenate([batch.column("l_a").to_numpy(), batch.column("l_b").to_numpy()])
             owner = np.repeat(np.arange(2 * n) % n, sizes)
             order = np.lexsort((hashes, owner))
@@ -162,6 +166,49 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     return rows.select("a", "b", "t_a", "t_b", "l_a", "l_b").mapInArrow(run, "a long, b long")
 
 
+def prefixes(open_: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(h, rep, label, n, pos): of each open class (rep, label) the shingles that come first when the rarest go first.
+
+    Two sets that reach the threshold share one of these, whatever the order, if it is the same for all.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(open_.join(classes.select("rep", "low"), "rep"), "rep")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .shingles import mix, shingle_sets
+
+        for batch in pieces(batches, "text", TEXT_BYTES // 4):
+            hashes, cuts = shingle_sets(batch.column("text"), width)
+            sizes = np.diff(cuts)
+            full = np.flatnonzero(sizes)
+            names = np.zeros(len(sizes), np.uint64)
+            names[full] = np.add.reduceat(mix(hashes + np.uint64(NAME_SEED)), cuts[:-1][full]) if len(full) else 0
+            right = names.view(np.int64) == batch.column("low").to_numpy()
+            each = np.repeat(np.arange(len(sizes)), sizes)
+            keep = right[each]
+            rep, label = (batch.column(c).to_numpy()[each][keep] for c in ("rep", "label"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(rep), pa.array(label), pa.array(sizes[each][keep])], ["h", "rep", "label", "n"])
+
+    rows = saved(texts.select("rep", "label", "low", "text").mapInArrow(run, "h long, rep long, label long, n long"))
+    common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    place = F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "h")) - 1
+    rows = rows.join(common, "h", "left").select("h", "rep", "label", "n", place.alias("pos"))
+    return saved(rows.where(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")))
+
+
+def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of different labels that share a prefix shingle and, by its places, may reach the threshold.
+
+    Of the smaller set only the part counts that must meet the larger one's prefix.
+    """
+    first = rows.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
+    one, two = (x.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("rep", "label", "n", "pos"))) for x, c in ((first, "i"), (rows, "p")))
+    smaller = (F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("rep_i") < F.col("rep_p")))
+    most = F.least(F.col("n_i") - F.col("pos_i"), F.col("n_p") - F.col("pos_p"))
+    near = 100 * most >= percent * (F.col("n_i") + F.col("n_p") - most)
+    pairs = one.join(two, (one["h"] == two["h"]) & (F.col("label_i") != F.col("label_p")) & smaller & near)
+    return pairs.select(F.greatest("rep_i", "rep_p").alias("a"), F.least("rep_i", "rep_p").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row; one document of each component is kept."""
     docs = docs.select("doc_id", "text")
@@ -174,12 +221,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     tried = saved(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     links = saved(verified(saved(estimated(tried, classes, percent)), docs, classes, width, percent))
     labels = components(links)
-    # pairs in a bucket that are still apart and that no hub stands in
-    shared = shared.select("key", "rep", "hub").join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", "hub", F.coalesce("label", "rep").alias("label"))
+    # what shares a bucket with another component
+    shared = shared.select("key", "rep").join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
     apart = shared.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    shared = saved(shared.where("rep <> hub").join(apart, "key"))
-    one, two = (shared.select("key", F.col("rep").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab")
-    rest = one.join(two, "key").where("l_a < l_b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    open_ = saved(shared.join(apart, "key").select("rep", "label").distinct())
+    rest = prefix_pairs(prefixes(open_, docs, classes, width, percent), percent).join(tried, ["a", "b"], "left_anti")
     more = saved(verified(saved(estimated(rest, classes, percent)), docs, classes, width, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
