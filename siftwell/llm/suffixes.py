@@ -50,12 +50,6 @@ def _cut(sizes: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray
         yield int(sizes[order[a]]), order[a:b]
 
 
-def _lists(owner: np.ndarray, values: np.ndarray, n: int, kind: pa.DataType = pa.int64()) -> pa.Array:
-    """Values, which are in the order of their owners, as one list for each of n owners."""
-    offsets = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
 def _firsts(*keys: np.ndarray) -> np.ndarray:
     """Where sorted keys change."""
     new = np.zeros(len(keys[0]), bool)
@@ -65,7 +59,7 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def sent_blocks(docs: DataFrame, buckets: int) -> DataFrame:
+def sent_blocks(docs: DataFrame, buckets: int, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """Blocks packed by bucket of their anchor; of equal blocks of a batch only the first, the others as repeats (bucket of their document)."""
     names = ["bucket", "d", "h", "owner", "gram", "body", "span", "repeat"]
 
@@ -98,24 +92,24 @@ def sent_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .shingles import buffers
 
-        for batch in pieces(batches, "text", TEXT_BYTES):
+        for batch in pieces(batches, "text", text_bytes):
             d, h = (batch.column(c).to_numpy() for c in "dh")
             data, offsets = buffers(batch.column("text"))
-            if batch.num_rows > 1 or len(data) <= 2 * TEXT_BYTES:
+            if batch.num_rows > 1 or len(data) <= 2 * text_bytes:
                 yield from rows(d, h, data, offsets, 0)
             else:
-                for a in range(0, len(data), TEXT_BYTES):
-                    part = data[a : a + TEXT_BYTES + LENGTH - 1]
+                for a in range(0, len(data), text_bytes):
+                    part = data[a : a + text_bytes + LENGTH - 1]
                     yield from rows(d, h, part, np.array([0, len(part)]), a)
 
     return docs.select("d", "h", "text").mapInArrow(run, "bucket int, d binary, h binary, owner binary, gram binary, body binary, span binary, repeat boolean")
 
 
-FOUND = "d long, h long, repeats array<long>, spans array<long>, grams array<long>, kinds array<int>"
+FOUND = "d long, h long, span long, gram long, kinds int"
 
 
 def sorted_out(packed: DataFrame) -> DataFrame:
-    """Per document and bucket: spans of repeated blocks; and earliest blocks of anchors that have several kinds, with the number of kinds."""
+    """Spans of repeated blocks; and earliest blocks of anchors that have several kinds, with the anchor and the number of kinds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, done = [], []
@@ -149,20 +143,19 @@ def sorted_out(packed: DataFrame) -> DataFrame:
         kinds_of = np.zeros(m, np.int32)
         kinds_of[order] = kinds
         again = np.concatenate([again, np.arange(m, len(span))])
-        again, open_ = again[np.argsort(owner[again], kind="stable")], open_[np.argsort(owner[open_], kind="stable")]
-        step = 4096
-        cuts = [np.searchsorted(owner[s], np.arange(0, len(d) + step, step)) for s in (again, open_)]
-        for i, lo in enumerate(range(0, len(d), step)):
-            hi = min(lo + step, len(d))
-            x, y = (s[c[i] : c[i + 1]] for s, c in zip((again, open_), cuts))
-            columns = [pa.array(d[lo:hi]), pa.array(h[lo:hi]), _lists(owner[x] - lo, span[x], hi - lo)]
-            columns += [_lists(owner[y] - lo, v[y], hi - lo, k) for v, k in ((span, pa.int64()), (gram.view(np.int64), pa.int64()), (kinds_of, pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
+        members = np.concatenate([again, open_])
+        bare = np.arange(len(members)) < len(again)
+        of = owner[members]
+        gram_of, kind_of = (np.concatenate([np.zeros(len(again), v.dtype), v[open_]]) for v in (gram.view(np.int64), kinds_of))
+        columns = [pa.array(d[of]), pa.array(h[of]), pa.array(span[members]), pa.array(gram_of, mask=bare), pa.array(kind_of, mask=bare)]
+        whole = pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
+        for a in range(0, len(members), 100_000):
+            yield whole.slice(a, 100_000)
 
     return packed.mapInArrow(run, FOUND)
 
 
-def sent_suffixes(texts: DataFrame, buckets: int) -> DataFrame:
+def sent_suffixes(texts: DataFrame, buckets: int, most: int = PART) -> DataFrame:
     """Open blocks as sorted front-coded runs of suffixes from the anchor, with the bytes before it."""
     names = ["bucket", "shared", "sizes", "rests", "left", "ids", "split"]
 
@@ -174,12 +167,12 @@ def sent_suffixes(texts: DataFrame, buckets: int) -> DataFrame:
             for d, h, text, spans, grams, kinds in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "spans", "grams", "kinds"))):
                 for span, gram, n in zip(spans, grams, kinds):
                     at, off, count = span >> 16, span >> 8 & 255, span & 255
-                    part = (at * 7919 + h & 0xFFFFFFFF) % -(-n // PART)
+                    part = (at * 7919 + h & 0xFFFFFFFF) % -(-n // most)
                     right.append(text[at + off : at + count + LENGTH - 1])
                     left.append(text[at : at + off])
                     ids.append((d, h, span, gram))
                     where.append((gram, part))
-                    split.append(n > PART)
+                    split.append(n > most)
             if not right:
                 continue
             keys = np.array(where, np.int64).view(np.uint64)
@@ -259,11 +252,11 @@ def merged(runs: DataFrame) -> DataFrame:
 
 
 def across_parts(strings: DataFrame) -> DataFrame:
-    """(d, h, spans) of strings of split anchors that are not the first of their kind over all parts."""
+    """(d, h, span) of strings of split anchors that are not the first of their kind over all parts."""
     lone = strings.where("key is not null").select("key", "gram", F.struct("d", "h", "place").alias("at"))
     first = lone.groupBy("key", "gram").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("key", "gram", "first")
     later = lone.join(first, ["key", "gram"]).where("at > first")
-    return later.select("at.d", "at.h", F.array(F.shiftleft(F.col("at.place"), 16) + 1).alias("spans"))
+    return later.select("at.d", "at.h", (F.shiftleft(F.col("at.place"), 16) + 1).alias("span"))
 
 
 def removed(texts: DataFrame) -> DataFrame:
@@ -273,7 +266,7 @@ def removed(texts: DataFrame) -> DataFrame:
         for batch in pieces(batches, "text"):
             out = []
             for text, lists in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                spans = np.array([s for part in lists or () for s in part or ()], np.int64)
+                spans = np.array(lists or (), np.int64)
                 start = spans >> 16
                 order = np.argsort(start, kind="stable")
                 start, stop = start[order], np.maximum.accumulate((start + (spans & 255) + LENGTH - 1)[order])
@@ -289,20 +282,20 @@ def removed(texts: DataFrame) -> DataFrame:
     return texts.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, part: int = PART, text_bytes: int = TEXT_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = _documents(docs)
-    found = saved(sorted_out(sent_blocks(docs, buckets).repartition(buckets, "bucket")))
+    found = saved(sorted_out(sent_blocks(docs, buckets, text_bytes).repartition(buckets, "bucket")))
     texts = docs.select("doc_id", "d", "h", F.col("text").cast("binary").alias("text"))
-    open_ = found.where(F.size("spans") > 0).groupBy("d", "h").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "grams", "kinds")))
-    runs = sent_suffixes(texts.join(open_, ["d", "h"]).select("d", "h", "text", "spans", "grams", "kinds"), buckets)
+    open_ = found.where("gram is not null").groupBy("d", "h").agg(F.collect_list(F.struct("span", "gram", "kinds")).alias("open"))
+    open_ = open_.select("d", "h", *(F.col(f"open.{c}").alias(c2) for c, c2 in (("span", "spans"), ("gram", "grams"), ("kinds", "kinds"))))
+    runs = sent_suffixes(texts.join(open_, ["d", "h"]).select("d", "h", "text", "spans", "grams", "kinds"), buckets, part)
     strings = saved(merged(runs.repartition(buckets, "bucket")))
-    spans = found.where(F.size("repeats") > 0).select("d", "h", F.col("repeats").alias("spans"))
-    spans = spans.union(strings.where("span is not null").select("d", "h", F.array("span"))).union(across_parts(strings))
-    spans = spans.groupBy("d", "h").agg(F.collect_list("spans").alias("spans"))
+    spans = found.where("gram is null").select("d", "h", "span").union(strings.where("span is not null").select("d", "h", "span")).union(across_parts(strings))
+    spans = spans.groupBy("d", "h").agg(F.collect_list("span").alias("spans"))
     return removed(texts.join(spans, ["d", "h"], "left"))
 
 
