@@ -71,7 +71,7 @@ def shared_only(rows: DataFrame, key: str, line: str = "a") -> DataFrame:
 
 def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(d, h, ln) of first lines that have an earlier line one edit away."""
-    keys = lines.select("a", F.explode(F.transform(blocks(F.col("line"), F.lit(0).cast("long"), BLOCKS), lambda x: x["key"])).alias("key"))
+    keys = saved(lines.select("a", F.explode(F.transform(blocks(F.col("line"), F.lit(0).cast("long"), BLOCKS), lambda x: x["key"])).alias("key")))
     suspects = shared_only(keys, "key").select("a").distinct().join(firsts, "a").select("a", "first")
     wanted = suspects.groupBy("first.d", "first.h").agg(F.collect_list(F.struct("a", F.col("first.ln").alias("ln"))).alias("wanted"))
     found = docs.join(wanted, ["d", "h"]).select("d", "h", _split(F.col("text")).alias("lines"), "wanted")
