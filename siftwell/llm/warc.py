@@ -162,6 +162,6 @@ def resolved(records: DataFrame) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     root = shared_dir(spark)
-    return resolved(read(write(pages, root), root)).select(
+    return resolved(saved(read(write(pages, root), root))).select(
         F.col("record_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.col("refers_to").cast("long").alias("refers_to")
     )
