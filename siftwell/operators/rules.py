@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import stripped
 from ..schemas import MATCHES, RULE_KINDS, RULE_STATES
 
-#: Who proposes rules, and the optional fields of a rule by how they are written.
-PROPOSER = "FPhandler"
+#: Who proposes rules unless the caller says otherwise.
+PROPOSER = "triage"
+#: The optional fields of a rule by how they are written.
 TEXT_FIELDS = ("effect", "field_path", "pair", "reason")
 NUMBER_FIELDS = ("confidence", "length_arg", "source_arg", "target_arg")
 ARGUMENT_FIELDS = ("target_arg", "source_arg", "length_arg")
@@ -35,14 +36,14 @@ def rule_id(kind: Column, function: Column, match: Column) -> Column:
     return F.concat(F.lit("proposed-"), kind, F.lit("-"), F.substring(F.sha2(canonical_json(fields), 256), 1, 16))
 
 
-def to_rules(candidates: DataFrame) -> DataFrame:
+def to_rules(candidates: DataFrame, proposer: str = PROPOSER) -> DataFrame:
     """Candidates (flat fields, source_alert_id, and columns that order them) as proposed rules; unusable ones are left out."""
     usable = F.col("kind").isin(list(RULE_KINDS)) & (stripped(F.col("function")) != "")
     match = F.when(F.col("match").isin(list(MATCHES)), F.col("match")).otherwise("exact")
     rows = candidates.where(usable).withColumns({"match": match}).withColumn("id", rule_id(F.col("kind"), F.col("function"), F.col("match")))
     whole = {f: F.col(f).try_cast("double").cast("int") for f in ARGUMENT_FIELDS}
     text = {f: F.nullif(F.col(f), F.lit("")) for f in TEXT_FIELDS}
-    return rows.withColumns(whole | text | {"function": stripped(F.col("function")), "confidence": F.col("confidence").try_cast("double"), "status": F.lit("proposed"), "proposed_by": F.lit(PROPOSER)})
+    return rows.withColumns(whole | text | {"function": stripped(F.col("function")), "confidence": F.col("confidence").try_cast("double"), "status": F.lit("proposed"), "proposed_by": F.lit(proposer)})
 
 
 def first_of_each(rules: DataFrame, *order: str) -> DataFrame:
