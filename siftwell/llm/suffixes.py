@@ -32,7 +32,7 @@ from .common import pieces, saved, small_batches
 from .runs import front_code, front_decode, merge
 
 #: Bytes of text handled at once, and kinds of blocks of an anchor in one part.
-TEXT_BYTES, PART = 3 << 20, 4096
+TEXT_BYTES, PART = 2 << 20, 4096
 LAST = (1 << 63) - 1
 
 
