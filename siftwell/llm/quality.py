@@ -3,7 +3,8 @@
 Each document gets a vector of transformed statistics in whole steps of 1/SCALE. For every
 language and source a minimum-covariance-determinant fit is made: from medians and absolute
 deviations, concentration steps move to the mean and covariance of the share H of documents with
-the smallest distances. Documents beyond a chi-square bound by their Mahalanobis distance go.
+the smallest distances: half of them, so that a group of copies of up to half a fit can't take it
+over. Documents beyond a chi-square bound by their Mahalanobis distance go.
 Groups below LEAST documents use the fit of their language, then that of all documents. Sums are
 of whole numbers and cuts are bins of a histogram, so reruns agree to the last bit.
 
@@ -24,8 +25,10 @@ from .common import WORD, saved
 
 #: Base rules: fewest words, and the largest percentage of words in repeated windows of so many words.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Steps of a statistic, the share a fit is made of, concentration steps, and the fewest documents of a fit.
-SCALE, H, STEPS, LEAST = 256, 0.75, 4, 60
+#: Steps of a statistic, the share a fit is made of (the least there is, for the highest breakdown point), concentration steps, and the fewest documents of a fit.
+SCALE, H, STEPS, LEAST = 256, 0.5, 4, 60
+#: A tie bin that takes a fit over its share by more than n / TIES, as copies of one document do, counts with the missing weight only.
+TIES = 16
 #: Standard deviations that a fit never goes below, so that constant statistics reject nothing by a hair.
 FLOORS = (0.15, 0.05, 0.10, 0.10)
 #: A clean document is rejected once in so many.
@@ -139,8 +142,11 @@ def fits(stats: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         near = distance(vectors.join(fit, "g")).select("g", *V, "w", "n", F.floor(BINS * F.log1p("d2")).cast("int").alias("bin"))
         bins = near.groupBy("g", "n", "bin").agg(F.sum("w").alias("w"))
-        cut = bins.select("g", "n", "bin", F.sum("w").over(W.partitionBy("g").orderBy("bin")).alias("upto")).where(F.col("upto") >= F.ceil(F.lit(H) * F.col("n"))).groupBy("g").agg(F.min("bin").alias("cut"))
-        core = near.join(cut, "g").where("bin <= cut")
+        upto = bins.select("g", "bin", "w", "n", F.ceil(F.lit(H) * F.col("n")).alias("h"), F.sum("w").over(W.partitionBy("g").orderBy("bin")).alias("upto"))
+        cut = upto.where("upto >= h").groupBy("g").agg(F.min(F.struct("bin", "w", "upto", "h")).alias("cut"))
+        cut = cut.select("g", F.col("cut.bin").alias("cut"), F.col("cut.w").alias("tied"), F.expr("cut.h - (cut.upto - cut.w)").alias("missing"))
+        over = (F.col("bin") == F.col("cut")) & (TIES * (F.col("tied") - F.col("missing")) > F.col("n"))
+        core = near.join(cut, "g").where("bin <= cut").withColumn("w", F.when(over, F.expr("(w * missing + tied - 1) div tied")).otherwise(F.col("w")))
         sums = core.groupBy("g").agg(F.sum("w").alias("k"), *(F.sum(F.col("w") * F.col(v)).alias(f"s{i}") for i, v in enumerate(V)), *(F.sum(F.col("w") * F.col(V[i]) * F.col(V[j])).alias(f"p{i}{j}") for i, j in PAIRS))
         mean = {i: F.col(f"s{i}") / F.col("k") for i in range(P)}
         cov = {(i, j): grow * (F.col(f"p{i}{j}") / F.col("k") - mean[i] * mean[j]) / SCALE**2 + (F.pow(floor[i], F.lit(2)) if i == j else F.lit(0.0)) for i, j in PAIRS}

@@ -48,6 +48,25 @@ def test_outliers_go_and_clean_documents_stay(make):
     assert not any(got[1000 + i] for i in range(40))
 
 
+def test_a_third_of_copies_goes(make):
+    draw = random.Random(12)
+    junk = " ".join(f"{draw.randrange(10**4, 10**6)}##&&%" for _ in range(60))
+    rows = [(i, clean(draw), "en", f"s{i % 2}") for i in range(400)]
+    rows += [(1000 + i, junk, "en", "s0") for i in range(100)] + [(2000, junk, "en", "s1")] * 100
+    got = quality.judge(make(rows)).collect()
+    assert not any(r.base_failed for r in got) and all(r.kept == (r.doc_id < 1000) for r in got)
+
+
+def test_copies_in_the_tie_bin_count_with_the_missing_weight(spark):
+    noise = np.random.default_rng(1).normal(size=(200, 4)) * np.array([40, 40, 0, 0])
+    rows = np.abs(np.round(np.array([430, 0, 0, 0]) + noise)).astype(int).tolist() + [[430, 105, 0, 0]] * 100
+    stats = spark.createDataFrame([(False, "en", "s", *r) for r in rows], "base_failed boolean, lang string, source string, v0 long, v1 long, v2 long, v3 long")
+    fit = quality.fits(stats).where("g = '0'")
+    copies = spark.createDataFrame([(430, 105, 0, 0)], "v0 long, v1 long, v2 long, v3 long")
+    # with the whole bin their distance is 0.2
+    assert quality.distance(copies.crossJoin(fit)).first().d2 > 5
+
+
 def reference(v, w):
     """The fit in numpy: the same start, steps and cuts."""
     x = np.repeat(v, w, axis=0).astype(float)
