@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import pieces, saved, small_batches
 from .components import components
 
-#: Registers, those of a band, and base and rate of the scale: at a similarity of 0.85 a pair shares no band once in 4e8.
+#: Registers, those of a band, and base and rate of the scale: a pair shares no band once in 4e8 at a similarity of 0.85, once in 350,000 at 0.8.
 REGISTERS, BAND, BASE, RATE = 252, 6, 1.001, 20.0
 #: A pair is dropped unseen only if its best similarity is e^15 times as likely as the threshold.
 DOUBT = 15.0
@@ -191,7 +191,8 @@ def prefixes(open_: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
     rows = saved(texts.select("rep", "label", "low", "text").mapInArrow(run, "h long, rep long, label long, n long"))
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     place = F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "h")) - 1
-    rows = rows.join(common, "h", "left").select("h", "rep", "label", "n", place.alias("pos"))
+    # a repeated row brings its shingles again, which must not push others out of the prefix
+    rows = rows.join(common, "h", "left").dropDuplicates(["h", "rep"]).select("h", "rep", "label", "n", place.alias("pos"))
     return saved(rows.where(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")))
 
 

@@ -71,6 +71,20 @@ def test_components_are_exact(make):
         assert got == brute(rows, width, percent)
 
 
+def test_repeated_rows_lose_no_link_of_a_large_family(make):
+    draw = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+
+    def copy(places):
+        return " ".join(f"new{draw.randrange(10**9)}" if i in places else w for i, w in enumerate(base))
+
+    # smaller ids just below the threshold take the buckets of two rows above it
+    rows = [(i, copy(set(draw.sample(range(5, 295, 5), 9)))) for i in range(30)]
+    rows += [(100, " ".join(base)), (101, copy(set(range(10, 290, 40))))] * 8
+    got = sorted((tuple(r) for r in minhash.near_duplicates(make(rows), 3, 85).collect()), key=str)
+    assert got == brute(rows, 3, 85)
+
+
 def test_likelihood_keeps_what_is_near():
     rng = np.random.default_rng(3)
     for share, least, keeps in ((0.9, 0.85, True), (0.85, 0.85, True), (0.4, 0.85, False)):
