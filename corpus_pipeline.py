@@ -21,8 +21,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier one go."""
-    rows = lines.without_repeated_lines(docs, ("lang", "source"))
+    """Lines that repeat an earlier one go, short ones too."""
+    rows = lines.without_repeated_lines(docs, ("lang", "source"), shortest=1)
     return rows.select("doc_id", "text", "lang", "source", F.char_length("text").cast("long").alias("n_chars"))
 
 

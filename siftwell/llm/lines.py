@@ -1,7 +1,7 @@
 """Line dedup: drops lines that equal an earlier line of the corpus or lie one edit from it.
 
-Only lines of at least LEAST code points that hold a word take part; the rest stays as it is. An
-edit inserts, deletes or replaces one code point. A line goes if an earlier line (by document,
+Only lines that hold a word take part, for equality from a given length on, for an edit from LEAST
+code points on; the rest stays as it is. An edit inserts, deletes or replaces one code point. A line goes if an earlier line (by document,
 then place) is equal or one edit away, whether or not that line itself stays.
 
 The deletion-neighbourhood join is narrowed first. A line is cut into B blocks; an edit lies
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
-#: Code points of the shortest line looked at, and blocks of a line and of a block.
+#: Code points of the shortest line compared with an edit, and blocks of a line and of a block.
 LEAST, BLOCKS, FINER = 16, 3, 8
 LAST = (1 << 63) - 1
 
@@ -87,15 +87,19 @@ def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFram
     return later.where(F.col("first") > earlier).select("first.*").distinct()
 
 
-def without_repeated_lines(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, text, n_lines, n_dropped) for each row, text without the dropped lines."""
+def without_repeated_lines(docs: DataFrame, carry: tuple[str, ...] = (), shortest: int = LEAST) -> DataFrame:
+    """(doc_id, carried columns, text, n_lines, n_dropped) for each row, text without the dropped lines.
+
+    Equal lines go from `shortest` code points on.
+    """
     plain = _identified(docs)
-    lines = plain.select("d", "h", F.posexplode(_split(F.col("text"))).alias("ln", "line")).where((F.char_length("line") >= LEAST) & F.col("line").rlike(WORD))
+    lines = plain.select("d", "h", F.posexplode(_split(F.col("text"))).alias("ln", "line")).where((F.char_length("line") >= min(shortest, LEAST)) & F.col("line").rlike(WORD))
     lines = lines.select("d", "h", "ln", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
     places = lines.select("a", "b", F.struct("d", "h", "ln").alias("at"))
     firsts = saved(places.groupBy("a", "b").agg(F.min("at").alias("first")))
-    again = places.join(firsts, ["a", "b"]).where("at > first").select("at.*")
-    drops = again.union(near_lines(plain, lines, firsts)).groupBy("d", "h").agg(F.collect_list("ln").alias("drops"))
+    again = lines.where(F.char_length("line") >= shortest).select("a", "b", F.struct("d", "h", "ln").alias("at")).join(firsts, ["a", "b"]).where("at > first").select("at.*")
+    near = near_lines(plain, lines.where(F.char_length("line") >= LEAST), firsts)
+    drops = again.union(near).groupBy("d", "h").agg(F.collect_list("ln").alias("drops"))
     rows = docs.select(*(F.col(c).alias(f"_{c}") for c in carry), *_identified_columns()) if carry else plain
     rows = rows.join(drops, ["d", "h"], "left").withColumns({"_lines": _split(F.col("text")), "drops": F.coalesce("drops", F.array().cast("array<int>"))})
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "drops"), lambda i: F.get("_lines", i))

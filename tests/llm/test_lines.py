@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from siftwell.llm import lines
 
 from .conftest import DOCS, ODD
@@ -57,5 +58,14 @@ def test_hot_near_lines(make):
     assert got == {i: want[i, t][1] for i, t in rows}
 
 
+def test_short_equal_lines(make, spark):
+    rows = [(1, "yes\nno\nyes\n\n \n\nmaybe so"), (2, "no\nnot\nmaybe so\n\n \na line that is long enough"), (3, "a line that is long enougH\nnor\nyes\r")]
+    want = {1: "yes\nno\n\n \n\nmaybe so", 2: "not\n\n \na line that is long enough", 3: "nor\nyes\r"}
+    assert {r.doc_id: r.text for r in lines.without_repeated_lines(make(rows), shortest=1).collect()} == want
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make(rows), "").collect()} == want
+    kept = {i: t for i, t in rows} | {3: "nor\nyes\r"}
+    assert {r.doc_id: r.text for r in lines.without_repeated_lines(make(rows)).collect()} == kept
+
+
 def test_empty(spark):
     assert lines.without_repeated_lines(spark.createDataFrame([], DOCS)).count() == 0
