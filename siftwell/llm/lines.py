@@ -1,19 +1,22 @@
 """Line dedup: drops lines that equal an earlier line of the corpus or lie one edit from it.
 
-Only lines that hold a word take part, for equality from a given length on, for an edit from LEAST
-code points on; the rest stays as it is. An edit inserts, deletes or replaces one code point. A line goes if an earlier line (by document,
+Only lines that hold a word take part: for equality from `shortest` code points on, for an edit
+from `near_from` on (in shorter ones an edit changes the meaning); the rest stays as it is. An
+edit inserts, deletes or replaces one code point. A line goes if an earlier line (by document,
 then place) is equal or one edit away, whether or not that line itself stays.
 
-The deletion-neighbourhood join is narrowed first. A line is cut into B blocks; an edit lies
-within one of them, so two lines one edit apart agree on all others: each line emits hashed keys
-of itself without one block. Where different lines share a key, their blocks are cut again in
-the same way, and only what still agrees emits its full neighbourhood: the block without each
-code point, as hashed keys that verify the distance by themselves. Lines with the same key and
-the same place left out differ by one replacement; a line's block that equals another's without
-one code point is one deletion away. Smallest places per key are enough, no pairs are made.
+Equal lines are those of one SHA-256. Of the distinct lines, those that may be near another are
+narrowed first: a line is cut into BLOCKS blocks; an edit lies within one of them, so two lines one
+edit apart agree on all others: each line emits hashed keys of itself without one block. Where
+different lines share a key, their blocks are cut again in the same way, level by level until a
+block is short, and only what still agrees emits its full deletion neighbourhood: the block
+without each code point. Equal variants are joined, smallest places per variant are enough, no
+pairs are made; the edit distance of what is found is then verified on the lines themselves.
 
 Null texts are empty. A null id comes after all others. Rows that repeat an id and its text are
-one document and get the same result. An empty table gives an empty result. DataFrame functions only.
+one document and get the same result. Very long lines cost levels, not the square of their length.
+An empty table gives an empty result. Columns other than those carried are dropped. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -23,14 +26,17 @@ from pyspark.sql import functions as F
 
 from .common import WORD, saved
 
-#: Code points of the shortest line compared with an edit, and blocks of a line and of a block.
-LEAST, BLOCKS, FINER = 16, 3, 8
+#: Code points of the shortest line compared by equality and by an edit.
+SHORTEST, NEAR_FROM = 1, 16
+#: Blocks of a line and of a block, and the width of blocks that aren't cut any further.
+BLOCKS, FINER, SHORT = 3, 8, 24
 LAST = (1 << 63) - 1
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """(d, h, text): d and h tell documents apart and order them."""
-    return docs.select(*_identified_columns())
+def _identified_columns() -> list[Column]:
+    """d and h tell documents apart and order them; and the text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text")]
 
 
 def _split(text: Column) -> Column:
@@ -38,13 +44,13 @@ def _split(text: Column) -> Column:
 
 
 def blocks(text: Column, scope: Column, b: int) -> Column:
-    """Array of (key, block): the hash of the text without the block, and the block."""
+    """Array of (key, width, before, block): the hash of the text without the block, the blocks' width, code points before the block, and the block."""
     n = F.char_length(text)
 
     def one(s: Column, q: Column) -> Column:
         before, after = q * s, (b - 1 - q) * s
         key = F.xxhash64(scope, s, q, text.substr(F.lit(1), before), text.substr(n - after + 1, after))
-        return F.struct(key.alias("key"), text.substr(before + 1, n - before - after).alias("block"))
+        return F.struct(key.alias("key"), s.alias("width"), before.alias("before"), text.substr(before + 1, n - before - after).alias("block"))
 
     widths = F.array_distinct(F.array(F.floor(n / b).cast("int"), F.floor((n - 1) / b).cast("int")))
     return F.flatten(F.transform(widths, lambda s: F.transform(F.sequence(F.lit(0), F.when(s == 0, 0).otherwise(b - 1)), lambda q: one(s, q))))
@@ -54,64 +60,79 @@ def neighbourhood(block: Column, key: Column) -> Column:
     """Array of (variant, role): 0 with one place replaced, 1 the block itself, 2 the block without one place."""
     n = F.char_length(block)
 
+    def variant(*parts: Column) -> Column:
+        return F.unhex(F.sha2(F.concat_ws(":", key.cast("string"), *parts), 256)).alias("variant")
+
     def at(i: Column) -> Column:
         rest = F.concat(block.substr(F.lit(1), i), block.substr(i + 2, n))
-        return F.array(F.struct(F.xxhash64(key, F.lit(0), i, rest).alias("variant"), F.lit(0).alias("role")), F.struct(F.xxhash64(key, F.lit(1), rest).alias("variant"), F.lit(2).alias("role")))
+        return F.array(F.struct(variant(i.cast("string"), rest), F.lit(0).alias("role")), F.struct(variant(F.lit(""), rest), F.lit(2).alias("role")))
 
-    whole = F.array(F.struct(F.xxhash64(key, F.lit(1), block).alias("variant"), F.lit(1).alias("role")))
+    whole = F.array(F.struct(variant(F.lit(""), block), F.lit(1).alias("role")))
     each = F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), at)))
-    return F.concat(whole, F.coalesce(each, F.array().cast("array<struct<variant:bigint,role:int>>")))
+    return F.concat(whole, F.coalesce(each, F.array().cast("array<struct<variant:binary,role:int>>")))
 
 
-def shared_only(rows: DataFrame, key: str, line: str = "a") -> DataFrame:
-    """Rows whose key occurs with different lines."""
-    several = rows.groupBy(key).agg(F.min(line).alias("_lo"), F.max(line).alias("_hi")).where("_lo < _hi").select(key)
+def shared_only(rows: DataFrame, key: str) -> DataFrame:
+    """Rows whose key occurs with different lines (id)."""
+    several = rows.groupBy(key).agg(F.min("id").alias("_lo"), F.max("id").alias("_hi")).where("_lo < _hi").select(key)
     return rows.join(several, key, "left_semi")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(d, h, ln) of first lines that have an earlier line one edit away."""
-    keys = saved(lines.select("a", F.explode(F.transform(blocks(F.col("line"), F.lit(0).cast("long"), BLOCKS), lambda x: x["key"])).alias("key")))
-    suspects = shared_only(keys, "key").select("a").distinct().join(firsts, "a").select("a", "first")
-    wanted = suspects.groupBy("first.d", "first.h").agg(F.collect_list(F.struct("a", F.col("first.ln").alias("ln"))).alias("wanted"))
-    found = docs.join(wanted, ["d", "h"]).select("d", "h", _split(F.col("text")).alias("lines"), "wanted")
-    found = found.select(F.explode(F.transform("wanted", lambda x: F.struct(x["a"].alias("a"), F.struct("d", "h", x["ln"].alias("ln")).alias("first"), F.get("lines", x["ln"]).alias("line")))).alias("x")).select("x.*")
-    found = saved(found)
-    coarse = shared_only(found.select("a", "first", F.explode(blocks(F.col("line"), F.lit(0).cast("long"), BLOCKS)).alias("x")).select("a", "first", "x.*"), "key")
-    fine = shared_only(coarse.select("a", "first", F.explode(blocks(F.col("block"), F.col("key"), FINER)).alias("x")).select("a", "first", "x.*"), "key")
-    variants = fine.select("a", "first", F.explode(neighbourhood(F.col("block"), F.col("key"))).alias("x")).select("a", "first", "x.*")
-    variants = saved(shared_only(variants, "variant"))
-    least = [F.min(F.when(F.col("role") == k, F.col("first"))).alias(f"role{k}") for k in range(3)]
+def cut(rows: DataFrame, text: str, scope: Column, start: Column, b: int) -> DataFrame:
+    """(id, at, key, width, start, block) of the blocks of a column that another line may share all but; start counts from the line's."""
+    pieces = rows.select("id", "at", start.alias("_start"), F.explode(blocks(F.col(text), scope, b)).alias("x"))
+    return shared_only(pieces.select("id", "at", "x.key", "x.width", (F.col("_start") + F.col("x.before")).alias("start"), "x.block"), "key")
+
+
+def one_edit_apart(line: Column, other: Column, start: Column, size: Column, other_size: Column) -> Column:
+    """Whether two lines differ by one edit at most, all of it in the blocks at start; an edit distance of long lines would cost their square."""
+    around = (line.substr(F.lit(1), start) == other.substr(F.lit(1), start)) & (line.substr(start + size + 1, F.char_length(line)) == other.substr(start + other_size + 1, F.char_length(other)))
+    return around & F.levenshtein(line.substr(start + 1, size), other.substr(start + 1, other_size), 1).between(0, 1)
+
+
+def near_lines(firsts: DataFrame) -> DataFrame:
+    """(d, h, ln) of those of the distinct lines (id, at, line) that have an earlier one one edit away."""
+    none, zero = F.lit(0).cast("long"), F.lit(0)
+    keys = saved(firsts.select("id", F.explode(F.transform(blocks(F.col("line"), none, BLOCKS), lambda x: x["key"])).alias("key")))
+    suspects = saved(firsts.join(shared_only(keys, "key").select("id").distinct(), "id"))
+    rows = saved(cut(suspects, "line", none, zero, BLOCKS))
+    short = rows.where(F.col("width") <= SHORT)
+    while (rows := rows.where(F.col("width") > SHORT)).limit(1).count():
+        rows = saved(cut(rows, "block", F.col("key"), F.col("start"), FINER))
+        short = short.union(rows.where(F.col("width") <= SHORT))
+    variants = short.select("id", "at", "start", F.char_length("block").alias("size"), F.explode(neighbourhood(F.col("block"), F.col("key"))).alias("x"))
+    variants = saved(shared_only(variants.select("id", "at", "start", "size", "x.*"), "variant"))
+    least = [F.min(F.when(F.col("role") == k, F.struct("at", "id", "size"))).alias(f"role{k}") for k in range(3)]
     later = variants.join(variants.groupBy("variant").agg(*least), "variant")
     earlier = F.when(F.col("role") == 0, F.col("role0")).when(F.col("role") == 1, F.col("role2")).otherwise(F.col("role1"))
-    return later.where(F.col("first") > earlier).select("first.*").distinct()
+    pairs = later.select("id", "at", "start", "size", earlier.alias("e")).where(F.col("at") > F.col("e.at"))
+    pairs = pairs.select("id", "at", "start", "size", F.col("e.id").alias("other"), F.col("e.size").alias("other_size")).distinct()
+    one, two = suspects.select("id", "line"), suspects.select(F.col("id").alias("other"), F.col("line").alias("line2"))
+    near = one_edit_apart(*map(F.col, ("line", "line2", "start", "size", "other_size")))
+    return pairs.join(one, "id").join(two, "other").where(near).select("at.*").distinct()
 
 
-def without_repeated_lines(docs: DataFrame, carry: tuple[str, ...] = (), shortest: int = LEAST) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, carry: tuple[str, ...] = (), shortest: int = SHORTEST, near_from: int = NEAR_FROM) -> DataFrame:
     """(doc_id, carried columns, text, n_lines, n_dropped) for each row, text without the dropped lines.
 
-    Equal lines go from `shortest` code points on.
+    Lines of `shortest` code points go if they equal an earlier one, those of `near_from` also if they are one edit away.
     """
-    plain = _identified(docs)
-    lines = plain.select("d", "h", F.posexplode(_split(F.col("text"))).alias("ln", "line")).where((F.char_length("line") >= min(shortest, LEAST)) & F.col("line").rlike(WORD))
-    lines = lines.select("d", "h", "ln", "line", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), F.col("line")).alias("b"))
-    places = lines.select("a", "b", F.struct("d", "h", "ln").alias("at"))
-    firsts = saved(places.groupBy("a", "b").agg(F.min("at").alias("first")))
-    again = lines.where(F.char_length("line") >= shortest).select("a", "b", F.struct("d", "h", "ln").alias("at")).join(firsts, ["a", "b"]).where("at > first").select("at.*")
-    near = near_lines(plain, lines.where(F.char_length("line") >= LEAST), firsts)
-    drops = again.union(near).groupBy("d", "h").agg(F.collect_list("ln").alias("drops"))
-    rows = docs.select(*(F.col(c).alias(f"_{c}") for c in carry), *_identified_columns()) if carry else plain
+    plain = docs.select(*_identified_columns())
+    size = F.char_length("line")
+    lines = plain.select("d", "h", F.posexplode(_split(F.col("text"))).alias("ln", "line")).where((size >= min(shortest, near_from)) & F.col("line").rlike(WORD))
+    lines = lines.select("line", F.struct("d", "h", "ln").alias("at"), F.unhex(F.sha2("line", 256)).alias("a"))
+    firsts = lines.groupBy("a").agg(F.min(F.struct("at", "line")).alias("first")).select("a", "first.*", F.monotonically_increasing_id().alias("id"))
+    firsts = saved(firsts)
+    again = lines.where(size >= shortest).select("a", "at").join(firsts.select("a", F.col("at").alias("first")), "a").where("at > first").select("at.*")
+    near = near_lines(firsts.where(size >= near_from).select("id", "at", "line"))
+    drops = again.union(near).groupBy("d", "h").agg(F.collect_set("ln").alias("drops"))
+    rows = docs.select(*(F.col(c).alias(f"_{c}") for c in carry), *_identified_columns())
     rows = rows.join(drops, ["d", "h"], "left").withColumns({"_lines": _split(F.col("text")), "drops": F.coalesce("drops", F.array().cast("array<int>"))})
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "drops"), lambda i: F.get("_lines", i))
     text = F.when(F.size("drops") > 0, F.array_join(kept, "\n")).otherwise(F.col("text"))
     return rows.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), *(F.col(f"_{c}").alias(c) for c in carry), text.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.size("drops").cast("long").alias("n_dropped"))
 
 
-def _identified_columns() -> list[Column]:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text")]
-
-
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -121,11 +142,13 @@ OP4_SQL = r"""
 WITH pieces AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS ln FROM documents
 ), firsts AS (
-  SELECT line, min((doc_id, ln)) AS first FROM pieces WHERE length(line) >= 16 AND regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+  SELECT line, min((doc_id, ln)) AS first FROM pieces WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line
+), long AS (
+  SELECT * FROM firsts WHERE length(line) >= 16
 ), variants AS (
-  SELECT line, first, 1 AS role, hash('d', line) AS variant FROM firsts
-  UNION ALL SELECT line, first, 0, hash('s', i, rest) FROM (SELECT line, first, i, substr(line, 1, i - 1) || substr(line, i + 1) AS rest FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM firsts))
-  UNION ALL SELECT line, first, 2, hash('d', substr(line, 1, i - 1) || substr(line, i + 1)) FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM firsts)
+  SELECT line, first, 1 AS role, hash('d', line) AS variant FROM long
+  UNION ALL SELECT line, first, 0, hash('s', i, rest) FROM (SELECT line, first, i, substr(line, 1, i - 1) || substr(line, i + 1) AS rest FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM long))
+  UNION ALL SELECT line, first, 2, hash('d', substr(line, 1, i - 1) || substr(line, i + 1)) FROM (SELECT line, first, unnest(range(1, length(line) + 1)) AS i FROM long)
 ), least AS (
   SELECT variant, min(first) FILTER (role = 0) AS r0, min(first) FILTER (role = 1) AS r1, min(first) FILTER (role = 2) AS r2 FROM variants GROUP BY variant HAVING count(*) > 1
 ), near AS (

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from siftwell.llm import lines
 
@@ -24,8 +26,8 @@ def brute(rows):
         kept = []
         parts = (t or "").split("\n")
         for line in parts:
-            if len(line) >= 16 and line.strip(" \t\n\r\x0b\x0c"):
-                if not any(distance_at_most_one(line, s) for s in seen):
+            if line.strip(" \t\n\r\x0b\x0c"):
+                if line not in seen and not (len(line) >= 16 and any(len(s) >= 16 and distance_at_most_one(line, s) for s in seen)):
                     kept.append(line)
                 seen.append(line)
             else:
@@ -61,10 +63,27 @@ def test_hot_near_lines(make):
 def test_short_equal_lines(make, spark):
     rows = [(1, "yes\nno\nyes\n\n \n\nmaybe so"), (2, "no\nnot\nmaybe so\n\n \na line that is long enough"), (3, "a line that is long enougH\nnor\nyes\r")]
     want = {1: "yes\nno\n\n \n\nmaybe so", 2: "not\n\n \na line that is long enough", 3: "nor\nyes\r"}
-    assert {r.doc_id: r.text for r in lines.without_repeated_lines(make(rows), shortest=1).collect()} == want
+    assert {r.doc_id: r.text for r in lines.without_repeated_lines(make(rows)).collect()} == want
     assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, make(rows), "").collect()} == want
     kept = {i: t for i, t in rows} | {3: "nor\nyes\r"}
-    assert {r.doc_id: r.text for r in lines.without_repeated_lines(make(rows)).collect()} == kept
+    assert {r.doc_id: r.text for r in lines.without_repeated_lines(make(rows), shortest=16).collect()} == kept
+
+
+def test_very_long_lines(make):
+    draw = random.Random(3)
+    line = "".join(draw.choice("abcdefgh ") for _ in range(1_000_000))
+    rows = [(1, line), (2, line[:700_000] + "X" + line[700_001:]), (3, line[:5] + line[6:]), (4, line[:5] + "X" + line[6:-1])]
+    assert {r.doc_id: r.n_dropped for r in lines.without_repeated_lines(make(rows)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_equal_hashes_do_not_decide(make, monkeypatch):
+    """All keys of the narrowing collide, and all variants of equal role: the comparison of the lines decides."""
+    draw = random.Random(4)
+    pool = ["".join(draw.choice("abc ") for _ in range(20)) for _ in range(12)]
+    rows = [(i, "\n".join(draw.choice(pool)[: draw.choice([20, 19])] for _ in range(3))) for i in range(12)]
+    monkeypatch.setattr(lines.F, "xxhash64", lambda *c: lines.F.length(c[-1]).cast("long") * 0 if len(c) > 1 else F.crc32(c[0]))
+    want = brute(rows)
+    assert {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in lines.without_repeated_lines(make(rows)).collect()} == {i: want[i, t] for i, t in rows}
 
 
 def test_empty(spark):
