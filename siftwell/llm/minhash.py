@@ -1,20 +1,23 @@
 """MinHash near-dedup on SetSketch registers.
 
 A document's register j is the smallest of its shingles' j-th hashes, on an exponential scale
-with base B, truncated to 16 bits. Equal sets become one class first. Bands of registers name
-buckets; within a bucket each class is compared with the bucket's smallest one. Once components
-are known, classes that share a bucket with another component are compared across components
-wherever a shingle among each one's rarest lets both still reach the threshold, so no bucket's
-pairs are made. A pair's registers give a joint likelihood of its similarity (the sizes of the sets being known); pairs
-that can't reach the threshold go, the rest is checked on the full shingle sets.
+with base B, truncated to 16 bits. Equal sets become one class first, by a SHA-256 of the set. Bands
+of registers name buckets; within a bucket each class is compared with the bucket's smallest one.
+Once components are known, classes that share a bucket with another component are compared across
+components wherever a shingle among each one's rarest lets both still reach the threshold, so no
+bucket's pairs are made. A pair's registers give a joint likelihood of its similarity (the sizes of
+the sets being known); pairs that can't reach the threshold go, the rest is checked on the full
+shingle sets, word by word.
 
 Null or wordless texts have no shingles and are linked with nothing. Rows with equal ids count
-as one document. Rows without an id aren't linked. Repeated rows stay. Other columns are dropped.
-An empty table gives an empty result.
+as one document, whatever their texts. Rows without an id aren't linked. Repeated rows stay. Texts
+are handled 2 MB at once, a longer one by itself, in memory of about 100 bytes a word. Other columns
+are dropped. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +34,6 @@ REGISTERS, BAND, BASE, RATE = 252, 6, 1.001, 20.0
 #: A pair is dropped unseen only if its best similarity is e^15 times as likely as the threshold.
 DOUBT = 15.0
 TEXT_BYTES = 2 << 20
-#: Seeds of the two hashes that name a set.
-NAME_SEED, OTHER_SEED = 0xA5A5A5A5, 0x1234567
 
 
 def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -52,28 +53,30 @@ def registers(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n, low, high, sketch): set size, two hashes that name the set, registers."""
+    """(doc_id, text_hash, n, name, sketch): which text, set size, a digest of the set, registers."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import mix, shingle_sets
+        from .shingles import shingle_sets
 
         for batch in pieces(batches, "text", TEXT_BYTES):
             hashes, cuts = shingle_sets(batch.column("text"), width)
             sizes = np.diff(cuts)
             full = np.flatnonzero(sizes)
-            starts = cuts[:-1][full]
-            names = np.zeros((2, len(sizes)), np.uint64)
+            names: list = [None] * len(sizes)
             sketch: list = [None] * len(sizes)
             if len(full):
-                for k, seed in enumerate((NAME_SEED, OTHER_SEED)):
-                    names[k, full] = np.add.reduceat(mix(hashes + np.uint64(seed)), starts)
-                for i, row in zip(full.tolist(), registers(hashes, starts)):
+                for i, row in zip(full.tolist(), registers(hashes, cuts[:-1][full])):
+                    names[i] = hashlib.sha256(hashes[cuts[i] : cuts[i + 1]].tobytes()).digest()
                     sketch[i] = row.tobytes()
-            low, high = (pa.array(x.view(np.int64)) for x in names)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), low, high, pa.array(sketch, pa.binary())], ["doc_id", "n", "low", "high", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "text_hash", "n", "name", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, n long, low long, high long, sketch binary")
+    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, text_hash long, n long, name binary, sketch binary")
+
+
+def _texts(docs: DataFrame, name: str) -> DataFrame:
+    """(id by that name, text_hash, text); the hash tells texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias(name), F.xxhash64("text").alias("text_hash"), "text")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:
@@ -134,36 +137,36 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
+def texts_of(wanted: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The wanted rows (rep, once each) with the text of their class; repeated rows come once."""
+    texts = _texts(docs, "rep").join(wanted.join(classes.select("rep", "text_hash"), "rep"), ["rep", "text_hash"])
+    return texts.groupBy("rep", "text_hash", *(c for c in wanted.columns if c != "rep")).agg(F.any_value("text").alias("text")).drop("text_hash")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "low"), "rep")
-    texts = saved(docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, "rep"))
-    one, two = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"t_{c}"), F.col("low").alias(f"l_{c}")) for c in "ab")
+    """Those of pairs (a, b) whose full shingle sets, compared word by word, reach the threshold."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = saved(texts_of(ids, docs, classes))
+    one, two = (texts.select(F.col("rep").alias(c), F.col("text").alias(f"t_{c}")) for c in "ab")
     rows = pairs.join(one, "a").join(two, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import mix, shingle_sets
+        from .shingles import exact_sets
 
         for batch in pieces(batches, "t_a", TEXT_BYTES // 2):
             n = batch.num_rows
             texts = pa.chunked_array([batch.column("t_a"), batch.column("t_b")]).combine_chunks()
-            hashes, cuts = shingle_sets(texts, width)
+            shingles, cuts = exact_sets(texts, width)
             sizes = np.diff(cuts)
-            names = np.zeros(2 * n, np.uint64)
-            full = np.flatnonzero(sizes)
-            if len(full):
-                names[full] = np.add.reduceat(mix(hashes + np.uint64(NAME_SEED)), cuts[:-1][full])
-            wanted = np.concatenate([batch.column("l_a").to_numpy(), batch.column("l_b").to_numpy()])
             owner = np.repeat(np.arange(2 * n) % n, sizes)
-            order = np.lexsort((hashes, owner))
-            h, o = hashes[order], owner[order]
-            twice = (h[1:] == h[:-1]) & (o[1:] == o[:-1])
+            order = np.lexsort((shingles, owner))
+            x, o = shingles[order], owner[order]
+            twice = (x[1:] == x[:-1]) & (o[1:] == o[:-1])
             inter = np.bincount(o[1:][twice], minlength=n)
             union = sizes[:n] + sizes[n:] - inter
-            right = (names.view(np.int64) == wanted).reshape(2, n).all(axis=0)
-            yield batch.select(["a", "b"]).filter(pa.array(right & (100 * inter >= percent * union) & (union > 0)))
+            yield batch.select(["a", "b"]).filter(pa.array((100 * inter >= percent * union) & (union > 0)))
 
-    return rows.select("a", "b", "t_a", "t_b", "l_a", "l_b").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "t_a", "t_b").mapInArrow(run, "a long, b long")
 
 
 def prefixes(open_: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
@@ -171,28 +174,22 @@ def prefixes(open_: DataFrame, docs: DataFrame, classes: DataFrame, width: int,
 
     Two sets that reach the threshold share one of these, whatever the order, if it is the same for all.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(open_.join(classes.select("rep", "low"), "rep"), "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import mix, shingle_sets
+        from .shingles import shingle_sets
 
         for batch in pieces(batches, "text", TEXT_BYTES // 4):
             hashes, cuts = shingle_sets(batch.column("text"), width)
             sizes = np.diff(cuts)
-            full = np.flatnonzero(sizes)
-            names = np.zeros(len(sizes), np.uint64)
-            names[full] = np.add.reduceat(mix(hashes + np.uint64(NAME_SEED)), cuts[:-1][full]) if len(full) else 0
-            right = names.view(np.int64) == batch.column("low").to_numpy()
             each = np.repeat(np.arange(len(sizes)), sizes)
-            keep = right[each]
-            rep, label = (batch.column(c).to_numpy()[each][keep] for c in ("rep", "label"))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep].view(np.int64)), pa.array(rep), pa.array(label), pa.array(sizes[each][keep])], ["h", "rep", "label", "n"])
+            rep, label = (batch.column(c).to_numpy()[each] for c in ("rep", "label"))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(rep), pa.array(label), pa.array(sizes[each])], ["h", "rep", "label", "n"])
 
-    rows = saved(texts.select("rep", "label", "low", "text").mapInArrow(run, "h long, rep long, label long, n long"))
+    texts = texts_of(open_, docs, classes).select("rep", "label", "text")
+    rows = saved(texts.mapInArrow(run, "h long, rep long, label long, n long"))
     common = rows.groupBy("h").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     place = F.row_number().over(W.partitionBy("rep").orderBy(F.coalesce("often", F.lit(1)), "h")) - 1
-    # a repeated row brings its shingles again, which must not push others out of the prefix
-    rows = rows.join(common, "h", "left").dropDuplicates(["h", "rep"]).select("h", "rep", "label", "n", place.alias("pos"))
+    rows = rows.join(common, "h", "left").select("h", "rep", "label", "n", place.alias("pos"))
     return saved(rows.where(100 * (F.col("n") - F.col("pos")) >= percent * F.col("n")))
 
 
@@ -201,6 +198,8 @@ def prefix_pairs(rows: DataFrame, percent: int) -> DataFrame:
 
     Of the smaller set only the part counts that must meet the larger one's prefix.
     """
+    mixed = rows.groupBy("h").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo < _hi").select("h")
+    rows = saved(rows.join(mixed, "h", "left_semi"))
     first = rows.where((100 + percent) * (F.col("n") - F.col("pos")) >= 2 * percent * F.col("n"))
     one, two = (x.select("h", *(F.col(k).alias(f"{k}_{c}") for k in ("rep", "label", "n", "pos"))) for x, c in ((first, "i"), (rows, "p")))
     smaller = (F.col("n_i") < F.col("n_p")) | ((F.col("n_i") == F.col("n_p")) & (F.col("rep_i") < F.col("rep_p")))
@@ -214,13 +213,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """(doc_id, n_shingles, component_id, kept) for each row; one document of each component is kept."""
     docs = docs.select("doc_id", "text")
     drawn = saved(sketches(docs, width))
-    classes = drawn.where("n > 0 and doc_id is not null").groupBy("low", "high").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
-    classes = saved(classes)
+    classes = drawn.where("n > 0 and doc_id is not null").groupBy("name").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    # an id with several texts may stand for several classes: both its texts are compared then
+    classes = saved(classes.select("name", F.col("first.doc_id").alias("rep"), F.col("first.text_hash").alias("text_hash"), "n", "sketch"))
     keys = band_keys(classes)
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub < last").select("key", "hub")
     shared = saved(keys.join(hubs, "key"))
     tried = saved(shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
     links = saved(verified(saved(estimated(tried, classes, percent)), docs, classes, width, percent))
+    # an id with several texts links their classes
+    own = drawn.where("n > 0 and doc_id is not null").join(classes.select("name", "rep"), "name").groupBy("doc_id").agg(F.min("rep").alias("b"), F.collect_set("rep").alias("reps"))
+    own = own.where("size(reps) > 1").select(F.explode("reps").alias("a"), "b").where("a <> b")
+    links = saved(links.union(own))
     labels = components(links)
     # what shares a bucket with another component
     shared = shared.select("key", "rep").join(labels, shared["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
@@ -230,7 +234,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     more = saved(verified(saved(estimated(rest, classes, percent)), docs, classes, width, percent))
     if more.limit(1).count():
         labels = components(links.union(more))
-    members = drawn.join(classes.select("low", "high", "rep"), ["low", "high"], "left")
+    members = drawn.join(classes.select("name", "rep"), "name", "left")
     members = members.join(labels, members["rep"] == labels["node"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("label", "rep")).otherwise(F.col("doc_id"))
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -1,12 +1,13 @@
-"""Word shingles of whole texts as 64-bit hashes, for many texts at once.
+"""Word shingles of whole texts, for many texts at once.
 
-Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A word's hash is a
-polynomial over its bytes, taken from prefix sums over the whole batch, then mixed; a shingle's
-hash mixes those of its words.
+Words are runs of bytes other than ASCII white space, with A-Z lower-cased. A batch's distinct words
+are looked up by content and each is named by 64 bits of a cryptographic hash; a shingle's hash
+mixes those of its words in order. For comparisons within a batch, shingles get exact numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +33,9 @@ def stream(n: int, seed: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _letters() -> tuple[np.ndarray, np.ndarray]:
-    codes = stream(256, 7)
-    codes[65:91] = codes[97:123]
+    """Lower case of each byte, and whether it is white space."""
+    codes = np.arange(256, dtype=np.uint8)
+    codes[65:91] += 32
     space = np.zeros(256, bool)
     space[[9, 10, 11, 12, 13, 32]] = True
     return codes, space
@@ -61,11 +63,11 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of each word, in order."""
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(code, distinct words that the codes name, text) of all words in order."""
     if not len(data):
-        return np.zeros(0, _U), np.zeros(0, np.int64)
-    codes, space = _letters()
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    lower, space = _letters()
     blank = space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -75,37 +77,60 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[-1], after[:-1] = True, blank[1:]
     starts = np.flatnonzero(~blank & (before | edge[:-1]))
     ends = np.flatnonzero(~blank & (after | edge[1:])) + 1
-    up, down = powers(len(data))
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(codes[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
-    return hashes, np.searchsorted(offsets, starts, "right") - 1
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(lower[data[~blank]])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, np.searchsorted(offsets, starts, "right") - 1
 
 
-def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles of each text: (hashes, where each text's begin). Fewer words than width: all of them as one."""
-    data, offsets = buffers(texts)
-    words, of = word_hashes(data, offsets)
-    n_texts = len(offsets) - 1
+def _runs(of: np.ndarray, n_texts: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where shingles of `width` words begin; texts with fewer words; where each text's words begin."""
     counts = np.bincount(of, minlength=n_texts)
-    first = np.cumsum(counts) - counts
-    odd = stream(width, 99)
-    n = len(words)
-    inside = max(n - width + 1, 0)
-    total = np.zeros(inside, _U)
+    inside = max(len(of) - width + 1, 0)
+    whole = np.flatnonzero(of[:inside] == of[width - 1 : width - 1 + inside])
+    return whole, np.flatnonzero((counts > 0) & (counts < width)), np.append(np.cumsum(counts) - counts, len(of))
+
+
+def _columns(words: np.ndarray, of: np.ndarray, n_texts: int, width: int, nothing: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The words of each shingle, one array per place, and its text. Fewer words than width: all of them as one, `nothing` in place of the rest."""
+    whole, short, first = _runs(of, n_texts, width)
+    columns = []
     for k in range(width):
-        total += words[k : k + inside] * odd[k]
-    whole = np.flatnonzero(of[:inside] == of[width - 1 : width - 1 + inside]) if inside else np.zeros(0, np.int64)
-    short = np.flatnonzero((counts > 0) & (counts < width))
-    lone = np.zeros(len(short), _U)
-    for k in range(width - 1):
-        there = counts[short] > k
-        lone[there] += words[first[short[there]] + k] * odd[k]
-    hashes = np.concatenate([mix(total[whole]), mix(lone + _U(_INVERSE))])
-    owner = np.concatenate([of[whole], short])
-    order = np.lexsort((hashes, owner))
-    hashes, owner = hashes[order], owner[order]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
-    hashes, owner = hashes[new], owner[new]
-    return hashes, np.searchsorted(owner, np.arange(n_texts + 1))
+        there = first[short] + k < first[short + 1]
+        lone = np.full(len(short), nothing, words.dtype)
+        lone[there] = words[first[short[there]] + k]
+        columns.append(np.concatenate([words[whole + k], lone]))
+    return columns, np.concatenate([of[whole], short])
+
+
+def _sets(shingles: np.ndarray, owner: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text in order, and where each text's begin."""
+    order = np.lexsort((shingles, owner))
+    shingles, owner = shingles[order], owner[order]
+    new = np.ones(len(shingles), bool)
+    new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
+    shingles, owner = shingles[new], owner[new]
+    return shingles, np.searchsorted(owner, np.arange(n_texts + 1))
+
+
+def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of each text: (hashes, where each text's begin)."""
+    data, offsets = buffers(texts)
+    codes, distinct, of = words_of(data, offsets)
+    names = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=8).digest() for w in distinct.to_pylist()), _U) | _U(1)
+    columns, owner = _columns(names[codes], of, len(offsets) - 1, width, 0)
+    total = np.zeros(len(owner), _U)
+    for column, odd in zip(columns, stream(width, 99)):
+        total = mix(total + column * odd)
+    return _sets(total, owner, len(offsets) - 1)
+
+
+def exact_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As shingle_sets, but numbers in place of hashes: equal within this batch only for equal words in order."""
+    data, offsets = buffers(texts)
+    codes, distinct, of = words_of(data, offsets)
+    columns, owner = _columns(codes + 1, of, len(offsets) - 1, width, 0)
+    total = columns[0]
+    for column in columns[1:]:
+        total = np.unique(total * (len(distinct) + 1) + column, return_inverse=True)[1]
+    return _sets(total, owner, len(offsets) - 1)

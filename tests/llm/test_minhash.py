@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from siftwell.llm import minhash
 from siftwell.llm.components import components
-from siftwell.llm.shingles import shingle_sets
+from siftwell.llm.shingles import exact_sets, shingle_sets
 
 from .conftest import DOCS, ODD
 
@@ -49,6 +49,7 @@ def test_shingle_sets_count_like_python():
     texts = ["".join(draw.choice("aB é\t\n\x1c\x0b x") for _ in range(draw.randint(0, 60))) for _ in range(500)] + [None, "", " ", "one", "one two"]
     for width in (1, 3, 5):
         _, cuts = shingle_sets(pa.array(texts), width)
+        assert cuts.tolist() == exact_sets(pa.array(texts), width)[1].tolist()
         assert np.diff(cuts).tolist() == [len(shingles(t, width)) for t in texts]
         _, cuts = shingle_sets(pa.array(["zz", *texts]).slice(1), width)
         assert np.diff(cuts).tolist() == [len(shingles(t, width)) for t in texts]
@@ -85,6 +86,30 @@ def test_repeated_rows_lose_no_link_of_a_large_family(make):
     assert got == brute(rows, 3, 85)
 
 
+def test_words_with_equal_polynomials_differ(make):
+    """Words of Thue-Morse order and their complements, which polynomial hashes modulo 2^64 can't tell apart."""
+    bits = "0"
+    while len(bits) < 1024:
+        bits += bits.translate(str.maketrans("01", "10"))
+    t, u = bits.translate(str.maketrans("01", "ab")), bits.translate(str.maketrans("01", "ba"))
+    rows = [(1, f"{t} x y"), (2, f"{u} x y"), (3, f"{t} {u} {t} {u} {t} x"), (4, f"{t} x y")]
+    got = sorted((tuple(r) for r in minhash.near_duplicates(make(rows), 3, 85).collect()), key=str)
+    assert got == brute(rows, 3, 85) and [r[3] for r in got] == [True, True, True, False]
+
+
+def test_exact_sets():
+    """Sets of equal hashes are compared word by word."""
+    a, b = pa.array(["a b c d", "x y", "p q r"]), pa.array(["a b c e", "x z", "p q r"])
+    exact, cuts = exact_sets(pa.concat_arrays([a, b]), 3)
+    sets = [set(exact[i:j].tolist()) for i, j in zip(cuts, cuts[1:])]
+    assert [len(sets[k] & sets[k + 3]) for k in range(3)] == [1, 0, 1]
+
+
+def test_ids_with_several_texts(make):
+    rows = [(1, "a b c d"), (2, "a b c d"), (2, "k l m n"), (3, "k l m n"), (4, "other words all over")]
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(make(rows), 3, 85).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_likelihood_keeps_what_is_near():
     rng = np.random.default_rng(3)
     for share, least, keeps in ((0.9, 0.85, True), (0.85, 0.85, True), (0.4, 0.85, False)):
