@@ -25,7 +25,6 @@ class Blocks(NamedTuple):
     count: np.ndarray  # strings in the block
     anchor: np.ndarray  # place of the anchor
     gram: np.ndarray  # hash of the anchor
-    body: np.ndarray  # hash of all bytes of the block, its size and where the anchor is
 
 
 def prefix_sums(data: np.ndarray, seed: int = 3) -> np.ndarray:
@@ -35,11 +34,6 @@ def prefix_sums(data: np.ndarray, seed: int = 3) -> np.ndarray:
     return sums
 
 
-def hashes_of(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the substrings [start, end)."""
-    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(np.uint64))
-
-
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each `width` neighbours."""
     n = len(x) - width + 1
@@ -57,7 +51,7 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> Blocks:
     n = len(data) - LENGTH + 1
     if n <= 0:
         e = np.zeros(0, np.int64)
-        return Blocks(e, e, e, e, e.astype(np.uint64), e.astype(np.uint64))
+        return Blocks(e, e, e, e, e.astype(np.uint64))
     sums = prefix_sums(data)
     starts = np.arange(len(data) - GRAM + 1)
     up, down = powers(len(sums))
@@ -82,5 +76,4 @@ def blocks(data: np.ndarray, offsets: np.ndarray) -> Blocks:
     stop[-1] = inside[-1]
     count = np.flatnonzero(stop) - first
     at = anchor[first]
-    body = mix(hashes_of(sums, first, first + count + LENGTH - 1) + ((at - first).astype(np.uint64) << np.uint64(32)))
-    return Blocks(np.searchsorted(offsets, first, "right") - 1, first, count, at, grams[at], body)
+    return Blocks(np.searchsorted(offsets, first, "right") - 1, first, count, at, grams[at])

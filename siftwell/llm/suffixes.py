@@ -1,16 +1,18 @@
 """Suffix-array dedup: removes bytes of strings of LENGTH bytes that also start earlier.
 
-Suffixes are taken at content-chosen anchors (see anchors). First, blocks of strings that share
-an anchor are compared as wholes by hash: the earliest block of its kind stays, later ones repeat
-it in full. Only where one anchor has blocks of different kinds are their earliest ones looked
-into: map tasks sort the suffixes from the anchor and send front-coded runs, and each reducer
-merges its runs with a loser tree. The common prefixes that come out of the merge say how far two
-blocks agree to the right of the anchor, hashes of the bytes before it how far to the left; both
-give the groups of equal strings at each offset, of which the first stays.
-
-Anchors with very many kinds of blocks are split over several reducers; what is first in its part
-is then compared across parts by hash. Within a batch equal blocks are reduced to one before
-anything is sent. Hashes have 64 bits, or 128 for whole blocks.
+Suffixes are taken at content-chosen anchors (see anchors); the strings that share an anchor form a
+block. A hash of the anchor only tells candidates: blocks whose anchor occurs once can't repeat.
+The others take part in a distributed merge sort: map tasks cut their suffixes from the anchor,
+sort them and send front-coded runs, with the bytes before the anchor; reducers merge a bucket's
+runs with a loser tree that carries common prefixes. The prefixes that come out of the merge say
+how far two blocks agree to the right of the anchor, those of the sorted, reversed bytes before it
+how far to the left; both number the groups of equal strings at each offset, of which the first
+stays. Nothing is decided by a hash.
+
+A batch sends one entry per anchor for the search of candidates, and equal blocks of a batch once
+in the runs, so copies and common anchors weigh little. Anchors with more than PART candidates are
+dealt over several buckets by document; strings that are first in their part are then compared
+across parts by their bytes. A task holds one bucket at a time.
 
 Null texts are empty. Texts below LENGTH bytes lose nothing. A null id comes after all others.
 Rows that repeat an id and its text are one document and get the same result. Very long texts
@@ -19,7 +21,7 @@ are cut into overlapping parts. Other columns are dropped; an empty table gives
 
 from __future__ import annotations
 
-import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import LENGTH, SPAN, blocks, hashes_of, prefix_sums
+from .anchors import LENGTH, SPAN, blocks
 from .common import pieces, saved, small_batches
 from .runs import front_code, front_decode, merge
+from .shingles import buffers, mix
 
-#: Bytes of text handled at once, and kinds of blocks of an anchor in one part.
-TEXT_BYTES, PART = 2 << 20, 4096
+#: Bytes of text handled at once, candidates of an anchor in one part, blocks gathered for a run, and buckets of a reducer.
+TEXT_BYTES, PART, RUN, FINER = 2 << 20, 20_000, 200_000, 4
 LAST = (1 << 63) - 1
+#: Bit of a span that marks an anchor found twice in its batch.
+KNOWN = 128
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -42,12 +47,12 @@ def _documents(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def _cut(sizes: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _cut(buckets: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(bucket, members) of each bucket that has any, the members in the given order."""
-    order = order[np.argsort(sizes[order], kind="stable")]
-    ends = np.flatnonzero(np.append(np.diff(sizes[order]) != 0, True)) + 1 if len(order) else []
+    order = order[np.argsort(buckets[order], kind="stable")]
+    ends = np.flatnonzero(np.append(np.diff(buckets[order]) != 0, True)) + 1 if len(order) else []
     for a, b in zip([0, *ends], ends):
-        yield int(sizes[order[a]]), order[a:b]
+        yield int(buckets[order[a]]), order[a:b]
 
 
 def _firsts(*keys: np.ndarray) -> np.ndarray:
@@ -59,39 +64,35 @@ def _firsts(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def sent_blocks(docs: DataFrame, buckets: int, text_bytes: int = TEXT_BYTES) -> DataFrame:
-    """Blocks packed by bucket of their anchor; of equal blocks of a batch only the first, the others as repeats (bucket of their document)."""
-    names = ["bucket", "d", "h", "owner", "gram", "body", "span", "repeat"]
+def _flat(batch: pa.RecordBatch, size: int = 100_000) -> Iterator[pa.RecordBatch]:
+    for a in range(0, batch.num_rows, size):
+        yield batch.slice(a, size)
+
+
+def sent_anchors(docs: DataFrame, buckets: int, text_bytes: int = TEXT_BYTES) -> DataFrame:
+    """Blocks packed by bucket: one per anchor and batch by its anchor, further ones, which are candidates for certain, by document."""
+    names = ["bucket", "d", "h", "owner", "gram", "span", "sure"]
 
     def rows(d: np.ndarray, h: np.ndarray, data: np.ndarray, offsets: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
-        rank = np.lexsort((h, d))
-        place_of = np.empty(len(rank), np.int64)
-        place_of[rank] = np.arange(len(rank))
         x = blocks(data, offsets)
         if not len(x.first):
             return
-        owner, at = place_of[x.text], x.first - offsets[x.text] + shift
-        span = at << 16 | (x.anchor - x.first) << 8 | x.count
-        order = np.lexsort((at, owner, x.body, x.gram))
-        new = _firsts(x.gram[order], x.body[order])
-        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        again = ~new & ((owner[order] != owner[first]) | (at[order] != at[first]))
-        bucket = (x.gram % np.uint64(buckets)).astype(np.int64)
-        d, h, out = d[rank], h[rank], []
-        for k, members in _cut(bucket, order[new]):
-            used, local = np.unique(owner[members], return_inverse=True)
-            out.append((k, d[used], h[used], local.astype(np.uint32), x.gram[members], x.body[members], span[members], False))
-        repeats = order[again]
-        for k, members in _cut(((owner.astype(np.uint64) * np.uint64(0x9E3779B1)) % np.uint64(buckets)).astype(np.int64), repeats):
-            used, local = np.unique(owner[members], return_inverse=True)
-            empty = np.zeros(0, np.uint64)
-            out.append((k, d[used], h[used], local.astype(np.uint32), empty, empty, span[members], True))
-        columns = [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[i].tobytes() for r in out], pa.binary()) for i in range(1, 7)), pa.array([r[7] for r in out])]
-        yield pa.RecordBatch.from_arrays(columns, names)
+        span = (x.first - offsets[x.text] + shift) << 16 | (x.anchor - x.first) << 8 | x.count
+        order = np.argsort(x.gram, kind="stable")
+        new = _firsts(x.gram[order])
+        several = np.append(~new[1:], False) & new
+        span[order[several]] |= KNOWN
+        by_gram = (x.gram % np.uint64(buckets)).astype(np.int64)
+        by_text = (mix(d.view(np.uint64) + mix(h.view(np.uint64)))[x.text] % np.uint64(buckets)).astype(np.int64)
+        out = []
+        for bucket, members, sure in ((by_gram, order[new], False), (by_text, order[~new], True)):
+            for k, of in _cut(bucket, members):
+                used, local = np.unique(x.text[of], return_inverse=True)
+                out.append((k, d[used].tobytes(), h[used].tobytes(), local.astype(np.uint32).tobytes(), x.gram[of].tobytes(), span[of].tobytes(), sure))
+        kinds = [pa.int32(), *[pa.binary()] * 5, pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import buffers
-
         for batch in pieces(batches, "text", text_bytes):
             d, h = (batch.column(c).to_numpy() for c in "dh")
             data, offsets = buffers(batch.column("text"))
@@ -102,160 +103,171 @@ def sent_blocks(docs: DataFrame, buckets: int, text_bytes: int = TEXT_BYTES) ->
                     part = data[a : a + text_bytes + LENGTH - 1]
                     yield from rows(d, h, part, np.array([0, len(part)]), a)
 
-    return docs.select("d", "h", "text").mapInArrow(run, "bucket int, d binary, h binary, owner binary, gram binary, body binary, span binary, repeat boolean")
+    return docs.select("d", "h", "text").mapInArrow(run, "bucket int, d binary, h binary, owner binary, gram binary, span binary, sure boolean")
 
 
-FOUND = "d long, h long, span long, gram long, kinds int"
+def candidates(packed: DataFrame) -> DataFrame:
+    """(d, h, span, gram) of blocks whose anchor occurs more than once."""
+    names = ["d", "h", "span", "gram"]
 
-
-def sorted_out(packed: DataFrame) -> DataFrame:
-    """Spans of repeated blocks; and earliest blocks of anchors that have several kinds, with the anchor and the number of kinds."""
+    def unpacked(r: dict) -> list[np.ndarray]:
+        owner = np.frombuffer(r["owner"], np.uint32)
+        return [np.frombuffer(r[c], np.int64)[owner] for c in "dh"] + [np.frombuffer(r[c], np.int64) for c in ("span", "gram")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, done = [], []
+        parts = []
         for batch in batches:
             for r in batch.to_pylist():
-                n = np.frombuffer(r["owner"], np.uint32)
-                d, h = np.frombuffer(r["d"], np.int64), np.frombuffer(r["h"], np.int64)
-                (done if r["repeat"] else parts).append((d, h, n, np.frombuffer(r["span"], np.int64), np.frombuffer(r["gram"], np.uint64), np.frombuffer(r["body"], np.uint64)))
-        if not parts and not done:
-            return
-        both = parts + done
-        d, h = (np.concatenate([p[i] for p in both]) for i in (0, 1))
-        order = np.lexsort((h, d))
-        new = _firsts(d[order], h[order])
-        number = np.empty(len(d), np.int64)
-        number[order] = np.cumsum(new) - 1
-        d, h = d[order][new], h[order][new]
-        starts = np.cumsum([0, *(len(p[0]) for p in both)])
-        owner = np.concatenate([number[s + p[2]] for s, p in zip(starts, both)])
-        span = np.concatenate([p[3] for p in both])
-        m = sum(len(p[2]) for p in parts)
-        gram, body = (np.concatenate([np.zeros(0, np.uint64), *(p[i] for p in parts)]) for i in (4, 5))
-        order = np.lexsort((span[:m], owner[:m], body, gram))
-        g, b = gram[order], body[order]
-        new_g, new = _firsts(g), _firsts(g, b)
-        first = order[np.maximum.accumulate(np.where(new, np.arange(m), 0))]
-        again = order[~new & ((owner[order] != owner[first]) | (span[order] >> 16 != span[first] >> 16))]
-        group = np.cumsum(new_g) - 1
-        kinds = np.bincount(group[new], minlength=1)[group] if m else group
-        open_ = order[new & (kinds > 1)]
-        kinds_of = np.zeros(m, np.int32)
-        kinds_of[order] = kinds
-        again = np.concatenate([again, np.arange(m, len(span))])
-        members = np.concatenate([again, open_])
-        bare = np.arange(len(members)) < len(again)
-        of = owner[members]
-        gram_of, kind_of = (np.concatenate([np.zeros(len(again), v.dtype), v[open_]]) for v in (gram.view(np.int64), kinds_of))
-        columns = [pa.array(d[of]), pa.array(h[of]), pa.array(span[members]), pa.array(gram_of, mask=bare), pa.array(kind_of, mask=bare)]
-        whole = pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in FOUND.split(", ")])
-        for a in range(0, len(members), 100_000):
-            yield whole.slice(a, 100_000)
-
-    return packed.mapInArrow(run, FOUND)
-
-
-def sent_suffixes(texts: DataFrame, buckets: int, most: int = PART) -> DataFrame:
-    """Open blocks as sorted front-coded runs of suffixes from the anchor, with the bytes before it."""
-    names = ["bucket", "shared", "sizes", "rests", "left", "ids", "split"]
+                if r["sure"]:
+                    yield from _flat(pa.RecordBatch.from_arrays(list(map(pa.array, unpacked(r))), names))
+                else:
+                    parts.append(unpacked(r))
+        if parts:
+            d, h, span, gram = (np.concatenate(c) for c in zip(*parts))
+            order = np.argsort(gram, kind="stable")
+            new = _firsts(gram[order])
+            group = np.cumsum(new) - 1
+            often = np.bincount(group) + np.bincount(group, (span[order] & KNOWN) > 0) > 1
+            found = order[often[group]]
+            yield from _flat(pa.RecordBatch.from_arrays([pa.array(c[found]) for c in (d, h, span & ~KNOWN, gram)], names))
+
+    return packed.mapInArrow(run, "d long, h long, span long, gram long")
+
+
+def sent_suffixes(texts: DataFrame, buckets: int, most: int = RUN) -> DataFrame:
+    """Candidates as sorted front-coded runs of suffixes from the anchor, with the bytes before it; equal blocks once, with all their places."""
+    names = ["bucket", "shared", "sizes", "rests", "left", "offs", "split", "often", "ids"]
+    kinds = [pa.int32()] + [pa.binary()] * 8
+
+    def packed(items: dict) -> pa.RecordBatch:
+        keys = list(items)
+        order = np.array(sorted(range(len(keys)), key=keys.__getitem__))
+        bucket = np.array([k[2] for k in keys])
+        places = list(items.values())
+        out = []
+        for k, members in _cut(bucket, order):
+            of = [keys[i] for i in members]
+            ids = [places[i] for i in members]
+            coded = front_code([x[0] for x in of])
+            left = [x[1] for x in of]
+            out.append((k, *coded, b"".join(left), bytes(map(len, left)), bytes(x[3] for x in of), np.array([len(i) // 3 for i in ids], np.uint32).tobytes(), np.array(list(itertools.chain.from_iterable(ids)), np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import mix
-
+        items: dict[tuple, list[int]] = {}
+        n = 0
         for batch in pieces(batches, "text", TEXT_BYTES):
-            right, left, ids, where, split = [], [], [], [], []
-            for d, h, text, spans, grams, kinds in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "spans", "grams", "kinds"))):
-                for span, gram, n in zip(spans, grams, kinds):
-                    at, off, count = span >> 16, span >> 8 & 255, span & 255
-                    part = (at * 7919 + h & 0xFFFFFFFF) % -(-n // most)
-                    right.append(text[at + off : at + count + LENGTH - 1])
-                    left.append(text[at : at + off])
-                    ids.append((d, h, span, gram))
-                    where.append((gram, part))
-                    split.append(n > most)
-            if not right:
-                continue
-            keys = np.array(where, np.int64).view(np.uint64)
-            bucket = (mix(keys[:, 0] + mix(keys[:, 1])) % np.uint64(buckets)).astype(np.int64)
-            order = np.array(sorted(range(len(right)), key=right.__getitem__))
-            out = []
-            for k, members in _cut(bucket, order):
-                of = members.tolist()
-                shared, sizes, rests = front_code([right[i] for i in of])
-                out.append((k, shared, sizes, rests, b"".join(left[i] for i in of), np.array([ids[i] for i in of], np.int64).tobytes(), bytes(split[i] for i in of)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 6)], names)
-
-    return texts.mapInArrow(run, "bucket int, shared binary, sizes binary, rests binary, left binary, ids binary, split binary")
+            for d, h, text, spans, grams, parts in zip(*(batch.column(c).to_pylist() for c in ("d", "h", "text", "spans", "grams", "parts"))):
+                part = np.array([(d ^ h) % p for p in parts], np.uint64)
+                bucket = (mix(np.array(grams, np.int64).view(np.uint64) + mix(part)) % np.uint64(buckets)).tolist()
+                for span, p, k in zip(spans, parts, bucket):
+                    at, off, count = span >> 16, span >> 8 & 255, span & 127
+                    items.setdefault((text[at + off : at + count + LENGTH - 1], text[at : at + off], k, p > 1), []).extend((d, h, span))
+                n += len(spans)
+                if n >= most:
+                    yield packed(items)
+                    items, n = {}, 0
+        if items:
+            yield packed(items)
+
+    return texts.mapInArrow(run, "bucket int, shared binary, sizes binary, rests binary, left binary, offs binary, split binary, often binary, ids binary")
+
+
+def left_order(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of byte strings by their reversed bytes, and the suffix that each in order shares with the one before."""
+    ends = np.cumsum(sizes)
+    width = max(int(sizes.max(initial=0)), 1)
+    rows = np.zeros((len(sizes), width), np.uint8)
+    for k in range(width):
+        long = np.flatnonzero(sizes > k)
+        rows[long, k] = data[ends[long] - 1 - k]
+    order = np.argsort(sizes, kind="stable")
+    order = order[np.argsort(rows.view(f"S{width}").ravel()[order], kind="stable")]
+    rows, sizes = rows[order], sizes[order]
+    differ = rows[1:] != rows[:-1]
+    lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    return order, np.append(0, np.minimum(lcp, np.minimum(sizes[1:], sizes[:-1])))
+
+
+def solve(parts: list[dict]) -> pa.RecordBatch:
+    """What repeats within a bucket: (d, h, span); and for split anchors each string that is first in its part: (d, h, string, place)."""
+    strings = [(front_decode(r["shared"], r["sizes"], r["rests"]), r["shared"]) for r in parts]
+    starts = np.cumsum([0, *(len(s[0]) for s in strings)])
+    tour = np.array([(starts[run] + i, lcp) for run, i, lcp in merge(strings)], np.int64)
+    right = [s for part in strings for s in part[0]]
+    n = len(right)
+    size = np.array(list(map(len, right)))
+    left_bytes = b"".join(r["left"] for r in parts)
+    off = np.frombuffer(b"".join(r["offs"] for r in parts), np.uint8).astype(np.int64)
+    left_end = np.cumsum(off)
+    split = np.frombuffer(b"".join(r["split"] for r in parts), np.uint8).astype(bool)
+    # place of each block in both orders, and the common prefixes there
+    to_right, lcp = tour[:, 0], tour[:, 1]
+    to_left, left_lcp = left_order(np.frombuffer(left_bytes, np.uint8), off)
+    right_at, left_at = np.empty(n, np.int64), np.empty(n, np.int64)
+    right_at[to_right] = left_at[to_left] = np.arange(n)
+    # equal blocks: equal to the right and to the left
+    whole_right = np.cumsum((lcp < size[to_right]) | (np.diff(size[to_right], prepend=-1) != 0))
+    whole_left = np.cumsum((left_lcp < off[to_left]) | (np.diff(off[to_left], prepend=-1) != 0))
+    kind = np.unique(whole_right[right_at] * (n + 1) + whole_left[left_at], return_inverse=True)[1]
+    # all places, in order; the first of a kind stands for it, the others repeat it in full
+    item = np.repeat(np.arange(n), np.frombuffer(b"".join(r["often"] for r in parts), np.uint32))
+    ids = np.frombuffer(b"".join(r["ids"] for r in parts), np.int64).reshape(-1, 3)
+    order = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0]))
+    order = order[_firsts(*ids[order].T)]  # a repeated row brings the same blocks again
+    ids, item = ids[order], item[order]
+    of_kind = np.argsort(kind[item], kind="stable")
+    new = _firsts(kind[item][of_kind])
+    repeats = ids[np.sort(of_kind[~new])]
+    first = np.sort(of_kind[new])  # in order of places
+    ids, item = ids[first], item[first]
+    off, count, split = off[item], ids[:, 2] & 127, split[item]
+    again = np.zeros((len(ids), SPAN), bool)  # by block and string of the block
+    alone: list[tuple[np.ndarray, np.ndarray]] = []
+    for o in range(SPAN):
+        valid = np.flatnonzero((o <= off) & (o > off - count))
+        if not len(valid):
+            continue
+        at = item[valid]
+        key = np.cumsum(lcp < LENGTH - o)[right_at[at]] * (n + 1) + np.cumsum(left_lcp < o)[left_at[at]]
+        ordered = np.argsort(key, kind="stable")
+        new = _firsts(key[ordered])
+        later = valid[ordered[~new]]
+        again[later, off[later] - o] = True
+        lone = valid[ordered[new]]
+        alone.append((lone[split[lone]], o))
+    edge = np.zeros((len(ids), 1), bool)
+    change = np.diff(np.hstack([edge, again, edge]).astype(np.int8), axis=1)
+    member, start = np.nonzero(change == 1)
+    stop = np.nonzero(change == -1)[1]
+    d, h, span = (np.concatenate([repeats[:, k], ids[member, k]]) for k in range(3))
+    span[len(repeats) :] = (span[len(repeats) :] >> 16) + start << 16 | stop - start
+    bare = len(span)
+    text = [left_bytes[left_end[item[i]] - o : left_end[item[i]]] + right[item[i]][: LENGTH - o] for lone, o in alone for i in lone.tolist()]
+    who = np.concatenate([lone for lone, _ in alone]) if alone else np.zeros(0, np.int64)
+    place = np.concatenate([(ids[lone, 2] >> 16) + off[lone] - o for lone, o in alone]) if alone else who
+    late = np.arange(bare + len(who)) >= bare
+    columns = [pa.array(np.concatenate([x, ids[who, k]])) for k, x in ((0, d), (1, h))]
+    columns += [pa.array(np.concatenate([span, place]), mask=late), pa.array([None] * bare + text, pa.binary()), pa.array(np.concatenate([span, place]), mask=~late)]
+    return pa.RecordBatch.from_arrays(columns, ["d", "h", "span", "string", "place"])
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    """(d, h, repeat span or null, key and place): strings that repeat within the part, and for split anchors each string that is first in its part."""
+    """solve() for each bucket of a partition, in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from .shingles import mix
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for _, parts in itertools.groupby(rows, key=lambda r: r["bucket"]):
+            yield from _flat(solve(list(parts)))
 
-        parts = [r for batch in batches for r in batch.to_pylist()]
-        if not parts:
-            return
-        strings = [(front_decode(r["shared"], r["sizes"], r["rests"]), r["shared"]) for r in parts]
-        starts = np.cumsum([0, *(len(s[0]) for s in strings)])
-        ids = np.concatenate([np.frombuffer(r["ids"], np.int64).reshape(-1, 4) for r in parts])
-        split = np.frombuffer(b"".join(r["split"] for r in parts), np.uint8).astype(bool)
-        off = ids[:, 2] >> 8 & 255
-        end = np.cumsum(off)
-        right = b"".join(s for part in strings for s in part[0])
-        size = np.array([len(s) for part in strings for s in part[0]])
-        begin = np.cumsum(size) - size
-        tour = np.array([(starts[run] + i, lcp) for run, i, lcp in merge(strings)], np.int64)
-        del strings
-        at, lcp = tour[:, 0], tour[:, 1]
-        # from here on all is in merged order, then by document and place for the firsts
-        ids, split, off, end, begin = ids[at], split[at], off[at], end[at], begin[at]
-        left_sums = prefix_sums(np.frombuffer(b"".join(r["left"] for r in parts), np.uint8))
-        right_sums = prefix_sums(np.frombuffer(right, np.uint8), 5)
-        count = ids[:, 2] & 255
-        rank = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0]))
-        rank = rank[_firsts(*ids[rank, :3].T)]  # a repeated row brings the same blocks again
-        again = np.zeros((len(ids), SPAN), bool)  # by member and string of the block
-        alone: list[tuple[np.ndarray, ...]] = []
-        for o in range(SPAN):
-            valid = rank[(o <= off[rank]) & (o > off[rank] - count[rank])]
-            if not len(valid):
-                continue
-            equal_right = np.cumsum(lcp < LENGTH - o)[valid].astype(np.uint64)
-            before = hashes_of(left_sums, end[valid] - o, end[valid])
-            key = mix(before + mix(equal_right))
-            order = np.argsort(key, kind="stable")
-            new = _firsts(key[order])
-            again[valid[order[~new]], off[valid[order[~new]]] - o] = True
-            lone = valid[order[new]]
-            lone = lone[split[lone]]
-            if len(lone):
-                whole = mix(hashes_of(left_sums, end[lone] - o, end[lone]) + mix(hashes_of(right_sums, begin[lone], begin[lone] + LENGTH - o)) + np.uint64(o))
-                alone.append((ids[lone, 0], ids[lone, 1], whole.view(np.int64), ids[lone, 3], (ids[lone, 2] >> 16) + off[lone] - o))
-        edge = np.zeros((len(ids), 1), bool)
-        change = np.diff(np.hstack([edge, again, edge]).astype(np.int8), axis=1)
-        member, first = np.nonzero(change == 1)
-        stop = np.nonzero(change == -1)[1]
-        spans = (ids[member, 2] >> 16) + first << 16 | stop - first
-        none = np.zeros(0, np.int64)
-        d, h, key, gram, place = (np.concatenate([none, *c]) for c in zip(*alone)) if alone else (none,) * 5
-        n, m = len(spans), len(d)
-        columns = [pa.array(np.concatenate([ids[member, i], x])) for i, x in ((0, d), (1, h))]
-        columns.append(pa.array(np.concatenate([spans, np.zeros(m, np.int64)]), mask=np.arange(n + m) >= n))
-        columns += [pa.array(np.concatenate([np.zeros(n, np.int64), x]), mask=np.arange(n + m) < n) for x in (key, gram, place)]
-        whole = pa.RecordBatch.from_arrays(columns, ["d", "h", "span", "key", "gram", "place"])
-        for a in range(0, n + m, 100_000):
-            yield whole.slice(a, 100_000)
-
-    return runs.mapInArrow(run, "d long, h long, span long, key long, gram long, place long")
+    return runs.mapInArrow(run, "d long, h long, span long, string binary, place long")
 
 
 def across_parts(strings: DataFrame) -> DataFrame:
     """(d, h, span) of strings of split anchors that are not the first of their kind over all parts."""
-    lone = strings.where("key is not null").select("key", "gram", F.struct("d", "h", "place").alias("at"))
-    first = lone.groupBy("key", "gram").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("key", "gram", "first")
-    later = lone.join(first, ["key", "gram"]).where("at > first")
+    lone = strings.where("string is not null").select("string", F.struct("d", "h", "place").alias("at"))
+    first = lone.groupBy("string").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("string", "first")
+    later = lone.join(first, "string").where("at > first")
     return later.select("at.d", "at.h", (F.shiftleft(F.col("at.place"), 16) + 1).alias("span"))
 
 
@@ -269,7 +281,7 @@ def removed(texts: DataFrame) -> DataFrame:
                 spans = np.array(lists or (), np.int64)
                 start = spans >> 16
                 order = np.argsort(start, kind="stable")
-                start, stop = start[order], np.maximum.accumulate((start + (spans & 255) + LENGTH - 1)[order])
+                start, stop = start[order], np.maximum.accumulate((start + (spans & 127) + LENGTH - 1)[order])
                 new = np.ones(len(start), bool)
                 new[1:] = start[1:] > stop[:-1]
                 firsts = start[new].tolist()
@@ -286,15 +298,17 @@ def without_repeats(docs: DataFrame, part: int = PART, text_bytes: int = TEXT_BY
     """(doc_id, n_bytes, n_removed, n_spans, kept) for each row."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = _documents(docs)
-    found = saved(sorted_out(sent_blocks(docs, buckets, text_bytes).repartition(buckets, "bucket")))
+    found = saved(candidates(sent_anchors(docs, tasks, text_bytes).repartition(tasks, "bucket")))
+    hot = saved(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("gram", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    found = found.join(hot, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     texts = docs.select("doc_id", "d", "h", F.col("text").cast("binary").alias("text"))
-    open_ = found.where("gram is not null").groupBy("d", "h").agg(F.collect_list(F.struct("span", "gram", "kinds")).alias("open"))
-    open_ = open_.select("d", "h", *(F.col(f"open.{c}").alias(c2) for c, c2 in (("span", "spans"), ("gram", "grams"), ("kinds", "kinds"))))
-    runs = sent_suffixes(texts.join(open_, ["d", "h"]).select("d", "h", "text", "spans", "grams", "kinds"), buckets, part)
-    strings = saved(merged(runs.repartition(buckets, "bucket")))
-    spans = found.where("gram is null").select("d", "h", "span").union(strings.where("span is not null").select("d", "h", "span")).union(across_parts(strings))
+    by_text = found.groupBy("d", "h").agg(F.collect_list(F.struct("span", "gram", "parts")).alias("open"))
+    by_text = by_text.select("d", "h", *(F.col(f"open.{c}").alias(c2) for c, c2 in (("span", "spans"), ("gram", "grams"), ("parts", "parts"))))
+    runs = sent_suffixes(texts.join(by_text, ["d", "h"]).select("d", "h", "text", "spans", "grams", "parts"), tasks * FINER)
+    strings = saved(merged(runs.repartition(tasks, "bucket").sortWithinPartitions("bucket")))
+    spans = strings.where("span is not null").select("d", "h", "span").union(across_parts(strings))
     spans = spans.groupBy("d", "h").agg(F.collect_list("span").alias("spans"))
     return removed(texts.join(spans, ["d", "h"], "left"))
 
