@@ -1,16 +1,25 @@
 """Quality rules: base rules, then robust multivariate outliers.
 
-Each document gets a vector of transformed statistics in whole steps of 1/SCALE. For every
-language and source a minimum-covariance-determinant fit is made: from medians and absolute
-deviations, concentration steps move to the mean and covariance of the share H of documents with
-the smallest distances: half of them, so that a group of copies of up to half a fit can't take it
-over. Documents beyond a chi-square bound by their Mahalanobis distance go.
-Groups below LEAST documents use the fit of their language, then that of all documents. Sums are
-of whole numbers and cuts are bins of a histogram, so reruns agree to the last bit.
-
-Null, empty and blank texts have zero statistics and fail the base rules. A null language or
-source is a group of its own. Repeated rows count as often as they occur and get equal results.
-Other columns are dropped. An empty table gives an empty result. DataFrame functions only.
+Each document gets a vector of transformed statistics in whole steps of 1/SCALE. For every language
+and source a minimum-covariance-determinant fit is made: the half of the documents whose covariance
+has the least determinant. From several starts (medians and absolute deviations, mean and covariance
+of all, seeded elemental sets) concentration steps move to the mean and covariance of the documents
+with the smallest distances; after BEGIN steps the BEST starts of least determinant go on until no
+step lowers their determinant, and the least one is the fit. Half of a group is the least share
+there is, so that a group of copies of up to half a fit can't take it over. Documents beyond a
+chi-square bound by their Mahalanobis distance go.
+
+A fit needs `least` documents: five a dimension by default, below which half of a group says little
+about a covariance. Smaller groups use the fit of their language, then that of all documents.
+Covariances have a floor added (FLOORS), so that constant statistics don't reject by a hair. Sums are
+of whole numbers, and where documents tie for the last places of a half (distances equal to 1/BINS of
+their logarithm), each counts with the missing share; so reruns agree to the last bit. Vectors are
+grouped with their counts before anything is joined, and dealt over tasks by their hash, not by group.
+
+Null, empty and blank texts have zero statistics and fail the base rules; very long ones are handled
+by themselves. A null language or source is a group of its own. Repeated rows count as often as they
+occur and get equal results. Other columns are dropped. An empty table gives an empty result.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -25,17 +34,17 @@ from .common import WORD, saved
 
 #: Base rules: fewest words, and the largest percentage of words in repeated windows of so many words.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Steps of a statistic, the share a fit is made of (the least there is, for the highest breakdown point), concentration steps, and the fewest documents of a fit.
-SCALE, H, STEPS, LEAST = 256, 0.5, 4, 60
-#: A tie bin that takes a fit over its share by more than n / TIES, as copies of one document do, counts with the missing weight only.
-TIES = 16
+#: Steps of a statistic; documents of a fit at least; steps of all starts, starts that go on, and the most steps of these.
+SCALE, LEAST, BEGIN, BEST, STEPS = 256, 20, 2, 2, 12
+#: Elemental sets that starts are made of, and parts that a group's vectors are dealt over.
+DRAWS, PARTS = 3, 16
 #: Standard deviations that a fit never goes below, so that constant statistics reject nothing by a hair.
 FLOORS = (0.15, 0.05, 0.10, 0.10)
 #: A clean document is rejected once in so many.
 ODDS = 100_000
 SYMBOLS = "#*$%&|<>"
 #: Distances fall into bins of 1/BINS of their logarithm.
-BINS = 64
+BINS = 1024
 
 
 def chi_square(x: float, k: int) -> float:
@@ -104,6 +113,8 @@ P = len(FLOORS)
 V = [f"v{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
 FIT = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in PAIRS]
+#: What makes a covariance of half a normal sample consistent.
+GROW = 0.5 / chi_square(chi_square_at(0.5, P), P + 2)
 
 
 def _factor(cov: dict[tuple[int, int], Column], rows: DataFrame) -> DataFrame:
@@ -125,33 +136,99 @@ def distance(rows: DataFrame, name: str = "d2") -> DataFrame:
     return rows.withColumn(name, sum(F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(P))).drop(*(f"_z{i}" for i in range(P)))
 
 
-def fits(stats: DataFrame) -> DataFrame:
-    """Centre m and factor l of each group's fit; group is a string, see _groups."""
-    lang, source = _groups()
-    counted = stats.where("not base_failed").groupBy(lang.alias("_lang"), source.alias("_source"), *V).agg(F.count(F.lit(1)).alias("w"))
-    keys = F.explode(F.array(F.concat_ws(":", F.lit("2"), "_lang", "_source"), F.concat_ws(":", F.lit("1"), "_lang"), F.lit("0")))
-    vectors = counted.select(keys.alias("g"), *V, "w").groupBy("g", *V).agg(F.sum("w").alias("w"))
-    enough = vectors.groupBy("g").agg(F.sum("w").alias("n")).where((F.col("n") >= LEAST) | (F.col("g") == "0"))
-    vectors = saved(vectors.join(enough, "g"))
-    middle = vectors.groupBy("g").agg(*(F.expr(f"percentile({v}, 0.5, w)").alias(f"q{i}") for i, v in enumerate(V)))
-    spread = vectors.join(middle, "g").groupBy("g").agg(*(F.expr(f"percentile(abs({v} - q{i}), 0.5, w)").alias(f"a{i}") for i, v in enumerate(V)), *(F.max(f"q{i}").alias(f"q{i}") for i in range(P)))
-    floor = [F.lit(f) for f in FLOORS]
-    start = {(i, j): F.pow(F.greatest(F.col(f"a{i}") * 1.4826 / SCALE, floor[i]), F.lit(2)) if i == j else F.lit(0.0) for i, j in PAIRS}
-    fit = saved(_factor(start, spread.select("*", *((F.col(f"q{i}") / SCALE).alias(f"m{i}") for i in range(P)))).select("g", *FIT))
-    grow = H / chi_square(chi_square_at(H, P), P + 2)
+def _by_group(rows: DataFrame, small: DataFrame, *more: str) -> DataFrame:
+    """rows joined with the rows of their group, both dealt over PARTS parts of it."""
+    return rows.join(small.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))), ["g", "_part", *more])
+
+
+def _fit(sums: DataFrame, grow: float) -> DataFrame:
+    """(g, s, centre m, factor l, det) from weights k, sums s0.. and sums of products p00..; det is that of the covariance."""
+    mean = {i: F.col(f"s{i}") / F.col("k") for i in range(P)}
+    cov = {(i, j): grow * (F.col(f"p{i}{j}") / F.col("k") - mean[i] * mean[j]) / SCALE**2 + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
+    return _scored(_factor(cov, sums.select("*", *((mean[i] / SCALE).alias(f"m{i}") for i in range(P)))))
+
+
+def _scored(fit: DataFrame) -> DataFrame:
+    det = F.lit(1.0)
+    for i in range(P):
+        det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
+    return fit.select("g", "s", *FIT, det.alias("det"))
+
+
+def _sums(rows: DataFrame, *by: str) -> DataFrame:
+    """Weights, sums and sums of products of vectors with weight w."""
+    w = F.col("w")
+    return rows.groupBy(*by).agg(F.sum(w).alias("k"), *(F.sum(w * F.col(v)).alias(f"s{i}") for i, v in enumerate(V)), *(F.sum(w * F.col(V[i]) * F.col(V[j])).alias(f"p{i}{j}") for i, j in PAIRS))
+
+
+def _starts(vectors: DataFrame) -> DataFrame:
+    """A first fit per group and start s."""
+    middle = saved(vectors.groupBy("g").agg(*(F.expr(f"percentile({v}, 0.5, w)").alias(f"q{i}") for i, v in enumerate(V))))
+    spread = _by_group(vectors, middle).groupBy("g").agg(*(F.expr(f"percentile(abs({v} - q{i}), 0.5, w)").alias(f"a{i}") for i, v in enumerate(V)), *(F.max(f"q{i}").alias(f"q{i}") for i in range(P)))
+    diagonal = {(i, j): F.pow(F.greatest(F.col(f"a{i}") * 1.4826 / SCALE, F.lit(FLOORS[i])), F.lit(2)) if i == j else F.lit(0.0) for i, j in PAIRS}
+    medians = _scored(_factor(diagonal, spread.select("*", F.lit(0).alias("s"), *((F.col(f"q{i}") / SCALE).alias(f"m{i}") for i in range(P)))))
+    whole = _fit(_sums(vectors, "g").withColumn("s", F.lit(1)), 1.0)
+    # an elemental set: for each of P + 1 seeded orders the vector that comes first
+    drawn = vectors.groupBy("g").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), *V), *V)).alias(f"e{k}") for k in range(DRAWS * (P + 1))))
+    sets = F.explode(F.array(*(F.struct(F.lit(2 + n).alias("s"), F.array(*(f"e{n * (P + 1) + k}" for k in range(P + 1))).alias("e")) for n in range(DRAWS))))
+    elements = drawn.select("g", sets.alias("x")).select("g", "x.s", F.explode("x.e").alias("e")).select("g", "s", *(F.col(f"e.{v}").alias(v) for v in V), F.lit(1).cast("long").alias("w"))
+    return saved(medians.unionByName(whole).unionByName(_fit(_sums(elements, "g", "s"), 1.0)))
+
+
+def _step(vectors: DataFrame, fit: DataFrame) -> DataFrame:
+    """The fit of each group's and start's nearest documents, half of the group by weight."""
+    near = distance(_by_group(vectors, fit)).select("g", "_part", "s", *V, "w", "n", F.floor(BINS * F.log1p("d2")).cast("int").alias("bin"))
+    bins = near.groupBy("g", "s", "n", "bin").agg(F.sum("w").alias("w"))
+    half = F.expr(f"(n + {P + 1}) div 2")
+    upto = bins.select("g", "s", "bin", "w", F.least(half, "n").alias("h"), F.sum("w").over(W.partitionBy("g", "s").orderBy("bin")).alias("upto"))
+    cut = upto.where("upto >= h").groupBy("g", "s").agg(F.min(F.struct("bin", "w", "upto", "h")).alias("cut"))
+    cut = saved(cut.select("g", "s", F.col("cut.bin").alias("cut"), F.col("cut.w").alias("tied"), F.expr("cut.h - (cut.upto - cut.w)").alias("missing")))
+    share = F.when(F.col("bin") == F.col("cut"), F.expr("(w * missing + tied - 1) div tied")).otherwise(F.col("w"))
+    return saved(_fit(_sums(_by_group(near, cut, "s").where("bin <= cut").withColumn("w", share), "g", "s"), GROW))
+
+
+def _best(fit: DataFrame, n: int) -> DataFrame:
+    """The n starts of least determinant of each group, which has a handful."""
+    return fit.withColumn("_r", F.row_number().over(W.partitionBy("g").orderBy("det", "s"))).where(F.col("_r") <= n).drop("_r")
+
+
+def choices(counted: DataFrame, least: int) -> DataFrame:
+    """(_lang, _source, g): the group whose fit judges a language and source."""
+    sizes = counted.groupBy("_lang", "_source").agg(F.sum("w").alias("n2"))
+    langs = sizes.groupBy("_lang").agg(F.sum("n2").alias("n1"))
+    own, lang, every = _names()
+    return sizes.join(langs, "_lang").select("_lang", "_source", F.when(F.col("n2") >= least, own).when(F.col("n1") >= least, lang).otherwise(every).alias("g"))
+
+
+def fits(vectors: DataFrame) -> DataFrame:
+    """(g, centre m, factor l, det): the fit of each group of vectors (g, _part, v0..v3, weight w, n: documents of the group)."""
+    fit = _starts(vectors)
+    for _ in range(BEGIN):
+        fit = _step(vectors, fit)
+    fit = saved(_best(fit, BEST))
     for _ in range(STEPS):
-        near = distance(vectors.join(fit, "g")).select("g", *V, "w", "n", F.floor(BINS * F.log1p("d2")).cast("int").alias("bin"))
-        bins = near.groupBy("g", "n", "bin").agg(F.sum("w").alias("w"))
-        upto = bins.select("g", "bin", "w", "n", F.ceil(F.lit(H) * F.col("n")).alias("h"), F.sum("w").over(W.partitionBy("g").orderBy("bin")).alias("upto"))
-        cut = upto.where("upto >= h").groupBy("g").agg(F.min(F.struct("bin", "w", "upto", "h")).alias("cut"))
-        cut = cut.select("g", F.col("cut.bin").alias("cut"), F.col("cut.w").alias("tied"), F.expr("cut.h - (cut.upto - cut.w)").alias("missing"))
-        over = (F.col("bin") == F.col("cut")) & (TIES * (F.col("tied") - F.col("missing")) > F.col("n"))
-        core = near.join(cut, "g").where("bin <= cut").withColumn("w", F.when(over, F.expr("(w * missing + tied - 1) div tied")).otherwise(F.col("w")))
-        sums = core.groupBy("g").agg(F.sum("w").alias("k"), *(F.sum(F.col("w") * F.col(v)).alias(f"s{i}") for i, v in enumerate(V)), *(F.sum(F.col("w") * F.col(V[i]) * F.col(V[j])).alias(f"p{i}{j}") for i, j in PAIRS))
-        mean = {i: F.col(f"s{i}") / F.col("k") for i in range(P)}
-        cov = {(i, j): grow * (F.col(f"p{i}{j}") / F.col("k") - mean[i] * mean[j]) / SCALE**2 + (F.pow(floor[i], F.lit(2)) if i == j else F.lit(0.0)) for i, j in PAIRS}
-        fit = saved(_factor(cov, sums.select("*", *((mean[i] / SCALE).alias(f"m{i}") for i in range(P)))).select("g", *FIT))
-    return fit
+        lower = _step(vectors, fit).select("g", "s", F.struct("det", *FIT).alias("new"))
+        both = saved(fit.join(lower, ["g", "s"]).withColumn("moved", F.col("new.det") < F.col("det") * (1 - 1e-9)))
+        fit = both.select("g", "s", *(F.when(F.col("moved"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*FIT, "det")))
+        if not both.where("moved").limit(1).count():
+            break
+    return saved(_best(fit, 1).drop("s"))
+
+
+def _names() -> tuple[Column, Column, Column]:
+    """Names of a document's groups, from the narrowest."""
+    return F.to_json(F.array("_lang", "_source")), F.to_json(F.array("_lang")), F.lit("[]")
+
+
+def grouped(stats: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors of the groups that are asked for, choices)."""
+    lang, source = _groups()
+    counted = saved(stats.where("not base_failed").groupBy(lang.alias("_lang"), source.alias("_source"), *V).agg(F.count(F.lit(1)).alias("w")))
+    chosen = saved(choices(counted, least))
+    members = counted.select(F.explode(F.array(*_names())).alias("g"), *V, "w").join(chosen.select("g").distinct(), "g", "left_semi")
+    members = saved(members.groupBy("g", *V).agg(F.sum("w").alias("w")).withColumn("_part", F.pmod(F.xxhash64(*V), F.lit(PARTS)).cast("int")))
+    sizes = saved(members.groupBy("g").agg(F.sum("w").alias("n")))
+    return saved(_by_group(members, sizes)), chosen
 
 
 def _groups() -> tuple[Column, Column]:
@@ -159,15 +236,12 @@ def _groups() -> tuple[Column, Column]:
     return tuple(F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
 
 
-def judge(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, carry: tuple[str, ...] = (), least: int = LEAST) -> DataFrame:
     """(_row with the carried columns, doc_id, base counts, base_failed, distance, kept) for each row."""
     stats = saved(statistics(docs, carry))
-    fit = fits(stats)
+    vectors, chosen = grouped(stats, least)
+    chosen = saved(chosen.join(fits(vectors), "g").select("_lang", "_source", *FIT))
     lang, source = _groups()
-    pairs = stats.select(lang.alias("_lang"), source.alias("_source")).distinct()
-    for level, key in (("2", F.concat_ws(":", F.lit("2"), "_lang", "_source")), ("1", F.concat_ws(":", F.lit("1"), "_lang")), ("0", F.lit("0"))):
-        pairs = pairs.join(fit.select(F.col("g").alias(f"g{level}"), F.struct(*FIT).alias(f"f{level}")), key == F.col(f"g{level}"), "left")
-    chosen = saved(pairs.select("_lang", "_source", F.coalesce("f2", "f1", "f0").alias("f")).select("_lang", "_source", "f.*"))
     rows = distance(stats.withColumns({"_lang": lang, "_source": source}).join(chosen, ["_lang", "_source"], "left"), "distance")
     bound = chi_square_at(1 - 1 / ODDS, P)
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= bound, F.lit(True)))
