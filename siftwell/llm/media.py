@@ -4,8 +4,11 @@
 decodes the sample tables and reports codec, duration and the byte ranges of key frames.
 
 Null texts count as empty; the payload is padded with zeros to a positive multiple of 64, so an
-empty text has one sample. Equal texts give equal containers. A container that can't be read
-gives nulls and the reason in `error`. Rows are independent; other columns are dropped.
+empty text has one sample. Equal texts give equal containers; very long ones get 64-bit sizes and
+are handled by themselves. A container that can't be read (boxes that leave their parent or nest
+too deep, tables that claim more than the file holds) gives nulls and the reason in `error`, never a
+failed task. Rows are independent: repeated rows give equal results, an empty table an empty one;
+columns other than those kept are dropped.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ FRAME = 64
 KEY_EVERY, PER_CHUNK = 16, 64
 #: Unsigned 8-bit samples a second.
 RATE = 8000
+#: Boxes nest this deep at most.
+DEPTH = 32
 #: Boxes that hold boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
@@ -71,10 +76,13 @@ def container(payload: bytes) -> bytes:
     return b"".join((ftyp, head, payload, _box(b"moov", mvhd, _box(b"trak", tkhd, mdia))))
 
 
-def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+def boxes(data: memoryview) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
     """(path, start and end of the body) of each box, depth first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+    open_: list[tuple[tuple[bytes, ...], int, int]] = [((), 0, len(data))]
+    while open_:
+        path, start, end = open_.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -83,10 +91,22 @@ def boxes(data: memoryview, start: int = 0, end: int | None = None, path: tuple[
         stop = end if size == 0 else start + size
         if stop < body or stop > end:
             raise ValueError(f"box {kind!r} leaves its parent")
+        if len(path) >= DEPTH:
+            raise ValueError(f"boxes nest deeper than {DEPTH}")
         yield (*path, kind), body, stop
+        open_.append((path, stop, end))
         if kind in NESTED:
-            yield from boxes(data, body, stop, (*path, kind))
-        start = stop
+            open_.append(((*path, kind), body, stop))
+
+
+def _entries(data: memoryview, a: int, b: int, width: int, at: int = 4):
+    """The rows of a table that counts them in front, as unsigned numbers of `width` bytes."""
+    import numpy as np
+
+    (n,) = struct.unpack_from(">I", data, a + at)
+    if a + at + 4 + n * width > b:
+        raise ValueError(f"a table claims {n} rows that its box doesn't hold")
+    return np.frombuffer(data[a + at + 4 : a + at + 4 + n * width], ">u8" if width == 8 else ">u4").astype(np.int64)
 
 
 def tables(data: memoryview) -> list[dict]:
@@ -107,22 +127,30 @@ def tables(data: memoryview) -> list[dict]:
             t["codec"] = bytes(data[a + 12 : a + 16]).decode("latin-1")
         elif kind == b"stsz":
             size, n = struct.unpack_from(">II", data, a + 4)
-            t["sizes"] = np.full(n, size, np.int64) if size else np.frombuffer(data[a + 12 : a + 12 + 4 * n], ">u4").astype(np.int64)
+            if size * n > len(data):
+                raise ValueError(f"{n} samples of {size} bytes don't fit the file")
+            t["sizes"] = np.full(n, size, np.int64) if size else _entries(data, a, b, 4, 8)
         elif kind in (b"stco", b"co64"):
-            t["chunks"] = np.frombuffer(data[a + 8 : b], ">u8" if kind == b"co64" else ">u4").astype(np.int64)
+            t["chunks"] = _entries(data, a, b, 8 if kind == b"co64" else 4)
         elif kind == b"stsc":
-            t["runs"] = np.frombuffer(data[a + 8 : b], ">u4").astype(np.int64).reshape(-1, 3)
+            t["runs"] = _entries(data, a, b, 12).reshape(-1, 3)
         elif kind == b"stss":
-            t["keys"] = np.frombuffer(data[a + 8 : b], ">u4").astype(np.int64) - 1
+            t["keys"] = _entries(data, a, b, 4) - 1
     for t in tracks:
         n, n_chunks = len(t["sizes"]), len(t["chunks"])
-        firsts = t["runs"][:, 0] - 1
-        each = np.repeat(t["runs"][:, 1], np.diff(np.append(firsts, n_chunks)))
-        chunk = np.repeat(np.arange(n_chunks), each)[:n]
+        of_run = np.diff(np.append(t["runs"][:, 0] - 1, n_chunks))
+        if (of_run < 0).any() or sum(int(k) * int(c) for k, c in zip(t["runs"][:, 1], of_run)) != n:
+            raise ValueError("chunks and samples don't agree")
+        each = np.repeat(t["runs"][:, 1], of_run)
+        chunk = np.repeat(np.arange(n_chunks), each)
         before = np.cumsum(t["sizes"]) - t["sizes"]
-        start_of_chunk = before[np.cumsum(each) - each] if n else before
+        start_of_chunk = np.append(before, 0)[np.cumsum(each) - each]
         t["offsets"] = t["chunks"][chunk] + before - start_of_chunk[chunk]
+        if n and (int(t["offsets"].min()) < 0 or int((t["offsets"] + t["sizes"]).max()) > len(data)):
+            raise ValueError("samples lie outside the file")
         t.setdefault("keys", np.arange(n))
+        if len(t["keys"]) and not 0 <= int(t["keys"].min()) <= int(t["keys"].max()) < n:
+            raise ValueError("key frames that aren't samples")
     return tracks
 
 
@@ -157,7 +185,7 @@ PROBE = (
 
 
 def probe(media: DataFrame, *keep: str, column: str = "media") -> DataFrame:
-    """The kept columns, and what the first track's tables say; a key frame's range lasts until the next one where samples touch."""
+    """The kept columns, and what the first track's tables say; a key frame's range is that of its sample."""
     small_batches(media.sparkSession)
 
     def one(data: bytes | None) -> tuple:
@@ -171,7 +199,7 @@ def probe(media: DataFrame, *keep: str, column: str = "media") -> DataFrame:
             keys = track["keys"]
             ranges = [{"offset": o, "length": n} for o, n in zip(track["offsets"][keys].tolist(), track["sizes"][keys].tolist())]
             return (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-FRAME:]), *head, track["codec"], track["timescale"], track["duration"], len(track["sizes"]), len(ranges), ranges, None)
-        except (ValueError, KeyError, IndexError, struct.error) as e:
+        except (ValueError, LookupError, ArithmeticError, struct.error) as e:
             return (None, None, None, *head, *(None,) * 6, f"{type(e).__name__}: {e}")
 
     kept = media.select(*keep, F.col(column).alias("media"))
@@ -199,4 +227,4 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("keyframes="), F.col("n_keyframes")),
         F.concat(F.lit("last="), last["offset"], F.lit("+"), last["length"]),
     )
-    return probe(stored, "doc_id", "n_bytes").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return probe(stored, "doc_id", "n_bytes").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "keyframes")

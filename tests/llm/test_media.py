@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import media
 
@@ -24,7 +25,12 @@ def test_container_round_trip(n):
 
 def test_query_columns(make):
     rows = [*ODD, (1, "é" * 500), (2, "a" * 64)]
-    out = media.probe(media.wrap(make(rows)), "doc_id", "n_bytes").collect()
+    stored = media.wrap(make(rows).withColumns({c: F.lit(1) for c in ("media", "n_bytes", "error")}))
+    out = media.probe(stored, "doc_id", "n_bytes").collect()
+    kept = {hashlib.sha256(bytes(r.media)).hexdigest(): len(r.media) for r in stored.collect()}
+    assert {r.media_sha256: r.media_bytes for r in out} == kept
+    for r in out:
+        assert [(k.offset - r.keyframes[0].offset, k.length) for k in r.keyframes] == [(a, 64) for a in range(0, r.payload_bytes, 64 * media.KEY_EVERY)]
     got = sorted((r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) for r in out)
     want = []
     for _, t in rows:
@@ -36,7 +42,18 @@ def test_query_columns(make):
 
 def test_broken_containers(spark):
     good = media.container(bytes(64))
-    frame = spark.createDataFrame([(1, bytearray(good[:-9])), (2, bytearray(b"nonsense")), (3, bytearray()), (4, None), (5, bytearray(good))], "id int, media binary")
+    deep = b""
+    for _ in range(3000):
+        deep = media._box(b"moov", deep)
+    at = good.index(b"stsz") + 8
+    many = good[:at] + b"\xff" * 8 + good[at + 8 :]
+    own = good[:at] + bytes(4) + b"\xff" * 4 + good[at + 8 :]
+    at = good.index(b"stco") + 12
+    far = good[:at] + b"\x7f" * 4 + good[at + 4 :]
+    at = good.index(b"stsc") + 8
+    runs = good[:at] + b"\xff" * 4 + good[at + 4 :]
+    odd = [(10 + i, bytearray(x)) for i, x in enumerate((deep, many, own, far, runs))]
+    frame = spark.createDataFrame([*odd, (1, bytearray(good[:-9])), (2, bytearray(b"nonsense")), (3, bytearray()), (4, None), (5, bytearray(good))], "id int, media binary")
     out = {r.id: r for r in media.probe(frame, "id").collect()}
-    assert all(out[i].error and out[i].payload_bytes is None for i in (1, 2, 3, 4)) and out[5].error is None
+    assert all(out[i].error and out[i].payload_bytes is None for i in (1, 2, 3, 4, 10, 11, 12, 13, 14)) and out[5].error is None
     assert media.probe(frame.limit(0), "id").count() == 0
