@@ -184,7 +184,7 @@ def _step(vectors: DataFrame, fit: DataFrame) -> DataFrame:
     cut = upto.where("upto >= h").groupBy("g", "s").agg(F.min(F.struct("bin", "w", "upto", "h")).alias("cut"))
     cut = saved(cut.select("g", "s", F.col("cut.bin").alias("cut"), F.col("cut.w").alias("tied"), F.expr("cut.h - (cut.upto - cut.w)").alias("missing")))
     share = F.when(F.col("bin") == F.col("cut"), F.expr("(w * missing + tied - 1) div tied")).otherwise(F.col("w"))
-    return saved(_fit(_sums(_by_group(near, cut, "s").where("bin <= cut").withColumn("w", share), "g", "s"), GROW))
+    return _fit(_sums(_by_group(near, cut, "s").where("bin <= cut").withColumn("w", share), "g", "s"), GROW)
 
 
 def _best(fit: DataFrame, n: int) -> DataFrame:
@@ -204,7 +204,7 @@ def fits(vectors: DataFrame) -> DataFrame:
     """(g, centre m, factor l, det): the fit of each group of vectors (g, _part, v0..v3, weight w, n: documents of the group)."""
     fit = _starts(vectors)
     for _ in range(BEGIN):
-        fit = _step(vectors, fit)
+        fit = saved(_step(vectors, fit))
     fit = saved(_best(fit, BEST))
     for _ in range(STEPS):
         lower = _step(vectors, fit).select("g", "s", F.struct("det", *FIT).alias("new"))
