@@ -3,14 +3,16 @@
 Documents are grouped by the set of sources that hold them. A flow carries words from these
 groups to the sources' quotas; each further copy of a group's words costs more than the last, so
 words are repeated only where a quota can't be met otherwise. What a group gives is then turned
-into documents: whole copies of all, and a seeded choice for the rest.
-
-Only one row per membership pattern, and sums per pattern and hash bucket, are ever brought
-together; the patterns and sources are names given by people, not a number that grows with the
-rows. A null or empty membership counts as a source of its own, last in order; null texts have
-size 0 and give nothing. Equal ids and repeated rows are separate documents with the same rank;
-ties are ordered by id, then size, and what still ties is taken alike. An empty table gives an
-empty mix. Other columns than those carried are dropped.
+into documents: whole copies of all, and a seeded choice for the rest: documents in the order of
+their codes, up to the one whose middle lies within. The place where a group's choice ends is found
+by sums per leading digits of the codes, level by level, so no group is ever ordered as a whole.
+
+The flow runs on the driver over membership patterns and sources, which are names given by people
+and don't grow with the rows; more than PATTERNS patterns are refused. A null or empty membership
+counts as a source of its own, last in order; null texts, empty ones and blank ones have size 0 and
+give nothing; a very long text counts whole. A code depends on seed, id and text; rows that are
+alike in both tie and are told apart by their place in the written table, as many taken as the
+quota needs. An empty table gives an empty mix. Other columns than those carried are dropped.
 """
 
 from __future__ import annotations
@@ -26,8 +28,10 @@ from .common import saved, word_count
 
 #: No document is taken more often than this.
 COPIES = 3
-#: Hash buckets by which the seeded choice is narrowed before anything is ordered.
-BUCKETS = 4096
+#: Digits of a code, in base 16, that each of the first levels of the choice goes by.
+DIGITS = (3, 3)
+#: The most membership patterns that a flow is made for.
+PATTERNS = 100_000
 #: Weights of the sources in order, repeating.
 WEIGHTS = (1, 2, 3)
 
@@ -48,8 +52,8 @@ def targets(sizes: dict, weights: dict, total: int, copies: int = COPIES) -> dic
     return out
 
 
-def min_cost_flow(groups: dict[tuple, int], quotas: dict[object, int], copies: int = COPIES) -> dict[tuple, int]:
-    """Words that each group gives. The k-th copy of a word costs k*k; successive cheapest paths.
+def min_cost_flow(groups: dict[tuple, int], quotas: dict[object, int], copies: int = COPIES) -> dict[tuple, dict[object, int]]:
+    """Words that each group gives to each of its sources. The k-th copy of a word costs k*k; successive cheapest paths.
 
     Nodes are groups and sources; a group's copies are parallel arcs from the start.
     """
@@ -101,7 +105,23 @@ def min_cost_flow(groups: dict[tuple, int], quotas: dict[object, int], copies: i
         for e in path:
             arcs[e][1] -= room
             arcs[e ^ 1][1] += room
-    return {g: sum(arcs[e][1] for e in heads[names["group", g]] if arcs[e][0] == 0) for g in groups}
+    return {g: {s: arcs[e ^ 1][1] for s in g for e in heads[names["group", g]] if e % 2 == 0 and arcs[e][0] == names["source", s]} for g in groups}
+
+
+def _ends(rows: DataFrame, rooms: DataFrame, keys: list[str]) -> DataFrame:
+    """Where each group's choice ends: rows (_group, keys, size) in the order of keys, room words. Per level i, `_last{i}` is the last key taken whole and `_edge{i}` the one taken in part."""
+    ends, edge, inside = rooms.select("_group"), rooms.select("_group", F.col("_rest").alias("_room")), rows
+    for i, key in enumerate(keys):
+        sums = inside.groupBy("_group", key).agg(F.sum("size").alias("_sum")).join(edge.select("_group", "_room"), "_group")
+        sums = sums.withColumn("_upto", F.sum("_sum").over(W.partitionBy("_group").orderBy(key)))
+        taken = F.col("_upto") <= F.col("_room") if i < len(keys) - 1 else 2 * F.col("_upto") - F.col("_sum") <= 2 * F.col("_room")
+        part = (F.col("_upto") > F.col("_room")) & (F.col("_upto") - F.col("_sum") < F.col("_room"))
+        room = F.col("_room") - F.col("_upto") + F.col("_sum")
+        level = saved(sums.groupBy("_group").agg(F.max(F.when(taken, F.col(key))).alias(f"_last{i}"), F.max(F.when(part, F.struct(F.col(key), room.alias("_room")))).alias("_part")))
+        ends = ends.join(level.select("_group", f"_last{i}", F.col(f"_part.{key}").alias(f"_edge{i}")), "_group", "left")
+        edge = level.where("_part is not null").select("_group", F.col(f"_part.{key}").alias(key), "_part._room")
+        inside = saved(inside.join(edge.select("_group", key), ["_group", key])) if i < len(keys) - 1 else inside
+    return saved(ends)
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), sources: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
@@ -114,34 +134,28 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), sources: str = "s
     many = dict(docs.dtypes)[sources].startswith("array")
     names = F.array_sort(F.array_distinct(sources)) if many else F.array(F.col(sources))
     names = F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(None).cast("string")))
-    code = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    size = word_count(F.col("text"))
-    rank = F.struct(code.alias("code"), F.col("doc_id").cast("long").alias("id"), size.alias("size"))
-    bucket = F.conv(F.substring(code, 1, 3), 16, 10).cast("int")
-    rows = saved(docs.select(F.struct(*carry).alias("_row"), names.alias("_members"), size.alias("size"), rank.alias("_rank"), bucket.alias("_bucket")))
-    groups = {tuple(r[0]): r[1] for r in rows.groupBy("_members").agg(F.sum("size")).collect()}
+    code = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit("")))))
+    rows = saved(docs.select(F.struct(*carry).alias("_row"), names.alias("_members"), word_count(F.col("text")).alias("size"), code.alias("_code"), F.monotonically_increasing_id().alias("_place")))
+    found = rows.groupBy("_members").agg(F.sum("size")).limit(PATTERNS + 1).collect()
+    if len(found) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} sets of sources")
+    groups = {tuple(r[0]): r[1] for r in found}
     order = sorted({s for g in groups for s in g}, key=lambda s: (s is None, s or ""))
     sizes = {s: sum(n for g, n in groups.items() if s in g) for s in order}
     share = targets(sizes, {s: weights[i % len(weights)] for i, s in enumerate(order)}, sum(groups.values()), copies)
-    given = min_cost_flow(groups, {s: round(share[s]) for s in order}, copies)
-    plan = [(list(g), i, n, given[g], sizes[g[0]], float(share[g[0]]), given[g] // n if n else 0) for i, (g, n) in enumerate(groups.items())]
-    plan = spark.createDataFrame(plan, "_members array<string>, _group int, _all long, _given long, source_size long, target double, _whole long")
-    rows = rows.join(F.broadcast(plan), "_members").drop("_members")
-    # words beyond whole copies: all documents of the first buckets, and of the bucket where they end the
-    # first ones, up to that whose middle lies within
-    rest = F.col("_given") - F.col("_whole") * F.col("_all")
-    sums = rows.groupBy("_group", "_bucket", rest.alias("_rest")).agg(F.sum("size").alias("_sum"))
-    upto = F.sum("_sum").over(W.partitionBy("_group").orderBy("_bucket"))
-    sums = saved(sums.select("_group", "_bucket", "_rest", "_sum", upto.alias("_upto")))
-    last = sums.where("_upto <= _rest").groupBy("_group").agg(F.max("_bucket").alias("_last"))
-    edge = sums.where("_upto > _rest and _upto - _sum < _rest").select("_group", "_bucket", (F.col("_rest") - F.col("_upto") + F.col("_sum")).alias("_room"))
-    within = W.partitionBy("_group").orderBy("_rank")
-    cut = rows.select("_group", "_bucket", "_rank", "size").join(F.broadcast(edge), ["_group", "_bucket"]).select("_group", "_rank", "_room", F.col("size").alias("_size"), F.sum("size").over(within).alias("_upto"))
-    cut = cut.where("2 * _upto - _size <= 2 * _room").groupBy("_group").agg(F.max("_rank").alias("_cut"))
-    ends = plan.select("_group").join(last, "_group", "left").join(edge.select("_group", F.col("_bucket").alias("_edge")), "_group", "left").join(cut, "_group", "left")
-    more = (F.col("_bucket") <= F.col("_last")) | ((F.col("_bucket") == F.col("_edge")) & (F.col("_rank") <= F.col("_cut")))
-    taken = F.col("size") * (F.col("_whole") + F.coalesce(more, F.lit(False)).cast("long"))
-    return rows.join(F.broadcast(ends), "_group").select("_row.*", "size", "source_size", "target", taken.alias("taken"))
+    flow = min_cost_flow(groups, {s: round(share[s]) for s in order}, copies)
+    given = {g: sum(to.values()) for g, to in flow.items()}
+    plan = [(list(g), i, sizes[g[0]], float(share[g[0]]), given[g] // n if n else 0, given[g] % n if n else 0) for i, (g, n) in enumerate(groups.items())]
+    plan = spark.createDataFrame(plan, "_members array<string>, _group int, source_size long, target double, _whole long, _rest long")
+    rows = rows.join(plan, "_members").drop("_members")
+    digits = [F.substring("_code", 1 + sum(DIGITS[:i]), n).alias(f"_key{i}") for i, n in enumerate(DIGITS)]
+    keys = [*digits, F.col("_code").alias("_key2"), F.shiftright("_place", 33).alias("_key3"), F.col("_place").alias("_key4")]
+    ends = _ends(rows.select("_group", "size", *keys), plan.select("_group", "_rest"), [f"_key{i}" for i in range(len(keys))])
+    more = F.lit(False)
+    for i in reversed(range(len(keys))):
+        more = F.coalesce(F.col(f"_key{i}") <= F.col(f"_last{i}"), F.lit(False)) | (F.coalesce(F.col(f"_key{i}") == F.col(f"_edge{i}"), F.lit(False)) & more)
+    taken = F.col("size") * (F.col("_whole") + more.cast("long"))
+    return rows.select("*", *keys).join(ends, "_group").select("_row.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::bigint AS n_removed, coalesce(sp
 
 OP9 = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(doc_id::varchar, 'null')) AS code FROM documents
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size, md5('mix:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))) AS code FROM documents
 ), s AS (
   SELECT source, n, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::int] AS w, sum(n) OVER () AS total FROM (SELECT source, sum(size)::bigint AS n FROM d GROUP BY 1)
 ), o AS (
@@ -68,7 +68,7 @@ WITH d AS (
 ), q AS (
   SELECT source, n, a::double / b::double AS target, (2 * a + b) // (2 * b) - CASE WHEN (2 * a) % (2 * b) = b AND ((2 * a + b) // (2 * b)) % 2 = 1 THEN 1 ELSE 0 END AS given FROM t
 ), c AS (
-  SELECT d.*, n, target, CASE WHEN n > 0 THEN given // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN given % n ELSE 0 END AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY code, doc_id, size) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT d.*, n, target, CASE WHEN n > 0 THEN given // n ELSE 0 END AS whole, CASE WHEN n > 0 THEN given % n ELSE 0 END AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY code, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
 )
 SELECT doc_id, size, n AS source_size, target, (size * (whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::bigint AS taken FROM c
 """

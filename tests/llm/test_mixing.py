@@ -27,8 +27,17 @@ def test_flow_is_cheapest():
         if x + y == 4 and z + w == 5 and y + z <= 6 and x <= 6 and w <= 3:
             cost = sum(k * k * max(0, min(n, used - n * (k - 1))) for n, used in ((2, x), (2, y + z), (1, w)) for k in (1, 2, 3))
             best = cost if best is None else min(best, cost)
-    cost = sum(k * k * max(0, min(groups[g], used - groups[g] * (k - 1))) for g, used in given.items() for k in (1, 2, 3))
-    assert sum(given.values()) == 9 and cost == best
+    cost = sum(k * k * max(0, min(groups[g], sum(to.values()) - groups[g] * (k - 1))) for g, to in given.items() for k in (1, 2, 3))
+    assert cost == best
+    assert {s: sum(to.get(s, 0) for to in given.values()) for s in quotas} == quotas
+
+
+def test_ties_meet_the_target(make):
+    """Rows that nothing tells apart: a part of them is taken."""
+    rows = [(None, "ten words that are the same in all of these rows", "en", "a")] * 1000 + [(i, "some other words", "en", "b") for i in range(2000)]
+    frame = mixing.mix(make(rows), ("source",)).toPandas()
+    for source, part in frame.groupby("source"):
+        assert abs(part["taken"].sum() - part["target"].iloc[0]) <= part["size"].max() / 2 + 0.5
 
 
 def test_mix_meets_targets(make):
@@ -48,9 +57,25 @@ def test_mix_meets_targets(make):
 
 
 def test_overlapping_sources(spark):
-    rows = [(i, "a b c", ["x", "y"] if i % 2 else ["x"]) for i in range(100)] + [(200, "z", []), (201, None, None)]
-    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, held array<string>"), sources="held").toPandas()
-    assert len(out) == 102 and out["taken"].sum() > 0 and out[out["doc_id"] == 200]["source_size"].iloc[0] == 1
+    """What each pattern takes is the cheapest way to meet the quotas, by trying all."""
+    sizes = {("x",): 2, ("x", "y"): 3, ("y", "z"): 1, (None,): 2}
+    rows = [(100 * i + k, "w", list(g) if g != (None,) else None) for i, (g, n) in enumerate(sizes.items()) for k in range(n)] + [(900, None, ["x"]), (901, "", [])]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, held array<string>"), ("doc_id", "held"), sources="held").collect()
+    assert len(out) == len(rows)
+    order = ["x", "y", "z", None]
+    held = {s: sum(n for g, n in sizes.items() if s in g) for s in order}
+    want = mixing.targets(held, dict(zip(order, (1, 2, 3, 1))), sum(sizes.values()))
+    quotas = {s: round(want[s]) for s in order}
+    arcs = [(g, s) for g in sizes for s in g]
+    best = None
+    for flow in itertools.product(*(range(min(3 * sizes[g], quotas[s]) + 1) for g, s in arcs)):
+        used = {g: sum(f for f, a in zip(flow, arcs) if a[0] == g) for g in sizes}
+        got = {s: sum(f for f, a in zip(flow, arcs) if a[1] == s) for s in order}
+        if all(used[g] <= 3 * sizes[g] for g in sizes) and all(got[s] <= quotas[s] for s in order):
+            key = (-sum(flow), sum(k * k * max(0, min(n, used[g] - n * (k - 1))) for g, n in sizes.items() for k in (1, 2, 3)))
+            best = min(best or key, key)
+    taken = {g: sum(r.taken for r in out if tuple(r.held or [None]) == g) for g in sizes}
+    assert (-sum(taken.values()), sum(k * k * max(0, min(n, taken[g] - n * (k - 1))) for g, n in sizes.items() for k in (1, 2, 3))) == best
 
 
 def test_empty(spark):
