@@ -1,14 +1,16 @@
 """License scans by patience alignment.
 
-A text is cut into overlapping windows of one and a half times a template's words. In a window,
-words that occur once in both are anchors; the longest increasing run of their places is kept,
-and the gaps between them are aligned in the same way, with equal words at their ends matched
-first. Of the matched words the densest stretch counts; its share of the template is the
-coverage. Texts that lack too many of a template's words for the wanted coverage are not aligned.
+A text is cut into overlapping windows of WIDE template lengths, one every half length, so that a
+license with as many words inserted as it has lies whole in one of them. In a window, words that
+occur once in both are anchors; the longest increasing run of their places is kept, and the gaps
+between them are aligned in the same way, with equal words at their ends matched first. Of the
+matched words the densest stretch counts; its share of the template is the coverage. Texts that lack
+too many of a template's words for the wanted coverage are not aligned.
 
 Null and empty texts match nothing. Of equal coverages the longer template wins, then the name.
 Rows are independent: repeated rows give equal results. Other columns are dropped; an empty table
-gives an empty result. Memory is bounded by one text and its windows.
+gives an empty result. Very long texts are scanned whole, window by window; memory is bounded by one
+text and its words.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import pieces, small_batches
 
 #: Share of a template's words that must match, and what an unmatched word in between costs.
 COVERAGE, GAP_COST = 0.8, 0.5
+#: Half lengths of a template in a window.
+WIDE = 5
 WORDS = re.compile(r"[^\W_]+")
 
 #: Names of licenses and their usual statements or texts.
@@ -48,6 +52,40 @@ TEMPLATES = {
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
+    "BSD-2-Clause (text)": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause (text)": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "MPL-2.0 (notice)": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. "
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "LGPL-2.1 (notice)": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "CC0-1.0 (notice)": (
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. "
+        "This software is distributed without any warranty."
+    ),
+    "Unlicense (text)": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "Zlib (text)": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+        "subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software."
+    ),
+    "CC-BY-4.0 (notice)": "This work is licensed under the Creative Commons Attribution 4.0 International License.",
     "GPL-3.0 (notice)": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
@@ -133,8 +171,8 @@ class Template:
         hits = [i for i, w in enumerate(words) if w in self.distinct]
         if not hits:
             return None
-        for k in sorted({s for i in hits for s in range(max(i // step - 2, 0), i // step + 1)}):
-            window = words[k * step : k * step + 3 * step + 1]
+        for k in sorted({s for i in hits for s in range(max(i // step - WIDE, 0), i // step + 1)}):
+            window = words[k * step : k * step + WIDE * step + 1]
             if len(self.distinct.difference(window)) > self.missing:
                 continue
             found = densest(align(window, self.words))
@@ -143,6 +181,12 @@ class Template:
         return best
 
 
+def templates_in(spark: SparkSession, folder: str) -> dict[str, str]:
+    """Templates from a folder of license texts, named by their files; a folder that people keep, so it fits the driver."""
+    rows = spark.read.text(folder, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value")
+    return {r.name.removesuffix(".txt"): r.value for r in rows.orderBy("name").collect()}
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, licenses): the matches of each text, best first."""
     known = [Template(name, text, coverage) for name, text in (templates or TEMPLATES).items()]
