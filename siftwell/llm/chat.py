@@ -6,15 +6,21 @@ ordered by level are in topological order. Arguments are checked against the sch
 called function, and each call with its result becomes one line of canonical JSON: keys in code
 point order, no blanks.
 
-Of several calls with one id the earliest counts, the others are `duplicate_call`; of several
-results the earliest is taken. A call without a result is `missing_result`, a result without a
-call `orphan_result`. Calls on a cycle, or that wait for one that doesn't exist, have no level.
-Null ids never link. Arguments that aren't an object are invalid. Repeated rows are duplicates of
-each other; other columns are dropped; an empty table gives an empty result.
+Every call, result and other message gives a row. Of several calls with one id the earliest counts,
+the others are `duplicate_call`; of several results the earliest is taken, the others are
+`duplicate_result`. A call without a result is `missing_result`, a result without a call
+`orphan_result`. Null ids never link: such calls are `call_without_id`, such results
+`result_without_id`. Other messages are `context`. Only linked, missing and orphan rows have levels
+and errors; all but duplicates have a message. Calls on a cycle, or that wait for one that doesn't
+exist, have no level. Arguments that aren't an object are invalid. Repeated rows are duplicates of
+each other. Texts of any length are kept whole; null and empty ones are null and empty in the
+message. Other columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,29 +32,66 @@ TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DO
 SCHEMAS = {"reply": {"required": ["text", "turn"], "properties": {"text": {"type": "string", "maxLength": 400}, "turn": {"type": "integer", "minimum": 0}}}}
 
 
+def errors_of(value: Column, rule: dict, at: str = "") -> Column:
+    """Array of texts: what a variant that is there has against a JSON schema.
+
+    type, enum, const, pattern, minLength, maxLength, minimum, maximum, minItems, maxItems, items,
+    required, properties; objects with properties take no others unless additionalProperties is true.
+    """
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    text, number = F.try_variant_get(value, "$", "string"), F.try_variant_get(value, "$", "double")
+    name = at or "arguments"
+    checks: list[Column] = []
+
+    def bad(condition: Column, what: str) -> None:
+        checks.append(F.when(F.coalesce(condition, F.lit(False)), f"{name}: {what}"))
+
+    is_text, is_list, is_number = kind.startswith("STRING"), kind.startswith("ARRAY"), F.lit(False)
+    for t in TYPES["number"]:
+        is_number = is_number | kind.startswith(t)
+    if "type" in rule:
+        right = F.lit(False)
+        for t in TYPES[rule["type"]]:
+            right = right | kind.startswith(t)
+        bad(~right, f"not of type {rule['type']}" if at else f"not an {rule['type']}")
+    for allowed in ([rule["const"]],) if "const" in rule else (rule["enum"],) if "enum" in rule else ():
+        bad(~F.to_json(value).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in allowed]), "not an allowed value")
+    if "pattern" in rule:
+        bad(is_text & ~text.rlike(rule["pattern"]), "does not match")
+    for key, wrong, what in (("minLength", F.char_length(text).__lt__, "too short"), ("maxLength", F.char_length(text).__gt__, "too long")):
+        if key in rule:
+            bad(is_text & wrong(rule[key]), what)
+    for key, wrong, what in (("minimum", number.__lt__, "too small"), ("maximum", number.__gt__, "too large")):
+        if key in rule:
+            bad(is_number & wrong(rule[key]), what)
+    items = F.try_variant_get(value, "$", "array<variant>")
+    for key, wrong, what in (("minItems", F.size(items).__lt__, "too few items"), ("maxItems", F.size(items).__gt__, "too many items")):
+        if key in rule:
+            bad(is_list & wrong(rule[key]), what)
+    out = [F.array_compact(F.array(*checks)).cast("array<string>")]
+    none = F.array().cast("array<string>")
+    if "items" in rule:
+        out.append(F.when(is_list, F.array_distinct(F.flatten(F.transform(items, lambda x: errors_of(x, rule["items"], f"{name}[]"))))))
+    fields = rule.get("properties", {})
+    inner = []
+    for field in {**fields, **dict.fromkeys(rule.get("required", ()), {})}:
+        path = f"{at}.{field}" if at else field
+        part = F.try_variant_get(value, '$["' + field + '"]', "variant")
+        missing = F.array(F.lit(f"{path}: missing")) if field in rule.get("required", ()) else none
+        inner.append(F.when(part.isNull(), missing).otherwise(errors_of(part, fields.get(field, {}), path)))
+    if fields and not rule.get("additionalProperties"):
+        keys = F.array_sort(F.array_except(F.map_keys(F.from_json(F.to_json(value), "map<string, variant>")), F.array(*map(F.lit, fields))))
+        inner.append(F.transform(keys, lambda k: F.concat(F.lit(f"{at}." if at else ""), k, F.lit(": unexpected"))))
+    if inner:
+        out.append(F.when(kind.startswith("OBJECT"), F.flatten(F.array(*(F.coalesce(x, none) for x in inner)))))
+    return F.flatten(F.array(*(F.coalesce(x, none) for x in out)))
+
+
 def argument_errors(name: Column, arguments: Column, schemas: dict) -> Column:
-    """Array of texts, empty for valid arguments. `arguments` is a variant."""
-    whole = F.schema_of_variant(arguments)
+    """Array of texts, empty for valid arguments. `arguments` is a variant, null if it isn't JSON."""
     out = F.array(F.concat(F.lit("unknown function "), F.coalesce(name, F.lit("null"))))
     for function, schema in schemas.items():
-        checks = []
-        for field, rule in schema["properties"].items():
-            value = F.try_variant_get(arguments, f"$.{field}", "variant")
-            kind = F.schema_of_variant(value)
-            right = F.lit(False)
-            for t in TYPES[rule["type"]]:
-                right = right | kind.startswith(t)
-            if field in schema.get("required", ()):
-                checks.append(F.when(value.isNull(), f"{field}: missing"))
-            checks.append(F.when(value.isNotNull() & ~right, f"{field}: not of type {rule['type']}"))
-            if "maxLength" in rule:
-                checks.append(F.when(F.char_length(F.try_variant_get(arguments, f"$.{field}", "string")) > rule["maxLength"], f"{field}: too long"))
-            if "minimum" in rule:
-                checks.append(F.when(F.try_variant_get(arguments, f"$.{field}", "double") < rule["minimum"], f"{field}: too small"))
-        keys = F.map_keys(F.from_json(F.to_json(arguments), "map<string, variant>"))
-        extra = F.transform(F.array_sort(F.array_except(keys, F.array(*map(F.lit, schema["properties"])))), lambda k: F.concat(k, F.lit(": unexpected")))
-        fields = F.when(F.coalesce(whole.startswith("OBJECT"), F.lit(False)), F.concat(F.array_compact(F.array(*checks)), F.coalesce(extra, F.array().cast("array<string>")))).otherwise(F.array(F.lit("arguments: not an object")))
-        out = F.when(name == function, fields).otherwise(out)
+        out = F.when(name == function, errors_of(arguments, {"type": "object"} | schema)).otherwise(out)
     return out
 
 
@@ -70,32 +113,52 @@ def levels(nodes: DataFrame) -> DataFrame:
     return here.select("id", F.when(F.col("after").isNull(), F.col("level")).alias("level"))
 
 
-def link(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:
-    """calls (id, at, name, arguments: JSON text, after), results (id, at, content): one row per call and per orphan result.
+def _rows_of(rows: DataFrame, status: Column | str, message: Column | None = None) -> DataFrame:
+    """Rows that link with nothing."""
+    null = F.lit(None)
+    status = F.lit(status) if isinstance(status, str) else status
+    return rows.select("id", "at", status.alias("status"), null.cast("long").alias("level"), null.cast("array<string>").alias("errors"), (null.cast("string") if message is None else message).alias("message"))
+
+
+def _json(*columns: Column) -> Column:
+    """Canonical JSON of columns given in code point order of their names."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+def _later(rows: DataFrame, *columns: str) -> DataFrame:
+    """(id, at) of rows with an id that aren't the earliest of it; of rows that are alike one may be."""
+    counted = rows.where("id is not null").groupBy("id", *columns).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.groupBy("id").agg(F.min(F.struct(*columns)).alias("first"))
+    n = F.when(F.struct(*columns) == F.col("first"), F.col("n") - 1).otherwise(F.col("n"))
+    return counted.join(first, "id").withColumn("n", n).where("n > 0").select("id", "at", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("_")).drop("_")
+
+
+def link(calls: DataFrame, results: DataFrame, schemas: dict, context: DataFrame | None = None) -> DataFrame:
+    """calls (id, at, name, arguments: JSON text, after), results (id, at, content), context (at, role, content): one row per call and result that link, and per one that doesn't.
 
     `at` orders calls and results; any comparable type. Returns id, at, status, level, errors, message.
     """
-    calls = calls.select("id", "at", "name", "arguments", "after")
+    calls, results = calls.select("id", "at", "name", "arguments", "after"), results.select("id", "at", "content")
     first = calls.where("id is not null").groupBy("id").agg(F.min(F.struct("at", "name", "arguments", "after")).alias("call"))
     result = results.where("id is not null").groupBy("id").agg(F.min(F.struct("at", "content")).alias("result"))
     depth = levels(first.select("id", "call.after"))
-    variant = F.try_parse_json("call.arguments")
-    linked = first.join(result, "id", "full").join(depth, "id", "left").withColumn("parsed", variant)
+    linked = first.join(result, "id", "full").join(depth, "id", "left").withColumn("parsed", F.try_parse_json("call.arguments"))
     errors = F.when(F.col("call").isNotNull(), argument_errors(F.col("call.name"), F.col("parsed"), schemas))
-    content = F.col("result.content")
-    message = F.to_json(F.struct(F.col("parsed").alias("arguments"), content.alias("content"), F.col("id"), F.col("call.name").alias("name")), {"ignoreNullFields": "false"})
+    message = _json(F.col("parsed").alias("arguments"), F.col("result.content").alias("content"), F.col("id"), F.col("call.name").alias("name"))
     status = F.when(F.col("call").isNull(), "orphan_result").when(F.col("result").isNull(), "missing_result").otherwise("linked")
     rows = linked.select("id", F.coalesce("call.at", "result.at").alias("at"), status.alias("status"), F.when(F.col("call").isNotNull(), F.col("level")).alias("level"), errors.alias("errors"), message.alias("message"))
-    count = calls.groupBy("id", "at", "name", "arguments", "after").agg(F.count(F.lit(1)).alias("n"))
-    again = count.join(first, "id", "left").where(F.col("call").isNull() | (F.struct("at", "name", "arguments", "after") != F.col("call")) | (F.col("n") > 1))
-    same = F.col("call").isNotNull() & (F.struct("at", "name", "arguments", "after") == F.col("call"))
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.when(same, F.col("n") - 1).otherwise(F.col("n"))))
-    again = again.select("id", "at", copies).select("id", "at", F.lit("duplicate_call").alias("status"), F.lit(None).cast("long").alias("level"), F.lit(None).cast("array<string>").alias("errors"), F.lit(None).cast("string").alias("message"))
-    return rows.unionByName(again)
-
-
-def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of conversations: a user's turn calls `reply`, the turn after it is the result if it is an assistant's; a call waits for that two turns before."""
+    rows = rows.unionByName(_rows_of(_later(calls, "at", "name", "arguments", "after"), "duplicate_call")).unionByName(_rows_of(_later(results, "at", "content"), "duplicate_result"))
+    nameless = _json(F.try_parse_json("arguments").alias("arguments"), F.lit(None).cast("string").alias("content"), "id", "name")
+    rows = rows.unionByName(_rows_of(calls.where("id is null"), "call_without_id", nameless))
+    null = F.lit(None).cast("string")
+    rows = rows.unionByName(_rows_of(results.where("id is null"), "result_without_id", _json(null.alias("arguments"), F.col("content"), F.col("id"), null.alias("name"))))
+    if context is None:
+        return rows
+    return rows.unionByName(_rows_of(context.withColumn("id", null), "context", _json(F.col("content"), F.col("role"))))
+
+
+def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Calls, results and context of conversations: a user's turn calls `reply`, an assistant's is the result of the turn before it, others are context; a call waits for that two turns before."""
     turns = turns.select("conv_id", "turn", "role", "text")
 
     def name(turn: Column) -> Column:
@@ -107,12 +170,13 @@ def from_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     earlier = user.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_earlier")).distinct()
     calls = user.join(earlier, ["conv_id", "turn"], "left").select(name(F.col("turn")).alias("id"), at, F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(F.col("_earlier"), name(F.col("turn") - 2)).alias("after"))
     results = turns.where("role = 'assistant'").select(name(F.col("turn") - 1).alias("id"), at, F.col("text").alias("content"))
-    return calls, results
+    context = turns.where("role is null or role not in ('user', 'assistant')").select(at, "role", F.col("text").alias("content"))
+    return calls, results, context
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    rows = link(calls, results, SCHEMAS)
+    calls, results, context = from_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    rows = link(calls, results, SCHEMAS, context)
     return rows.select("at.conv_id", "at.turn", F.col("id").alias("call_id"), "status", "level", F.size("errors").cast("long").alias("n_errors"), F.array_join("errors", "; ").alias("errors"), F.sha2("message", 256).alias("message_sha256"))
 
 
@@ -135,4 +199,6 @@ SELECT conv_id, turn, id AS call_id,
        CASE WHEN call IS NOT NULL THEN CASE WHEN long THEN 'text: too long' ELSE '' END END AS errors,
        sha256('{"arguments":' || coalesce(arguments::varchar, 'null') || ',"content":' || coalesce(to_json(content)::varchar, 'null') || ',"id":' || to_json(id)::varchar || ',"name":' || CASE WHEN call IS NULL THEN 'null' ELSE '"reply"' END || '}') AS message_sha256
 FROM j
+UNION ALL SELECT conv_id, turn, NULL, 'context', NULL, NULL, NULL, sha256('{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || '}')
+FROM conversations WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
