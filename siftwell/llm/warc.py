@@ -8,7 +8,7 @@ close together into one read, and parses the records.
 
 Null html is an empty payload; a null URL is written as an empty one. A null id counts as
 smaller than any other; rows that tie for the largest id of a payload are all responses, so
-repeated rows stay apart. Payloads below `min_bytes` are never revisits. An empty table makes an
+repeated rows stay apart. Payloads are kept whole, a very long one is read by itself. Payloads below `min_bytes` are never revisits. An empty table makes an
 empty index. Other columns are dropped. A failed task leaves only a file that no index row names.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -78,9 +79,10 @@ def write(pages: DataFrame, root: str, min_bytes: int = 0) -> DataFrame:
     id_type = dict(pages.dtypes)["page_id"]
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), body.alias("payload"), base32_sha1(body).alias("digest"))
-    best = rows.groupBy("digest").agg(F.max("page_id").alias("keeper"))
-    rows = rows.join(best, "digest")
-    revisit = (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    # only payloads that occur more than once meet their keeper; where they are few, no payload is shuffled
+    often = saved(rows.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("often")).where("often > 1"))
+    rows = rows.join(often, "digest", "left")
+    revisit = F.col("often").isNotNull() & (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     rows = rows.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "keeper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,25 +132,24 @@ def read(index: DataFrame, root: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _filesystem(root)
-        name, file = None, None
-        for group in ranges(batches):
-            if group[0][0] != name:
-                if file is not None:
-                    file.close()
-                name = group[0][0]
-                file = fs.open_input_file(f"{base}/{name}")
-            start = group[0][1]
-            data, out = memoryview(file.read_at(sum(group[-1][1:3]) - start, start)), []
-            for _, offset, length, digest in group:
-                fields, payload = parse(gzip.decompress(data[offset - start : offset - start + length]))
-                kind = fields["WARC-Type"]
-                own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                if fields["WARC-Payload-Digest"] != f"sha1:{digest}" or kind == "response" and own != digest:
-                    raise ValueError(f"{name} at {offset}: digests differ")
-                ids = [None if x in (None, "null") else x for x in (fields[k][10:-1] if k in fields else None for k in ("WARC-Record-ID", "WARC-Refers-To"))]
-                out.append((ids[0], fields["WARC-Target-URI"], kind, digest, ids[1], len(payload) if kind == "response" else None))
-            kinds = [pa.string()] * 5 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["record_id", "url", "record_type", "digest", "refers_to", "payload_bytes"])
+        for name, groups in itertools.groupby(ranges(batches), key=lambda g: g[0][0]):
+            with fs.open_input_file(f"{base}/{name}") as file:
+                yield from map(lambda g: records(name, file, g), groups)
+
+    def records(name: str, file, group: list[tuple[str, int, int, str]]) -> pa.RecordBatch:
+        """What one read of neighbouring records holds."""
+        start = group[0][1]
+        data, out = memoryview(file.read_at(sum(group[-1][1:3]) - start, start)), []
+        for _, offset, length, digest in group:
+            fields, payload = parse(gzip.decompress(data[offset - start : offset - start + length]))
+            kind = fields["WARC-Type"]
+            own = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            if fields["WARC-Payload-Digest"] != f"sha1:{digest}" or kind == "response" and own != digest:
+                raise ValueError(f"{name} at {offset}: digests differ")
+            ids = [None if x in (None, "null") else x for x in (fields[k][10:-1] if k in fields else None for k in ("WARC-Record-ID", "WARC-Refers-To"))]
+            out.append((ids[0], fields["WARC-Target-URI"], kind, digest, ids[1], len(payload) if kind == "response" else None))
+        kinds = [pa.string()] * 5 + [pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["record_id", "url", "record_type", "digest", "refers_to", "payload_bytes"])
 
     return rows.mapInArrow(run, "record_id string, url string, record_type string, digest string, refers_to string, payload_bytes long")
 
