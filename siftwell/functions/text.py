@@ -15,15 +15,24 @@ SOURCE_LOCATION = r"^[^:]+\.(c|h|cpp|inl):[0-9]+$"
 ALIASES = (("C1", "C2"), ("D1", "D2"), ("C3", "C2"), ("D0", "D2"))
 
 
+#: White space as texts are stripped of: Unicode's, and the four separators from \x1c on.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def stripped(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANKS))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def parse_location(text: Column) -> Column:
-    """{fl, ln} of `file:line`, split at the last colon; null if that isn't possible."""
+    """{fl, ln} of `file:line`, split at the last colon; null if that isn't possible or the number is too large for a line."""
     file, line = (F.regexp_extract(text, r"(?s)^(.+):([0-9]+)$", k) for k in (1, 2))
-    return F.when(file != "", F.struct(file.alias("fl"), line.cast("int").alias("ln")))
+    return F.when(line.try_cast("int").isNotNull(), F.struct(file.alias("fl"), line.try_cast("int").alias("ln")))
 
 
 def location_text(fl: Column, ln: Column) -> Column:
@@ -33,20 +42,20 @@ def location_text(fl: Column, ln: Column) -> Column:
 def normalized_location(fl: Column, ln: Column, cl: Column, text: Column) -> Column:
     """{fl, ln, cl} from fields if both are there, else from the text."""
     parsed = parse_location(text)
-    return F.when(fl.isNotNull() & ln.isNotNull(), F.struct(fl.alias("fl"), ln.cast("int").alias("ln"), cl.cast("int").alias("cl"))).otherwise(
+    return F.when(fl.isNotNull() & ln.isNotNull(), F.struct(fl.alias("fl"), ln.try_cast("int").alias("ln"), cl.try_cast("int").alias("cl"))).otherwise(
         F.when(parsed.isNotNull(), F.struct(parsed["fl"].alias("fl"), parsed["ln"].alias("ln"), F.lit(None).cast("int").alias("cl")))
     )
 
 
 def ensure_location(location: Column, fl: Column, filename: Column, ln: Column, line: Column) -> Column:
+    """The location if there is one, else file and line as text; null where one of them is missing."""
     return F.coalesce(F.nullif(location, F.lit("")), location_text(F.coalesce(F.nullif(fl, F.lit("")), filename), F.coalesce(ln, line)))
 
 
 def described_location(text: Column) -> Column:
-    """`file:line` of the first location in a description, with or without a column; null if there is none."""
-    with_column, without = r'\{ "ln": ([0-9]+), "cl": [0-9]+, "fl": "(.+)" \}', r'\{ "ln": ([0-9]+), "fl": "(.+)" \}'
-    found = [F.when(F.regexp_extract(text, p, 1) != "", location_text(F.regexp_extract(text, p, 2), F.regexp_extract(text, p, 1))) for p in (with_column, without)]
-    return F.coalesce(*found)
+    """`file:line` of the location object in a description, with or without a column; null if there is none."""
+    found = let(F.from_json(F.regexp_extract(text, r'(\{ "ln": [^{}]*\})', 1), "ln string, cl string, fl string"), lambda o: F.when(o["ln"].rlike("^[0-9]+$"), location_text(o["fl"], o["ln"])))
+    return F.nullif(found, F.lit(""))
 
 
 def described_group(descriptions: Column) -> Column:
@@ -61,12 +70,13 @@ def body_aliases(name: Column) -> Column:
 
 
 def strip_false_error(error: Column) -> Column:
-    """An error text, or null where it is false or empty."""
-    return F.nullif(F.nullif(F.nullif(error, F.lit("")), F.lit("false")), F.lit("null"))
+    """An error as JSON text, or null where it is a false value."""
+    return F.when(~error.isin("", '""', "false", "null", "0", "0.0", "[]", "{}"), error)
 
 
 def tolerant_json(text: Column) -> Column:
-    """A variant from text that is nearly JSON: as is, then repaired step by step; null if nothing helps."""
+    """A variant from text that is nearly JSON: as is, then repaired step by step; an empty object from no text, null if nothing helps."""
+    text = F.coalesce(text, F.lit(""))
     ticks = stripped(text)
     clean = F.when(ticks.rlike(r"(?s)^`.*`$") & (F.char_length(ticks) > 1), stripped(ticks.substr(F.lit(2), F.char_length(ticks) - 2))).otherwise(ticks)
     quotes = F.char_length(clean) - F.char_length(F.replace(clean, F.lit('"')))

@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schemas import LOC, NODE, PRIMARY_ROLES
+from ..functions.text import let
+from ..schemas import NODE, PRIMARY_ROLES
 
 
 def path_nodes() -> Column:
@@ -19,27 +20,24 @@ def path_nodes() -> Column:
 
 
 def location(loc: Column) -> Column:
-    """{fl, ln, cl} of a location; a missing column is 0."""
-    return F.when(loc.isNotNull(), F.struct(loc["file"].alias("fl"), loc["line"].cast("int").alias("ln"), F.coalesce(loc["column"], F.lit(0)).cast("int").alias("cl")))
+    """{fl, ln, cl} of a location; a missing column is 0, numbers too large are null."""
+    return F.when(loc.isNotNull(), F.struct(loc["file"].alias("fl"), loc["line"].try_cast("int").alias("ln"), F.coalesce(loc["column"], F.lit(0)).try_cast("int").alias("cl")))
 
 
-def path_location() -> Column:
-    """The last node of the first preferred role that has a location."""
-    nodes = path_nodes()
+def path_place() -> Column:
+    """The location of the last node of the first preferred role that has one, in one pass over the nodes."""
+    roles = F.array(*map(F.lit, PRIMARY_ROLES))
+    ranked = F.transform(path_nodes(), lambda n, i: F.struct((-F.array_position(roles, n["role"])).alias("role"), i.alias("i"), n["location"].alias("location")))
+    return F.array_max(F.filter(ranked, lambda x: (x["role"] < 0) & x["location"].isNotNull()))["location"]
 
-    def last(role: str) -> Column:
-        return F.try_element_at(F.filter(nodes, lambda n: (n["role"] == role) & n["location"].isNotNull()), F.lit(-1))["location"]
 
-    return location(F.coalesce(*map(last, PRIMARY_ROLES)))
-
-
-def access_location() -> Column:
-    return location(F.col("access.location"))
+def access_place() -> Column:
+    return F.col("access.location")
 
 
 @dataclass(frozen=True)
 class Behaviour:
-    """What depends on the category: builders of Columns, and the hint of the prompt."""
+    """What depends on the category: builders of Columns (the place as file, line, column), and the hint of the prompt."""
 
     primary_location: Callable[[], Column]
     batch_key: Callable[[], Column]
@@ -63,7 +61,7 @@ def _alone() -> Column:
 
 def _by_free() -> Column:
     at = F.get(F.filter("path", lambda n: n["role"] == "free"), F.lit(0))["location"]
-    return _key((at["file"], True), (at["line"], False))
+    return let(at, lambda x: _key((x["file"], True), (x["line"], False)))
 
 
 def _by_memory() -> Column:
@@ -81,11 +79,11 @@ LEAK_HINT = "`paths` are possible safe freeing witnesses and `leak_condition` is
 RANGE_HINT = "`range_analysis` is the ordered value-range derivation from variables and guards through the final bounds comparison."
 
 BEHAVIOURS: dict[str, Behaviour] = {
-    "MEMORY_LEAK": Behaviour(path_location, _alone, LEAK_HINT),
-    "DOUBLE_FREE": Behaviour(path_location, _alone, PATH_HINT),
-    "USE_AFTER_FREE": Behaviour(path_location, _by_free, PATH_HINT),
-    "UNINIT_USE": Behaviour(path_location, _by_memory, PATH_HINT),
-    "BUFFER_OVERFLOW": Behaviour(access_location, _by_access, RANGE_HINT),
+    "MEMORY_LEAK": Behaviour(path_place, _alone, LEAK_HINT),
+    "DOUBLE_FREE": Behaviour(path_place, _alone, PATH_HINT),
+    "USE_AFTER_FREE": Behaviour(path_place, _by_free, PATH_HINT),
+    "UNINIT_USE": Behaviour(path_place, _by_memory, PATH_HINT),
+    "BUFFER_OVERFLOW": Behaviour(access_place, _by_access, RANGE_HINT),
 }
 
 
@@ -104,11 +102,12 @@ def by_category(choose: Callable[[Behaviour], Column], behaviours: dict[str, Beh
 def keyed(alerts: DataFrame, behaviours: dict[str, Behaviour] | None = None) -> DataFrame:
     """alerts with primary location (fl, ln, cl), source_location, batch_key and hint."""
     rows = alerts.withColumns({
-        "loc": by_category(lambda b: b.primary_location, behaviours),
+        "_place": by_category(lambda b: b.primary_location, behaviours),
         "batch_key": by_category(lambda b: b.batch_key, behaviours),
         "hint": by_category(lambda b: b.hint, behaviours),
     })
-    return rows.withColumn("source_location", F.concat("loc.fl", F.lit(":"), "loc.ln"))
+    # the next projection uses _place several times, so Spark computes it once, below
+    return rows.withColumn("loc", location(F.col("_place"))).drop("_place").withColumn("source_location", F.concat("loc.fl", F.lit(":"), "loc.ln"))
 
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -30,13 +30,23 @@ def numbered(rows: DataFrame, key: str, name: str, before: str) -> DataFrame:
 
 
 def make_batches(alerts: DataFrame, size: int = 8, order: str = "file_path") -> DataFrame:
-    """(alert_id, batch_no, batch_id, pos, short_id): alerts by batch_key, in `order`, in chunks of `size`; batches numbered by key order."""
+    """(alert_id, batch_no, batch_id, pos, short_id): alerts by batch_key, in `order`, in chunks of `size`; batches numbered by key order.
+
+    Alerts are range-partitioned by key and order, so that one key for all rows spreads over all
+    partitions; a key's places go on from partition to partition by one small row for each.
+    """
     size = max(size, 1)
     rows = alerts.select("alert_id", "batch_key", F.col(order).alias("_order"))
-    rows = rows.select("alert_id", "batch_key", (F.row_number().over(W.partitionBy("batch_key").orderBy("_order", "alert_id")) - 1).alias("_rn"))
-    keys = rows.groupBy("batch_key").agg(F.ceil(F.count(F.lit(1)) / size).alias("n"))
-    keys = numbered(keys, "batch_key", "_key_no", "_before").select("batch_key", "_before")
-    rows = rows.join(keys, "batch_key").select("alert_id", (F.col("_before") + F.floor(F.col("_rn") / size) + 1).alias("batch_no"), (F.col("_rn") % size + 1).cast("int").alias("pos"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = saved(rows.repartitionByRange(parts, "batch_key", "_order", "alert_id").withColumn("_part", F.spark_partition_id()))
+    within = W.partitionBy("_part", "batch_key").orderBy("_order", "alert_id")
+    ranked = placed.select("alert_id", "batch_key", "_part", (F.row_number().over(within) - 1).alias("_rn"))
+    runs = placed.groupBy("batch_key", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_order", "alert_id")).alias("_least"))
+    before = F.sum("_n").over(W.partitionBy("batch_key").orderBy("_least")) - F.col("_n")  # a row per partition
+    keys = numbered(runs.groupBy("batch_key").agg(F.ceil(F.sum("_n") / size).alias("n")), "batch_key", "_key_no", "_before").select("batch_key", "_before")
+    starts = runs.select("batch_key", "_part", before.alias("_start")).join(keys, "batch_key")
+    rows = ranked.join(starts, ["batch_key", "_part"]).withColumn("_rn", F.col("_rn") + F.col("_start"))
+    rows = rows.select("alert_id", (F.col("_before") + F.floor(F.col("_rn") / size) + 1).alias("batch_no"), (F.col("_rn") % size + 1).cast("int").alias("pos"))
     batch_id = F.concat(F.lit("B"), F.when(F.col("batch_no") < 10000, F.lpad(F.col("batch_no").cast("string"), 4, "0")).otherwise(F.col("batch_no").cast("string")))
     rows = rows.withColumn("batch_id", batch_id)
     return rows.withColumn("short_id", F.concat("batch_id", F.lit("-A"), F.when(F.col("pos") < 100, F.lpad(F.col("pos").cast("string"), 2, "0")).otherwise(F.col("pos").cast("string"))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import body_aliases, stripped
+from ..functions.text import body_aliases, ensure_location, normalized_location, strip_false_error, stripped
 from .failures import NO_FILE, NO_LINE
 
 #: Lines of a file that fall into one bucket of an interval join.
@@ -58,12 +58,38 @@ def current_function(requests: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def function_bodies(requests: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:
-    """requests (req_id, name) with the first function that the name or one of its aliases finds, and its text."""
-    tried = requests.select("req_id", F.posexplode(body_aliases(F.col("name"))).alias("pos", "function_name"))
-    hits = tried.join(functions, "function_name").groupBy("req_id").agg(F.min(F.struct("pos", "function_name", "filename", "start_line", "end_line")).alias("f"))
-    found = requests.join(hits, "req_id", "left").select("req_id", "name", F.col("f.function_name").alias("resolved_name"), F.col("f.filename").alias("file"), "f.start_line", "f.end_line")
-    error = F.when(stripped(F.col("name")) == "", "function name is empty").when(F.col("resolved_name").isNull(), "function not found")
-    return snippets(found, lines).withColumn("error", error).withColumn("snippet", F.when(F.col("error").isNull(), F.col("snippet")))
+    """requests (req_id, name) with the first function that the name or one of its aliases finds, and its text.
+
+    `functions` may carry `error`, why the index has no body for a name; requests that find nothing
+    give the last error of what was tried. `alias` is the name that was found where it isn't the requested one.
+    """
+    functions = functions if "error" in functions.columns else functions.withColumn("error", F.lit(None).cast("string"))
+    tried = requests.select("req_id", F.posexplode(body_aliases(F.col("name"))).alias("pos", "function_name")).join(functions, "function_name", "left")
+    usable = F.col("error").isNull() & F.col("filename").isNotNull()
+    hit = F.struct("pos", "function_name", "filename", "start_line", "end_line")
+    why = F.struct("pos", F.coalesce("error", F.lit("unknown function")).alias("error"))
+    hits = tried.groupBy("req_id").agg(F.min(F.when(usable, hit)).alias("f"), F.max(F.when(~usable, why)).alias("w"))
+    found = requests.join(hits, "req_id", "left").select("req_id", "name", F.col("f.function_name").alias("resolved_name"), F.col("f.filename").alias("file"), "f.start_line", "f.end_line", F.col("w.error").alias("_why"))
+    # fixed values: the texts of the errors
+    missing = F.concat(F.lit("Function body unavailable for '"), "name", F.lit("'. "), F.coalesce("_why", F.lit("unknown error")))
+    error = F.when(stripped(F.coalesce("name", F.lit(""))) == "", "function_name must be a non-empty string").when(F.col("resolved_name").isNull(), missing)
+    alias = F.when(F.col("resolved_name") != F.col("name"), F.col("resolved_name"))
+    return snippets(found, lines).withColumns({"error": error, "alias": alias}).withColumn("snippet", F.when(F.col("error").isNull(), F.col("snippet"))).drop("_why")
+
+
+def located(requests: DataFrame) -> DataFrame:
+    """requests (text, or fl, ln and cl) with the key `at` {fl, ln, cl} that facts are looked up by; null where neither names a place."""
+    return requests.withColumn("at", normalized_location(F.col("fl"), F.col("ln"), F.col("cl"), F.col("text")))
+
+
+def with_locations(nodes: DataFrame) -> DataFrame:
+    """nodes (location, fl, filename, ln, line) with `location` filled in where its parts are there."""
+    return nodes.withColumn("location", ensure_location(*map(F.col, ("location", "fl", "filename", "ln", "line"))))
+
+
+def without_false_errors(rows: DataFrame) -> DataFrame:
+    """rows with `error`, JSON text, null where it is false or empty."""
+    return rows.withColumn("error", strip_false_error(F.col("error")))
 
 
 def normalized_path(name: Column) -> Column:
@@ -80,11 +106,10 @@ def normalized_path(name: Column) -> Column:
     return F.when(text == "", ".").otherwise(text)
 
 
-def common_tail(a: Column, b: Column) -> Column:
-    """How many trailing segments two paths share."""
-    same = F.zip_with(F.reverse(F.split(a, "/")), F.reverse(F.split(b, "/")), lambda x, y: F.coalesce(x == y, F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int")
+def tails(path: Column) -> Column:
+    """(depth, tail) of each tail of a path that begins at a segment, the last segment alone first."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.size(parts) - k + 1, k), "/").alias("tail")))
 
 
 def resolve_paths(requests: DataFrame, files: DataFrame, root: str = "/project") -> DataFrame:
@@ -92,22 +117,22 @@ def resolve_paths(requests: DataFrame, files: DataFrame, root: str = "/project")
 
     An absolute name below root that exists; else among files with the same last segment: one that
     the name ends with (the shortest), the only one, for a bare name the shortest, or the one that
-    shares the most trailing segments if more than one. Requests are made distinct first; per name
-    only smallest structs are kept, so hot base names need no window.
+    shares the most trailing segments if more than one. Names and paths meet on equal tails: one
+    row per tail, with the best path that has it, so a base name of very many files costs no more.
     """
     names = requests.select("name").distinct().withColumn("_norm", F.when(stripped(F.col("name")) != "", normalized_path(stripped(F.col("name")))))
     paths = files.select("path").distinct()
     below = F.when(F.col("_norm").startswith(f"{root}/"), F.substring("_norm", len(root) + 2, 1 << 30))
     names = names.withColumn("_below", below).join(paths.select(F.col("path").alias("_below"), F.lit(True).alias("_exists")), "_below", "left")
-    names = names.withColumn("_norm", F.regexp_replace("_norm", "^[./]+", "")).withColumn("_base", F.substring_index("_norm", "/", -1))
-    pairs = names.join(paths.withColumn("_base", F.substring_index("path", "/", -1)), "_base")
+    names = names.withColumn("_norm", F.regexp_replace("_norm", "^[./]+", ""))
     size = F.char_length("path")
-    exact = (F.col("_norm") == F.col("path")) | F.col("_norm").endswith(F.concat(F.lit("/"), "path"))
-    best = pairs.groupBy("name").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min(F.when(exact, F.struct(size.alias("a"), "path"))).alias("_exact"),
-        F.min(F.struct(size.alias("a"), "path")).alias("_short"),
-        F.min(F.struct((-common_tail(F.col("_norm"), F.col("path"))).alias("s"), size.alias("a"), "path")).alias("_near"),
+    known = paths.select("path", F.explode(tails(F.col("path"))).alias("t")).groupBy("t.tail").agg(F.min(F.struct(size.alias("a"), "path")).alias("_best"), F.count(F.lit(1)).alias("_n"), F.max(F.col("path") == F.col("t.tail")).alias("_whole"))
+    tried = names.where("_norm <> ''").select("name", F.explode(tails(F.col("_norm"))).alias("t")).select("name", "t.depth", "t.tail").join(known, "tail")
+    best = tried.groupBy("name").agg(
+        F.max(F.when(F.col("depth") == 1, F.col("_n"))).alias("_n"),
+        F.min(F.when(F.col("_whole"), F.struct(F.char_length("tail").alias("a"), F.col("tail").alias("path")))).alias("_exact"),
+        F.min(F.when(F.col("depth") == 1, F.col("_best"))).alias("_short"),
+        F.min(F.struct((-F.col("depth")).alias("s"), F.col("_best.path").alias("path"))).alias("_near"),
     )
     rows = names.join(best, "name", "left")
     file = F.coalesce(

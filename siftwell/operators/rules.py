@@ -37,11 +37,11 @@ def rule_id(kind: Column, function: Column, match: Column) -> Column:
 
 
 def to_rules(candidates: DataFrame, proposer: str = PROPOSER) -> DataFrame:
-    """Candidates (flat fields, source_alert_id, and columns that order them) as proposed rules; unusable ones are left out."""
+    """Candidates (flat fields, source_alert_id, and columns that order them) as proposed rules; unusable ones are left out, numbers that aren't whole-number arguments become null."""
     usable = F.col("kind").isin(list(RULE_KINDS)) & (stripped(F.col("function")) != "")
     match = F.when(F.col("match").isin(list(MATCHES)), F.col("match")).otherwise("exact")
     rows = candidates.where(usable).withColumns({"match": match}).withColumn("id", rule_id(F.col("kind"), F.col("function"), F.col("match")))
-    whole = {f: F.col(f).try_cast("double").cast("int") for f in ARGUMENT_FIELDS}
+    whole = {f: F.col(f).try_cast("double").try_cast("int") for f in ARGUMENT_FIELDS}
     text = {f: F.nullif(F.col(f), F.lit("")) for f in TEXT_FIELDS}
     return rows.withColumns(whole | text | {"function": stripped(F.col("function")), "confidence": F.col("confidence").try_cast("double"), "status": F.lit("proposed"), "proposed_by": F.lit(proposer)})
 
@@ -70,7 +70,7 @@ def problems(rules: DataFrame) -> DataFrame:
     rows = rules.join(first, "id", "left")
     bad_id = F.col("id").isNull() | (F.col("id") == "") | (F.col("idx") > F.col("_first"))
     prefix = F.concat(F.lit("rules["), "idx", F.lit("]: "))
-    checks = [
+    checks = [  # fixed values: the texts of the errors
         (~F.coalesce(F.col("kind").isin(list(RULE_KINDS)), F.lit(False)), "unsupported kind"),
         (bad_id, "missing or duplicate id"),
         (F.coalesce(F.col("function"), F.lit("")) == "", "function is required"),

@@ -161,17 +161,21 @@ def rule_validate(spark: SparkSession, d: str) -> DataFrame:
     return rules.problems(rows).select("idx", "error")
 
 
-@query(f"""SELECT id, CASE WHEN p_partkey % 6 = 0 THEN 'rejected' WHEN p_partkey % 2 = 0 OR p_partkey % 9 = 0 THEN 'approved' ELSE 'proposed' END AS status FROM {_OLD} WHERE r = 1""")
+_ALL = f"(SELECT * FROM {_OLD} WHERE r = 1 UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p_partkey) AS r FROM rules_v WHERE id NOT IN (SELECT id FROM {_OLD})) WHERE r = 1)"
+
+
+@query(f"""SELECT id, CASE WHEN p_partkey % 6 = 0 THEN 'rejected' WHEN p_partkey % 2 = 0 OR p_partkey % 9 = 0 THEN 'approved' ELSE 'proposed' END AS status FROM {_ALL}""")
 def rule_review(spark: SparkSession, d: str) -> DataFrame:
     return _reviewed(spark, d).select("id", "status")
 
 
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:
     old = _repository(spark, d)
-    return rules.reviewed(old, old.where("p_partkey % 2 = 0 or p_partkey % 9 = 0"), old.where("p_partkey % 6 = 0"))
+    every = work.saved(old.unionByName(rules.new_rules(V.candidates(spark, d), old, "p_partkey")))
+    return rules.reviewed(every, every.where("p_partkey % 2 = 0 or p_partkey % 9 = 0"), every.where("p_partkey % 6 = 0"))
 
 
-@query(f"SELECT id, kind, function, match, effect, confidence FROM {_OLD} WHERE r = 1 AND p_partkey % 6 <> 0 AND (p_partkey % 2 = 0 OR p_partkey % 9 = 0)")
+@query(f"SELECT id, kind, function, match, effect, confidence FROM {_ALL} WHERE p_partkey % 6 <> 0 AND (p_partkey % 2 = 0 OR p_partkey % 9 = 0)")
 def rule_export(spark: SparkSession, d: str) -> DataFrame:
     return rules.approved(_reviewed(spark, d)).select("id", "kind", "function", "match", "effect", "confidence")
 
@@ -180,9 +184,9 @@ def rule_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT 'g' || p_partkey AS callee, caller, fl, s.ln, CASE WHEN l.text IS NULL THEN 'The line number is invalid or out of range for the file.' ELSE trim(l.text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS code
-FROM part JOIN sites_v s ON callee = 'g' || p_partkey LEFT JOIN lines_v l ON l.file = fl AND l.ln = s.ln WHERE p_size % 5 = 0""")
+FROM part JOIN sites_v s ON callee = 'g' || p_partkey LEFT JOIN lines_v l ON l.file = fl AND l.ln = s.ln""")
 def find_callers(spark: SparkSession, d: str) -> DataFrame:
-    wanted = V.table(spark, d, "part").where("p_size % 5 = 0").select(F.concat(F.lit("g"), "p_partkey").alias("callee"))
+    wanted = V.table(spark, d, "part").select(F.concat(F.lit("g"), "p_partkey").alias("callee"))
     sites = V.with_file(V.call_sites(spark, d), spark, d)
     return lookups.callers(wanted, sites, V.source_lines(spark, d)).select("callee", "caller", "fl", "ln", "code")
 
@@ -195,7 +199,7 @@ def find_callees(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT w.doc_id AS req_id, name, CASE WHEN f.function_name IS NOT NULL THEN f.function_name END AS resolved_name,
   CASE WHEN f.function_name IS NOT NULL THEN (SELECT string_agg(text, chr(10) ORDER BY ln) FROM lines_v l WHERE l.file = f.filename AND l.ln BETWEEN f.start_line AND f.end_line) END AS body,
-  CASE WHEN f.function_name IS NULL THEN 'function not found' END AS error
+  CASE WHEN f.function_name IS NULL THEN 'Function body unavailable for ''' || name || '''. unknown function' END AS error
 FROM (SELECT doc_id, 'f' || (doc_id % 3) || '_' || doc_id || CASE WHEN doc_id % 2 = 0 THEN 'C1E' ELSE 'x' END AS name FROM documents) w
 LEFT JOIN functions_v f ON f.function_name = name OR f.function_name = replace(name, 'C1E', 'C2E')""")
 def function_body(spark: SparkSession, d: str) -> DataFrame:
@@ -205,12 +209,13 @@ def function_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    """A line to look at for each line item: files by document, some beyond the end."""
-    rows = V.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("doc_id"), (F.col("l_suppkey") % 30).cast("int").alias("ln")).distinct()
-    return V.with_file(rows, spark, d, "file").select(F.concat("file", F.lit(":"), "ln").alias("req_id"), "file", "ln")
+    """Every third line of every document, from line 0, to some beyond the end."""
+    sizes = V.source_lines(spark, d).groupBy("file").agg(F.max("ln").alias("n"))
+    rows = sizes.select("file", F.explode(F.sequence(F.lit(0), F.col("n") + 6, F.lit(3))).alias("ln"))
+    return rows.select(F.concat("file", F.lit(":"), "ln").alias("req_id"), "file", "ln")
 
 
-_PLACES = "(SELECT DISTINCT file || ':' || (l_suppkey % 30) AS req_id, file, l_suppkey % 30 AS ln FROM lineitem JOIN files_v ON doc_id = l_orderkey % 200)"
+_PLACES = "(SELECT file || ':' || ln AS req_id, file, ln FROM (SELECT file, unnest(range(0, max(ln) + 7, 3)) AS ln FROM lines_v GROUP BY file))"
 
 
 @query(f"""SELECT p.req_id, p.file, p.ln, arg_min(function_name, (end_line - start_line, function_name)) AS function_name, arg_min(start_line, (end_line - start_line, function_name)) AS start_line, arg_min(end_line, (end_line - start_line, function_name)) AS end_line
@@ -263,6 +268,48 @@ def fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     return lookups.lookup(V.table(spark, d, "orders").select(F.col("o_orderkey").alias("req_id")), facts, "req_id").select("req_id", "ln", "value")
 
 
+@query("""SELECT l.l_orderkey AS req_id, l.l_linenumber AS idx, f.o_custkey AS value FROM lineitem l LEFT JOIN (SELECT 'a' || (o_orderkey % 50) || ':' || (o_custkey % 40) AS location, o_orderkey % 7 AS arg_index, o_orderstatus AS callee, max(o_custkey) AS o_custkey FROM orders GROUP BY 1, 2, 3) f
+ON f.location = 'a' || (l_partkey % 50) || ':' || (l_suppkey % 40) AND f.arg_index = l_linenumber AND f.callee = l_linestatus""")
+def fact_lookup_argument(spark: SparkSession, d: str) -> DataFrame:
+    """Facts by place, argument and callee."""
+    o, n = V.table(spark, d, "orders"), F.col("o_orderkey")
+    facts = o.groupBy(F.concat(F.lit("a"), n % 50, F.lit(":"), F.col("o_custkey") % 40).alias("location"), (n % 7).cast("int").alias("arg_index"), F.col("o_orderstatus").alias("callee")).agg(F.max("o_custkey").alias("value"))
+    place = F.concat(F.lit("a"), F.col("l_partkey") % 50, F.lit(":"), F.col("l_suppkey") % 40)
+    wanted = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("req_id"), F.col("l_linenumber").alias("idx"), place.alias("location"), F.col("l_linenumber").cast("int").alias("arg_index"), F.col("l_linestatus").alias("callee"))
+    return lookups.lookup(wanted, facts, "location", "arg_index", "callee").select("req_id", "idx", "value")
+
+
+@query("""SELECT l.l_orderkey AS req_id, l.l_linenumber AS idx, f.value FROM lineitem l LEFT JOIN (SELECT 's' || s_nationkey AS function, s_suppkey % 7 AS arg_index, max(s_suppkey) AS value FROM supplier GROUP BY 1, 2) f
+ON f.function = 's' || (l_suppkey % 25) AND f.arg_index = l_linenumber""")
+def fact_lookup_function(spark: SparkSession, d: str) -> DataFrame:
+    """Facts by function and argument."""
+    facts = V.table(spark, d, "supplier").groupBy(F.concat(F.lit("s"), "s_nationkey").alias("function"), (F.col("s_suppkey") % 7).cast("int").alias("arg_index")).agg(F.max("s_suppkey").alias("value"))
+    wanted = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("req_id"), F.col("l_linenumber").alias("idx"), F.concat(F.lit("s"), F.col("l_suppkey") % 25).alias("function"), F.col("l_linenumber").cast("int").alias("arg_index"))
+    return lookups.lookup(wanted, facts, "function", "arg_index").select("req_id", "idx", "value")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'f' || user_id WHEN event_id % 3 = 1 AND event_id % 7 < 5 THEN 'g' || user_id || '.c' END AS fl,
+  CASE WHEN event_id % 3 = 0 THEN event_id % 1000 WHEN event_id % 3 = 1 AND event_id % 7 < 5 THEN event_id END AS ln, CASE WHEN event_id % 3 = 0 AND event_id % 2 = 0 THEN 4::bigint END AS cl FROM events""")
+def normalize_location(spark: SparkSession, d: str) -> DataFrame:
+    """Places given as fields, as text, or not at all."""
+    k, null = F.col("event_id"), F.lit(None)
+    text = F.when(k % 3 == 1, F.concat(F.lit("g"), "user_id", F.lit(".c"), F.when(k % 7 < 5, ":").otherwise("-"), k)).when(k % 3 == 2, "nowhere")
+    rows = V.table(spark, d, "events").select("event_id", F.when(k % 3 == 0, F.concat(F.lit("f"), "user_id")).alias("fl"), F.when(k % 3 == 0, k % 1000).alias("ln"), F.when((k % 3 == 0) & (k % 2 == 0), 4).otherwise(null).alias("cl"), text.alias("text"))
+    at = lookups.located(rows).select("event_id", "at")
+    return at.select("event_id", "at.fl", *(F.col(f"at.{c}").cast("long").alias(c) for c in ("ln", "cl")))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN props WHEN event_id % 4 = 1 THEN event_type || ':' || user_id WHEN event_id % 4 = 2 THEN 'x.c:' || event_id END AS location,
+  CASE event_id % 5 WHEN 2 THEN '"e' || event_id || '"' WHEN 3 THEN 'true' END AS error FROM events""")
+def ensure_location(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes whose place is filled in from its parts, with errors that are none taken out."""
+    k = F.col("event_id")
+    error = F.get(F.array(F.lit("false"), F.lit('""'), F.concat(F.lit('"e'), k, F.lit('"')), F.lit("true"), F.lit(None)), (k % 5).cast("int"))
+    file = F.when(k % 4 == 1, F.col("event_type")).otherwise("")
+    rows = V.table(spark, d, "events").select(k, F.when(k % 4 == 0, F.col("props")).otherwise("").alias("location"), file.alias("fl"), F.when(k % 4 == 2, "x.c").alias("filename"), F.when(k % 4 == 1, F.col("user_id")).alias("ln"), F.when(k % 4 != 0, k).alias("line"), error.alias("error"))
+    return lookups.without_false_errors(lookups.with_locations(rows)).select("event_id", "location", "error")
+
+
 @query("""SELECT req_id, location FROM (SELECT l_orderkey AS req_id, l_linenumber AS location, o_custkey % 8 AS wanted, max(l_linenumber = o_custkey % 8) OVER (PARTITION BY l_orderkey) AS found
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey) WHERE location = wanted OR NOT found""")
 def return_locations(spark: SparkSession, d: str) -> DataFrame:
@@ -432,10 +479,27 @@ def params(spark: SparkSession, d: str) -> DataFrame:
     return scanners.params(V.code_lines(spark, d))
 
 
-@query("""SELECT event_id AS req_id, event_type AS tool, CASE event_type WHEN 'click' THEN 'g' || user_id WHEN 'view' THEN upper(props) END AS result, CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown tool: ' || event_type END AS error FROM events""")
+@query("""WITH r_v AS (SELECT event_id AS req_id, event_type AS tool, 'g' || user_id AS name, file, event_id % 9 AS ln FROM events LEFT JOIN files_v ON doc_id = event_id * 7919 % (SELECT count(*) FROM documents)),
+a_v AS (SELECT r_v.req_id, string_agg(DISTINCT callee, ',' ORDER BY callee) AS result FROM r_v JOIN sites_v ON caller = name WHERE tool = 'click' GROUP BY 1),
+b_v AS (SELECT r_v.req_id, arg_min(function_name, (end_line - start_line, function_name)) AS result FROM r_v JOIN functions_v f ON f.filename = r_v.file AND r_v.ln BETWEEN start_line AND end_line WHERE tool = 'view' GROUP BY 1),
+c_v AS (SELECT r_v.req_id, string_agg(text, chr(10) ORDER BY l.ln) AS result FROM r_v JOIN lines_v l ON l.file = r_v.file AND l.ln BETWEEN r_v.ln AND r_v.ln + 2 WHERE tool = 'purchase' GROUP BY 1)
+SELECT req_id, tool, CASE tool WHEN 'click' THEN a_v.result WHEN 'view' THEN b_v.result WHEN 'purchase' THEN coalesce(c_v.result, '') END AS result,
+  CASE WHEN tool NOT IN ('click', 'view', 'purchase') THEN 'unknown tool: ' || tool END AS error FROM r_v LEFT JOIN a_v USING (req_id) LEFT JOIN b_v USING (req_id) LEFT JOIN c_v USING (req_id)""")
 def dispatch(spark: SparkSession, d: str) -> DataFrame:
-    requests = V.table(spark, d, "events").select(F.col("event_id").alias("req_id"), F.col("event_type").alias("tool"), "user_id", "props")
-    tools = {"click": lambda c: c.select("req_id", F.concat(F.lit("g"), "user_id").alias("result")), "view": lambda c: c.select("req_id", F.upper("props").alias("result"))}
+    """Events as calls of three lookup tools; others are unknown."""
+    n = V.table(spark, d, "documents").count()
+    events = V.table(spark, d, "events").select(F.col("event_id").alias("req_id"), F.col("event_type").alias("tool"), F.concat(F.lit("g"), "user_id").alias("caller"), V.documents_of(F.col("event_id"), n), (F.col("event_id") % 9).cast("int").alias("ln"))
+    requests = events.join(V.source_texts(spark, d).select("doc_id", "file"), "doc_id", "left").drop("doc_id")
+
+    def callees(c: DataFrame) -> DataFrame:
+        found = lookups.callees(c.select("req_id", "caller"), V.with_file(V.call_sites(spark, d), spark, d))
+        return c.join(found.groupBy("req_id").agg(F.array_join(F.array_sort(F.collect_set("callee")), ",").alias("result")), "req_id", "left").select("req_id", "result")
+
+    tools = {
+        "click": callees,
+        "view": lambda c: lookups.current_function(c.select("req_id", "file", "ln"), V.functions(spark, d)).withColumnRenamed("function_name", "result"),
+        "purchase": lambda c: lookups.snippets(c.select("req_id", "file", F.col("ln").alias("start_line"), (F.col("ln") + 2).alias("end_line")), V.source_lines(spark, d)).withColumnRenamed("snippet", "result"),
+    }
     return lookups.dispatched(requests, tools)
 
 

@@ -63,6 +63,11 @@ def source_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines_of(source_texts(spark, d))
 
 
+def documents_of(keys: Column, n: int) -> Column:
+    """One of n documents for each key."""
+    return F.pmod(keys * 7919, F.lit(n)).alias("doc_id")
+
+
 def functions(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of ten lines, and one function around each file."""
     sizes = source_lines(spark, d).groupBy("file").agg(F.max("ln").alias("n"))
@@ -74,14 +79,16 @@ def functions(spark: SparkSession, d: str) -> DataFrame:
 
 def call_sites(spark: SparkSession, d: str) -> DataFrame:
     """Line items as call edges; the place is a line of some document."""
-    return table(spark, d, "lineitem").select(F.concat(F.lit("g"), "l_orderkey").alias("caller"), F.concat(F.lit("g"), "l_partkey").alias("callee"), (F.col("l_orderkey") % 200).alias("doc_id"), F.col("l_linenumber").cast("int").alias("ln"))
+    n = table(spark, d, "documents").count()
+    return table(spark, d, "lineitem").select(F.concat(F.lit("g"), "l_orderkey").alias("caller"), F.concat(F.lit("g"), "l_partkey").alias("callee"), documents_of(F.col("l_orderkey"), n), F.col("l_linenumber").cast("int").alias("ln"))
 
 
 def path_events(spark: SparkSession, d: str) -> DataFrame:
     """Line items as events: a request per order, a path per flag pair."""
+    n = table(spark, d, "documents").count()
     order = W.partitionBy("l_orderkey", "l_returnflag", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_tax")
     rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", F.row_number().over(order).alias("event_no"))
-    return rows.select(F.col("l_orderkey").alias("req_id"), F.concat("l_returnflag", "l_linestatus").alias("path_no"), "event_no", F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("condition").alias("type"), (F.col("l_partkey") % 200).alias("doc_id"), F.col("l_linenumber").cast("int").alias("ln"))
+    return rows.select(F.col("l_orderkey").alias("req_id"), F.concat("l_returnflag", "l_linestatus").alias("path_no"), "event_no", F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("condition").alias("type"), documents_of(F.col("l_partkey"), n), F.col("l_linenumber").cast("int").alias("ln"))
 
 
 def with_file(rows: DataFrame, spark: SparkSession, d: str, name: str = "fl") -> DataFrame:
@@ -207,10 +214,10 @@ VIEWS_SQL = {
   FROM (SELECT doc_id, file, n, unnest(range((n - 1) // 10 + 1)) AS b FROM (SELECT doc_id, file, max(ln) AS n FROM lines_v GROUP BY 1, 2))
   UNION ALL SELECT 'whole_' || doc_id, file, 1, max(ln) FROM lines_v GROUP BY doc_id, file""",
     "sites_v": """
-  SELECT 'g' || l_orderkey AS caller, 'g' || l_partkey AS callee, file AS fl, l_linenumber AS ln FROM lineitem JOIN files_v ON doc_id = l_orderkey % 200""",
+  SELECT 'g' || l_orderkey AS caller, 'g' || l_partkey AS callee, file AS fl, l_linenumber AS ln FROM lineitem JOIN files_v ON doc_id = l_orderkey * 7919 % (SELECT count(*) FROM documents)""",
     "events_v": """
   SELECT req_id, path_no, event_no, type, file AS fl, ln FROM (
-    SELECT l_orderkey AS req_id, l_returnflag || l_linestatus AS path_no, CASE WHEN l_linenumber % 2 = 0 THEN 'call' ELSE 'condition' END AS type, l_partkey % 200 AS d, l_linenumber AS ln,
+    SELECT l_orderkey AS req_id, l_returnflag || l_linestatus AS path_no, CASE WHEN l_linenumber % 2 = 0 THEN 'call' ELSE 'condition' END AS type, l_partkey * 7919 % (SELECT count(*) FROM documents) AS d, l_linenumber AS ln,
       row_number() OVER (PARTITION BY l_orderkey, l_returnflag, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_tax) AS event_no FROM lineitem)
   JOIN files_v ON doc_id = d""",
     "tools_v": """

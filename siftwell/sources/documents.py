@@ -28,9 +28,12 @@ def decoded_path(uri: Column) -> Column:
     return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:(//)?", "")
 
 
-def parsed_alerts(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(alerts with typed columns, file_path and raw; files that aren't JSON)."""
-    rows = files.withColumn("_ok", F.try_parse_json("raw").isNotNull())
+def parsed_alerts(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(alerts with typed columns, file_path and raw; files that aren't JSON). If strict, reading the alerts raises where a file isn't."""
+    ok = F.try_parse_json("raw").isNotNull()
+    if strict:
+        ok = F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), "file_path")).cast("boolean"))
+    rows = files.withColumn("_ok", ok)
     good = rows.where("_ok").select("file_path", "raw", F.from_json("raw", ALERT).alias("a")).select("file_path", "raw", "a.*")
     return good, rows.where("not _ok").select("file_path", "raw")
 
@@ -54,8 +57,9 @@ def rules_of(texts: DataFrame) -> DataFrame:
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of every file below root, relative to it; contents aren't read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    """(path) of every file below root, relative to it, empty ones too; contents aren't read, the list is that of the driver's file index."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).inputFiles()
+    rows = spark.createDataFrame([(f,) for f in files], "path string")
     return rows.select(F.substring_index(decoded_path(F.col("path")), f"{root.rstrip('/')}/", -1).alias("path"))
 
 

@@ -7,10 +7,14 @@ the new version, never a half one.
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import rules as R
+from ..work import saved
 from .documents import RULE_SCHEMA
 
 
@@ -18,24 +22,62 @@ def write_version(df: DataFrame, root: str) -> str:
     """Write df as a new version below root, then point to it; returns the version's path."""
     version = f"{root}/v{time.time_ns():020d}"
     df.write.parquet(version)
-    df.sparkSession.createDataFrame([(version,)], "path string").coalesce(1).write.mode("append").json(f"{root}/_versions")
+    _point(df.sparkSession, root, version)
     return version
 
 
+def _point(spark: SparkSession, root: str, version: str, n: int | None = None) -> None:
+    spark.createDataFrame([(version, n)], "path string, n long").coalesce(1).write.mode("append").json(f"{root}/_versions")
+
+
 def read_version(spark: SparkSession, root: str) -> DataFrame:
     """The latest version."""
-    latest = spark.read.schema("path string").json(f"{root}/_versions").agg(F.max("path")).first()[0]
-    return spark.read.parquet(latest)
+    return spark.read.parquet(latest(spark, root))
+
+
+def latest(spark: SparkSession, root: str) -> str:
+    """Where the latest version is."""
+    return spark.read.schema("path string").json(f"{root}/_versions").agg(F.max("path")).first()[0]
+
+
+def write_documents(written: DataFrame, root: str) -> str:
+    """Alert documents (file_path below the root, raw) as one file each in a new version below root; returns its path, from which they can be read as alerts again.
+
+    Tasks write their own files, a repeated task the same ones again; the version counts once all are there.
+    """
+    version = f"{root}/v{time.time_ns():020d}"
+    target = version if "://" in version else f"file://{version}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(target)
+        n = 0
+        for batch in batches:
+            for path, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                system.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{base}/{path}") as out:
+                    out.write(raw.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    n = written.where("file_path is not null and raw is not null").select("file_path", "raw").mapInArrow(run, "n long").agg(F.sum("n")).first()[0]
+    _point(written.sparkSession, root, version, n or 0)
+    return version
 
 
-def write_documents(written: DataFrame, path: str) -> None:
-    """Alert documents (raw), one JSON document a line."""
-    written.select("raw").write.mode("overwrite").text(path)
+def write_rules(rules: DataFrame, root: str) -> int:
+    """Rules as a new version below root; returns how many there are."""
+    return read_version(rules.sparkSession, write_version(rules, root).rpartition("/")[0]).count()
 
 
-def write_rules(rules: DataFrame, path: str) -> None:
-    """Rules as JSON lines."""
-    rules.write.mode("overwrite").json(path)
+def append_rules(repository: DataFrame, candidates: DataFrame, root: str, *order: str) -> int:
+    """Write the repository with the candidates' new rules as a new version below root, if there are any; returns how many are new."""
+    new = saved(R.new_rules(candidates, repository, *order))
+    n = new.count()
+    if n:
+        write_version(repository.select(*R.RULE_COLUMNS).unionByName(new.select(*R.RULE_COLUMNS)), root)
+    return n
 
 
 def repository_text(rules: DataFrame) -> DataFrame:
@@ -50,5 +92,6 @@ def append_failures(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
-def write_summary(summary: DataFrame, path: str) -> None:
-    summary.coalesce(1).write.mode("overwrite").json(path)
+def write_summary(summary: DataFrame, root: str) -> str:
+    """The roll-up as a new version below root."""
+    return write_version(summary.coalesce(1), root)

@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
+    """A new folder below spark.checkpoint.dir; where that is unset, below a temporary one if all of Spark runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base and not spark.conf.get("spark.master", "").startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or f"file://{tempfile.mkdtemp(prefix='siftwell-')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import alerts as A
@@ -111,6 +112,35 @@ def test_write_back_keeps_other_fields(spark, tmp_path):
     assert "written" in sinks.read_version(spark, root).columns
 
 
+def test_documents_can_be_read_again(spark, tmp_path):
+    root = str(tmp_path / "out")
+    rows = spark.createDataFrame([("memory_leak/a/é 1.json", '{"alert_id":"1","category":"MEMORY_LEAK"}'), ("double_free/2.json", '{"alert_id":"2","category":"DOUBLE_FREE"}'), (None, "{}")], "file_path string, raw string")
+    for _ in range(2):
+        version = sinks.write_documents(rows.repartition(3), root)
+        assert sinks.latest(spark, root) == version
+    back = documents.parsed_alerts(documents.read_alerts(spark, version), strict=True)[0].collect()
+    assert {(r.file_path.removeprefix(f"{version}/"), r.alert_id) for r in back} == {("memory_leak/a/é 1.json", "1"), ("double_free/2.json", "2")}
+
+
+def test_strict_loading_raises(spark):
+    files = spark.createDataFrame([("a.json", "{}"), ("b.json", "{nope")], "file_path string, raw string")
+    assert documents.parsed_alerts(files)[0].count() == 1
+    with pytest.raises(Exception, match="not JSON: b.json"):
+        documents.parsed_alerts(files, strict=True)[0].collect()
+
+
+def test_one_key_for_all_alerts(spark):
+    rows = spark.range(1000).select(F.concat(F.lit("a"), F.lpad("id", 4, "0")).alias("alert_id"), F.lit("k").alias("batch_key"), F.concat(F.lit("p"), F.lpad((F.col("id") * 7 % 1000).cast("string"), 4, "0")).alias("file_path"))
+    got = {r.alert_id: (r.batch_no, r.pos) for r in batching.make_batches(rows.repartition(5)).collect()}
+    assert got == {f"a{i:04d}": (i * 7 % 1000 // 8 + 1, i * 7 % 1000 % 8 + 1) for i in range(1000)}
+
+
+def test_numbers_too_large_for_a_line(spark, tmp_path):
+    load(spark, tmp_path, [alert(1, "MEMORY_LEAK", path=[node("use", line=1 << 40, column=1 << 41)])])
+    (row,) = A.keyed(documents.parsed_alerts(documents.read_alerts(spark, str(tmp_path)))[0]).collect()
+    assert row["loc"].fl == "a.c" and row["loc"].ln is None and row["loc"].cl is None and row.source_location is None
+
+
 def test_turn_phase(spark):
     rows = spark.createDataFrame([("B", t, 0 if t == 2 else 1, 1) for t in range(1, 21)], "batch_id string, turn int, n_calls int, n_alerts int")
     got = {r.turn: (r.concluding, r.forced) for r in ledger.turn_phase(rows, max_turns=20).collect()}

@@ -16,10 +16,20 @@ def kinds(spark, *responses):
 
 
 def test_kinds(spark):
-    got = kinds(spark, None, NO_FILE, {"error": "bad"}, {"error": False, "function_body": NO_FILE, "filename": "x"}, {"function_name": "foo", "function_body": "int foo(){}"}, "if (isEnabled) {")
+    got = kinds(spark, None, f" {NO_FILE}\n", {"error": "out of memory", "n": 1}, {"function_body": NO_FILE, "error": None, "start_line": 4}, {"callers": [], "function_body": "static void g(void) {}"}, "return total;")
     assert [g and g[0] for g in got] == ["null_response", "no_such_file", "error_dict", "degraded_no_such_file", None, None]
 
 
+def test_text_that_is_not_json_is_a_string(spark):
+    frame = spark.createDataFrame([("ERROR: gone",), ("plain words",), ("null",), ("",)], "response string")
+    assert [r.f and (r.f.kind, r.f.detail) for r in frame.select(failures.classify(F.col("response")).alias("f")).collect()] == [("error_string", "ERROR: gone"), None, ("null_response", "tool returned None"), None]
+
+
+def test_a_response_is_parsed_once(spark):
+    plan = failures.failures(spark.createDataFrame([("t", "{}")], "tool string, response string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") <= 2
+
+
 def test_quirks(spark):
     got = kinds(spark, [{"error": "x"}], {"error": True}, {"error": 0, "function_body": "Error: y"}, {"error": {"a": 1}}, {"error": ""}, " \t", "x " + NO_FILE, "File not found: q", "The line number is invalid or out of range for the file.", {"error": "e" * 600}, 5)
     assert got[0] is None and got[1] == ("error_dict", "True") and got[2][0] == "degraded_error_string" and got[3][0] == "error_dict"
@@ -34,11 +44,12 @@ def test_compact(spark):
 
 
 def test_record_and_summary(spark, tmp_path):
-    events = spark.createDataFrame([("B0001", 3, "dump_source_snippet", json.dumps(NO_FILE)), ("B0001", 4, "find_callers", "[]")], "batch_id string, turn int, tool string, response string")
+    events = spark.createDataFrame([("B7", 1, "read_lines", json.dumps(NO_FILE)), ("B9", 2, "list_calls", '{"calls":[]}')], "batch_id string, turn int, tool string, response string")
     found = failures.failures(events)
     sinks.append_failures(found, str(tmp_path / "log"))
     sinks.append_failures(found, str(tmp_path / "log"))
     back = spark.read.json(str(tmp_path / "log"))
     assert back.count() == 2 and {r.failure_kind for r in back.collect()} == {"no_such_file"}
-    assert {(r.by, r.name, r.n) for r in failures.summary(back).collect()} == {("total", None, 2), ("tool", "dump_source_snippet", 2), ("kind", "no_such_file", 2)}
+    assert {(r.by, r.name, r.n) for r in failures.summary(back).collect()} == {("total", None, 2), ("tool", "read_lines", 2), ("kind", "no_such_file", 2)}
     sinks.write_summary(failures.summary(back), str(tmp_path / "summary"))
+    assert sinks.read_version(spark, str(tmp_path / "summary")).count() == 3

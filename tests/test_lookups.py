@@ -19,6 +19,32 @@ def test_path_resolution(spark):
     assert {r.name: r.file for r in got} == wanted
 
 
+def test_one_base_name_for_all_files(spark):
+    files = spark.range(3000).select(F.concat(F.lit("m/"), F.col("id") % 7, F.lit("/k"), "id", F.lit("/main.c")).alias("path"))
+    names = spark.createDataFrame([("x/3/k10/main.c",), ("main.c",), ("k11/main.c",), ("m/4/k11/main.c",), ("other/main.c",)], "name string")
+    got = {r.name: r.file for r in lookups.resolve_paths(names, files).collect()}
+    assert got == {"x/3/k10/main.c": "m/3/k10/main.c", "main.c": "m/0/k0/main.c", "k11/main.c": "m/4/k11/main.c", "m/4/k11/main.c": "m/4/k11/main.c", "other/main.c": None}
+
+
+def test_locations_and_errors(spark):
+    rows = [("a.c", 3, 4, None), (None, None, None, "b.c:9"), ("a.c", None, None, "c.c:1"), (None, None, None, "b.c:99999999999"), ("a.c", 1 << 40, None, None), (None, None, None, None)]
+    got = lookups.located(spark.createDataFrame(rows, "fl string, ln long, cl long, text string")).collect()
+    assert [r["at"] and tuple(r["at"]) for r in got] == [("a.c", 3, 4), ("b.c", 9, None), ("c.c", 1, None), None, ("a.c", None, None), None]
+    nodes = [("x:1", "a", None, 2, None), ("", "a", None, 2, 3), (None, "", "f.c", None, 5), (None, None, None, 1, None)]
+    frame = spark.createDataFrame(nodes, "location string, fl string, filename string, ln int, line int")
+    assert [r.location for r in lookups.with_locations(frame).collect()] == ["x:1", "a:2", "f.c:5", None]
+    errors = spark.createDataFrame([(e,) for e in ("false", '""', "null", "0", None, '"bad"', "true", '{"a":1}')], "error string")
+    assert [r.error for r in lookups.without_false_errors(errors).collect()] == [None] * 5 + ['"bad"', "true", '{"a":1}']
+
+
+def test_project_files_and_source_lines(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a b.c").write_text("one\n\ntwo\n")
+    (tmp_path / "c.h").write_text("")
+    assert sorted(r.path for r in documents.project_files(spark, str(tmp_path)).collect()) == ["c.h", "src/a b.c"]
+    assert [(r.file, r.ln, r.text) for r in documents.source_lines(spark, str(tmp_path)).orderBy("ln").collect()] == [("src/a b.c", 1, "one"), ("src/a b.c", 2, ""), ("src/a b.c", 3, "two")]
+
+
 def lines(spark):
     return documents.lines_of(spark.createDataFrame([("a.c", "one\n\n  two(x)  \nthree\n"), ("b.c", ""), ("c.c", None)], "file string, text string"))
 
@@ -39,9 +65,16 @@ def test_functions(spark):
     f = spark.createDataFrame([("outer", "a.c", 1, 3000), ("inner", "a.c", 1500, 1510), ("fC2Ev", "a.c", 1, 3)], "function_name string, filename string, start_line int, end_line int")
     at = spark.createDataFrame([(1, "a.c", 1505), (2, "a.c", 2500), (3, "b.c", 1), (4, None, 1)], "req_id int, file string, ln int")
     assert {r.req_id: r.function_name for r in lookups.current_function(at, f).collect()} == {1: "inner", 2: "outer", 3: None, 4: None}
-    names = spark.createDataFrame([(1, "fC1Ev"), (2, "gone"), (3, " ")], "req_id int, name string")
-    got = {r.req_id: (r.resolved_name, r.snippet, r.error) for r in lookups.function_bodies(names, f, lines(spark)).collect()}
-    assert got == {1: ("fC2Ev", "one\n\n  two(x)  ", None), 2: (None, None, "function not found"), 3: (None, None, "function name is empty")}
+    names = spark.createDataFrame([(1, "fC1Ev"), (2, "gone"), (3, " "), (4, None), (5, "qC1EC3E")], "req_id int, name string")
+    f = f.withColumn("error", F.lit(None).cast("string")).union(spark.createDataFrame([("qC1EC3E", None, None, None, "no body"), ("qC1EC2E", None, None, None, "later")], "a string, b string, c int, d int, e string"))
+    got = {r.req_id: (r.resolved_name, r.alias, r.snippet, r.error) for r in lookups.function_bodies(names, f, lines(spark)).collect()}
+    assert got == {
+        1: ("fC2Ev", "fC2Ev", "one\n\n  two(x)  ", None),
+        2: (None, None, None, "Function body unavailable for 'gone'. unknown function"),
+        3: (None, None, None, "function_name must be a non-empty string"),
+        4: (None, None, None, "function_name must be a non-empty string"),
+        5: (None, None, None, "Function body unavailable for 'qC1EC3E'. later"),
+    }
 
 
 def test_reanchor(spark):
@@ -70,7 +103,8 @@ def test_texts(spark):
     assert one(T.body_aliases, "_ZN1AC1Ev", "plain", "xD0EvC3E") == [["_ZN1AC1Ev", "_ZN1AC2Ev"], ["plain"], ["xD0EvC3E", "xD0EvC2E", "xD2EvC3E"]]
     assert one(T.described_location, 'dbg { "ln": 790, "cl": 7, "fl": "t.c" }', 'q { "ln": 5, "fl": "u.c" }', "none") == ["t.c:790", "u.c:5", None]
     assert one(lambda c: F.to_json(T.tolerant_json(c)), "", "`{'a': 1}`", '{"a": [1,],}', 'say {"a": 2} ok', "{bad") == ["{}", '{"a":1}', '{"a":[1]}', '{"a":2}', None]
-    assert [r and (r.fl, r.ln) for r in one(T.parse_location, "a:b.c:7", ":7", "a.c:", "a.c:7x")] == [("a:b.c", 7), None, None, None]
+    assert [r and (r.fl, r.ln) for r in one(T.parse_location, "a:b.c:7", ":7", "a.c:", "a.c:7x", "a.c:99999999999")] == [("a:b.c", 7), None, None, None, None]
+    assert one(T.stripped, "\x1c\u2003 x y\x85\xa0\t", "", "\x1f") == ["x y", "", ""] and one(lambda c: F.to_json(T.tolerant_json(c)), None) == ["{}"]
     assert one(T.call_names, "if (f(x) && g (y)) f(z)") == [["f", "g"]]
 
 

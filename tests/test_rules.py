@@ -27,6 +27,8 @@ def test_ids_are_hashes_of_the_raw_fields(spark):
 
 def test_unusable_candidates_and_values(spark):
     got = rules.to_rules(candidates(spark, {"kind": "nope"}, {"function": " \t"}, {"function": None}, {"match": "fuzzy", "target_arg": "2.7", "source_arg": "x", "confidence": "high"})).collect()
+    odd = rules.to_rules(candidates(spark, *({"target_arg": x, "confidence": x} for x in ("1e300", "NaN", "-Infinity", "99999999999")))).collect()
+    assert len(odd) == 4 and all(r.target_arg is None for r in odd) and odd[0].confidence == 1e300
     assert len(got) == 1 and got[0].match == "exact" and got[0].target_arg == 2 and got[0].source_arg is None and got[0].confidence is None
 
 
@@ -59,6 +61,17 @@ def test_review_and_round_trip(spark, tmp_path):
     assert documents.read_rules(spark, str(tmp_path / "gone.json")).count() == 0
 
 
+def test_versions_of_the_repository(spark, tmp_path):
+    root = str(tmp_path / "rules")
+    c = candidates(spark, {}, {"function": "g"}, {"function": "g"})
+    empty = rules.first_of_each(rules.to_rules(c.limit(0)), "n")
+    assert sinks.append_rules(empty, c.where("n = 0"), root, "n") == 1
+    first = sinks.read_version(spark, root)
+    assert sinks.append_rules(first, c, root, "n") == 1 and sinks.append_rules(sinks.read_version(spark, root), c, root, "n") == 0
+    assert sinks.read_version(spark, root).count() == 2 and first.count() == 1
+    assert sinks.write_rules(sinks.read_version(spark, root).limit(1), root) == 1
+
+
 def test_wrong_envelope(spark):
     with pytest.raises(Exception, match="expected semantic-rules/v1"):
         documents.rules_of(spark.createDataFrame([('{"schema":"x","rules":[]}',)], "value string")).collect()
