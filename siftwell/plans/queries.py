@@ -528,11 +528,13 @@ def stream_intake(spark: SparkSession, d: str) -> DataFrame:
     return _finished(jobs.intake(alerts, concluded).select("alert_id", "category"))
 
 
-@query("""SELECT start, tool, failure_kind, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, tool, failure_kind, count(*) AS n FROM failures_v GROUP BY 1, 2, 3)
-WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM failures_v)""")
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, tool, failure_kind, count(*) AS n FROM failures_v GROUP BY 1, 2, 3")
 def stream_failures(spark: SparkSession, d: str) -> DataFrame:
     failed = failures.failures(V.tool_responses(_streamed(spark, d, "events"))).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _finished(jobs.failure_counts(failed)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    root, counts = work.folder(spark), jobs.failure_counts(failed)
+    jobs.run_updates(counts, f"{root}/out", f"{root}/checkpoint")
+    rows = spark.read.schema("start timestamp, tool string, failure_kind string, n long, epoch int").option("basePath", f"{root}/out").parquet(f"{root}/out")
+    return jobs.newest(rows, "start", "tool", "failure_kind").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT batch_id, turn, error FROM walk_v WHERE k > 0")

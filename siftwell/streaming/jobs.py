@@ -23,19 +23,37 @@ def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"
     return query
 
 
+def run_updates(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Process what is there and stop; each micro-batch's changed rows go to a folder of its own, written anew if the batch is repeated."""
+
+    def put(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def newest(rows: DataFrame, *keys: str) -> DataFrame:
+    """Of the rows that run_updates wrote, the latest of each key."""
+    rest = [c for c in rows.columns if c not in keys and c != "epoch"]
+    return rows.groupBy(*keys).agg(F.max(F.struct("epoch", *rest)).alias("r")).select(*keys, *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
 def intake(alerts: DataFrame, concluded: DataFrame) -> DataFrame:
     """Streamed alerts that are neither classified nor concluded: a stream-static anti join."""
     return A.pending(alerts).join(concluded.select("alert_id").distinct(), "alert_id", "left_anti")
 
 
 def failure_counts(failures: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
-    """Counts by window, tool and kind; a window is put out once the watermark has passed it."""
+    """Counts by window, tool and kind. In append mode a window is put out once the watermark has passed it, in update mode whenever it changes."""
     return failures.withWatermark("ts", lateness).groupBy(F.window("ts", window), "tool", "failure_kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "tool", "failure_kind", "n")
 
 
 def _judge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Judge the calls of a batch that came in this micro-batch, in order; the state holds what earlier ones claimed."""
-    claimed = set(state.get[0]) if state.exists else set()
+    """Judge the calls of a batch that came in this micro-batch, in order; the state holds what earlier ones claimed, null once that is the whole batch."""
+    done = state.exists and state.get[0] is None
+    claimed = set(state.get[0]) if state.exists and not done else set()
     calls = pd.concat(list(frames)).sort_values(["turn", "call_idx"])
     out = []
     for c in calls.itertuples():
@@ -49,7 +67,7 @@ def _judge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -
             for i in ids:
                 if i not in c.known:
                     error = f"unknown alert id: {i}"
-                elif i in claimed or i in new:
+                elif done or i in claimed or i in new:
                     error = f"alert id already classified: {i}"
                 if error:
                     break
@@ -57,13 +75,15 @@ def _judge(key: tuple[str], frames: Iterator[pd.DataFrame], state: GroupState) -
             if not error:
                 claimed |= new
         out.append((key[0], c.turn, c.call_idx, error))
-    state.update((sorted(claimed),))
+    done = done or claimed >= {i for known in calls["known"] if known is not None for i in known}
+    state.update((None if done else sorted(claimed),))
     yield pd.DataFrame(out, columns=["batch_id", "turn", "call_idx", "error"])
 
 
 def ledger(calls: DataFrame) -> DataFrame:
     """Streamed calls (see CALLS; `known` are the batch's short ids) with their error, null where accepted.
 
-    Calls that arrive late across micro-batches are judged in the order of arrival.
+    Calls that arrive late across micro-batches are judged in the order of arrival. Of a complete
+    batch the state keeps one null; a run has its own checkpoint, so state ends with the run.
     """
     return calls.groupBy("batch_id").applyInPandasWithState(_judge, "batch_id string, turn int, call_idx int, error string", "claimed array<string>", "append", "NoTimeout")

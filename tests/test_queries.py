@@ -16,8 +16,7 @@ def test_agrees_with_sql(name, spark, duck, same):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(name, spark):
-    frame = QUERIES[name](spark, SMALL)
-    assert frame.columns and frame.count() >= 0
+    assert QUERIES[name](spark, SMALL).count() > 0
 
 
 def test_entry(spark):

@@ -42,5 +42,11 @@ def test_windows_close_behind_the_watermark(spark, tmp_path):
     rows = [(f"2024-01-01 0{h}:00:00", "t", "k") for h in (0, 0, 1, 3)]
     frame = spark.createDataFrame(rows, "ts string, tool string, failure_kind string").select(F.col("ts").cast("timestamp"), "tool", "failure_kind")
     frame.coalesce(1).write.json(f"{root}/in")
+    jobs.run_updates(jobs.failure_counts(stream(spark, f"{root}/in", schema)), f"{root}/new", f"{root}/check2")
+    late = [("2024-01-01 03:30:00", "t", "k")]
+    spark.createDataFrame(late, "ts string, tool string, failure_kind string").select(F.col("ts").cast("timestamp"), "tool", "failure_kind").coalesce(1).write.mode("append").json(f"{root}/in2")
+    jobs.run_updates(jobs.failure_counts(stream(spark, f"{root}/in*", schema)), f"{root}/new", f"{root}/check2")
+    newest = jobs.newest(spark.read.parquet(f"{root}/new"), "start", "tool", "failure_kind")
+    assert sorted((str(r.start)[11:13], r.n) for r in newest.collect()) == [("00", 2), ("01", 1), ("03", 2)]
     jobs.run_once(jobs.failure_counts(stream(spark, f"{root}/in", schema)), f"{root}/out", f"{root}/check")
     assert sorted((str(r.start), r.n) for r in spark.read.parquet(f"{root}/out").collect()) == [("2024-01-01 00:00:00", 2), ("2024-01-01 01:00:00", 1)]
