@@ -118,22 +118,23 @@ GROW = 0.5 / chi_square(chi_square_at(0.5, P), P + 2)
 
 
 def _factor(cov: dict[tuple[int, int], Column], rows: DataFrame) -> DataFrame:
-    """Columns l00, l10, l11, ...: the Cholesky factor of a covariance, one row per group."""
-    rows = rows.select("*", *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()))
+    """Columns l00, l10, l11, ...: the Cholesky factor of a covariance, one row per group; columns of one select that refer to those before them."""
+    steps = []
     for j in range(P):
         inner = sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        rows = rows.withColumn(f"l{j}{j}", F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner, F.lit(1e-9))))
-        below = {f"l{i}{j}": (F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}") for i in range(j + 1, P)}
-        rows = rows.withColumns(below) if below else rows
-    return rows
+        steps.append(F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner, F.lit(1e-9))).alias(f"l{j}{j}"))
+        steps += [((F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")).alias(f"l{i}{j}") for i in range(j + 1, P)]
+    return rows.select("*", *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()), *steps)
 
 
 def distance(rows: DataFrame, name: str = "d2") -> DataFrame:
     """Squared Mahalanobis distance by forward substitution."""
+    steps = []
     for i in range(P):
         rest = sum((F.col(f"l{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
-        rows = rows.withColumn(f"_z{i}", (F.col(f"v{i}") / SCALE - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}"))
-    return rows.withColumn(name, sum(F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(P))).drop(*(f"_z{i}" for i in range(P)))
+        steps.append(((F.col(f"v{i}") / SCALE - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}")).alias(f"_z{i}"))
+    steps.append(sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(P)), F.lit(0.0)).alias(name))
+    return rows.select("*", *steps).drop(*(f"_z{i}" for i in range(P)))
 
 
 def _by_group(rows: DataFrame, small: DataFrame, *more: str) -> DataFrame:
@@ -203,16 +204,16 @@ def choices(counted: DataFrame, least: int) -> DataFrame:
 def fits(vectors: DataFrame) -> DataFrame:
     """(g, centre m, factor l, det): the fit of each group of vectors (g, _part, v0..v3, weight w, n: documents of the group)."""
     fit = _starts(vectors)
-    for _ in range(BEGIN):
-        fit = saved(_step(vectors, fit))
-    fit = saved(_best(fit, BEST))
+    for k in range(1, BEGIN + 1):
+        fit = _step(vectors, fit)
+        fit = saved(_best(fit, BEST) if k == BEGIN else fit)
     for _ in range(STEPS):
         lower = _step(vectors, fit).select("g", "s", F.struct("det", *FIT).alias("new"))
         both = saved(fit.join(lower, ["g", "s"]).withColumn("moved", F.col("new.det") < F.col("det") * (1 - 1e-9)))
         fit = both.select("g", "s", *(F.when(F.col("moved"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*FIT, "det")))
         if not both.where("moved").limit(1).count():
             break
-    return saved(_best(fit, 1).drop("s"))
+    return _best(fit, 1).drop("s")
 
 
 def _names() -> tuple[Column, Column, Column]:
@@ -227,7 +228,7 @@ def grouped(stats: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     chosen = saved(choices(counted, least))
     members = counted.select(F.explode(F.array(*_names())).alias("g"), *V, "w").join(chosen.select("g").distinct(), "g", "left_semi")
     members = saved(members.groupBy("g", *V).agg(F.sum("w").alias("w")).withColumn("_part", F.pmod(F.xxhash64(*V), F.lit(PARTS)).cast("int")))
-    sizes = saved(members.groupBy("g").agg(F.sum("w").alias("n")))
+    sizes = members.groupBy("g").agg(F.sum("w").alias("n"))
     return saved(_by_group(members, sizes)), chosen
 
 
