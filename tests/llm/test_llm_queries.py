@@ -10,6 +10,8 @@ from siftwell.llm import registry
 
 from ..conftest import SMALL
 from .test_bpe import EXACT
+from .test_lines import brute as lines_left
+from .test_minhash import brute as groups
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -30,10 +32,13 @@ def test_pipeline_stage_by_stage(spark):
         assert rows and {r.doc_id for r in rows} <= set(before), name
         if name != "bpe":
             assert docs.columns == list(corpus_pipeline.COLUMNS)
-        if name in ("quality_rules", "near_dedup"):
+        if name == "quality_rules":
             assert len(rows) == len({r.doc_id for r in rows}) < len(before) and all(r.text == before[r.doc_id] for r in rows)
         if name == "line_dedup":
-            assert len(rows) == len(before) and all(r.n_chars == len(r.text) for r in rows)
+            want = lines_left(list(before.items()))
+            assert {r.doc_id: (r.text, r.n_chars) for r in rows} == {i: (want[i, t][2], len(want[i, t][2])) for i, t in before.items()} and len(rows) == len(before)
+        if name == "near_dedup":
+            assert sorted((r.doc_id, r.text) for r in rows) == sorted((i, before[i]) for i, _, _, kept in groups(list(before.items()), 5, 80) if kept)
         if name == "bpe":
             for r in rows:
                 ids = EXACT.encode_ordinary(before[r.doc_id])
