@@ -117,24 +117,25 @@ FIT = [f"m{i}" for i in range(P)] + [f"l{i}{j}" for i, j in PAIRS]
 GROW = 0.5 / chi_square(chi_square_at(0.5, P), P + 2)
 
 
-def _factor(cov: dict[tuple[int, int], Column], rows: DataFrame) -> DataFrame:
+def _minus(value: str, products: list[str]) -> str:
+    return " - ".join([value, *products])
+
+
+def _factor(cov: dict[tuple[int, int], str], rows: DataFrame) -> DataFrame:
     """Columns l00, l10, l11, ...: the Cholesky factor of a covariance, one row per group; columns of one select that refer to those before them."""
     steps = []
     for j in range(P):
-        inner = sum((F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
-        steps.append(F.sqrt(F.greatest(F.col(f"c{j}{j}") - inner, F.lit(1e-9))).alias(f"l{j}{j}"))
-        steps += [((F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))) / F.col(f"l{j}{j}")).alias(f"l{i}{j}") for i in range(j + 1, P)]
-    return rows.select("*", *(c.alias(f"c{i}{j}") for (i, j), c in cov.items()), *steps)
+        inner = _minus(f"c{j}{j}", [f"l{j}{k} * l{j}{k}" for k in range(j)])
+        steps.append(f"sqrt(greatest({inner}, 1e-9D)) AS l{j}{j}")
+        steps += [f"({_minus(f'c{i}{j}', [f'l{i}{k} * l{j}{k}' for k in range(j)])}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, P)]
+    return rows.selectExpr("*", *(f"{c} AS c{i}{j}" for (i, j), c in cov.items()), *steps)
 
 
 def distance(rows: DataFrame, name: str = "d2") -> DataFrame:
     """Squared Mahalanobis distance by forward substitution."""
-    steps = []
-    for i in range(P):
-        rest = sum((F.col(f"l{i}{k}") * F.col(f"_z{k}") for k in range(i)), F.lit(0.0))
-        steps.append(((F.col(f"v{i}") / SCALE - F.col(f"m{i}") - rest) / F.col(f"l{i}{i}")).alias(f"_z{i}"))
-    steps.append(sum((F.col(f"_z{i}") * F.col(f"_z{i}") for i in range(P)), F.lit(0.0)).alias(name))
-    return rows.select("*", *steps).drop(*(f"_z{i}" for i in range(P)))
+    steps = [f"({_minus(f'v{i} / {SCALE}D - m{i}', [f'l{i}{k} * _z{k}' for k in range(i)])}) / l{i}{i} AS _z{i}" for i in range(P)]
+    total = " + ".join(f"_z{i} * _z{i}" for i in range(P))
+    return rows.selectExpr("*", *steps, f"{total} AS {name}").drop(*(f"_z{i}" for i in range(P)))
 
 
 def _by_group(rows: DataFrame, small: DataFrame, *more: str) -> DataFrame:
@@ -144,30 +145,30 @@ def _by_group(rows: DataFrame, small: DataFrame, *more: str) -> DataFrame:
 
 def _fit(sums: DataFrame, grow: float) -> DataFrame:
     """(g, s, centre m, factor l, det) from weights k, sums s0.. and sums of products p00..; det is that of the covariance."""
-    mean = {i: F.col(f"s{i}") / F.col("k") for i in range(P)}
-    cov = {(i, j): grow * (F.col(f"p{i}{j}") / F.col("k") - mean[i] * mean[j]) / SCALE**2 + (FLOORS[i] ** 2 if i == j else 0.0) for i, j in PAIRS}
-    return _scored(_factor(cov, sums.select("*", *((mean[i] / SCALE).alias(f"m{i}") for i in range(P)))))
+    floor = {(i, i): f" + {FLOORS[i] ** 2}D" for i in range(P)}
+    cov = {(i, j): f"{grow}D * (p{i}{j} / k - s{i} / k * (s{j} / k)) / {SCALE**2}D" + floor.get((i, j), "") for i, j in PAIRS}
+    return _scored(_factor(cov, sums.selectExpr("*", *(f"s{i} / k / {SCALE}D AS m{i}" for i in range(P)))))
 
 
 def _scored(fit: DataFrame) -> DataFrame:
-    det = F.lit(1.0)
-    for i in range(P):
-        det = det * F.col(f"l{i}{i}") * F.col(f"l{i}{i}")
-    return fit.select("g", "s", *FIT, det.alias("det"))
+    det = " * ".join(f"l{i}{i} * l{i}{i}" for i in range(P))
+    return fit.selectExpr("g", "s", *FIT, f"{det} AS det")
+
+
+SUMS = ["k", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
 
 
 def _sums(rows: DataFrame, *by: str) -> DataFrame:
     """Weights, sums and sums of products of vectors with weight w."""
-    w = F.col("w")
-    return rows.groupBy(*by).agg(F.sum(w).alias("k"), *(F.sum(w * F.col(v)).alias(f"s{i}") for i, v in enumerate(V)), *(F.sum(w * F.col(V[i]) * F.col(V[j])).alias(f"p{i}{j}") for i, j in PAIRS))
+    return rows.groupBy(*by).agg(*(F.expr(f"sum({x}) AS {c}") for c, x in zip(SUMS, ["w", *(f"w * {v}" for v in V), *(f"w * {V[i]} * {V[j]}" for i, j in PAIRS)])))
 
 
 def _starts(vectors: DataFrame) -> DataFrame:
     """A first fit per group and start s."""
     middle = saved(vectors.groupBy("g").agg(*(F.expr(f"percentile({v}, 0.5, w)").alias(f"q{i}") for i, v in enumerate(V))))
     spread = _by_group(vectors, middle).groupBy("g").agg(*(F.expr(f"percentile(abs({v} - q{i}), 0.5, w)").alias(f"a{i}") for i, v in enumerate(V)), *(F.max(f"q{i}").alias(f"q{i}") for i in range(P)))
-    diagonal = {(i, j): F.pow(F.greatest(F.col(f"a{i}") * 1.4826 / SCALE, F.lit(FLOORS[i])), F.lit(2)) if i == j else F.lit(0.0) for i, j in PAIRS}
-    medians = _scored(_factor(diagonal, spread.select("*", F.lit(0).alias("s"), *((F.col(f"q{i}") / SCALE).alias(f"m{i}") for i in range(P)))))
+    diagonal = {(i, j): f"pow(greatest(a{i} * 1.4826D / {SCALE}D, {FLOORS[i]}D), 2)" if i == j else "0D" for i, j in PAIRS}
+    medians = _scored(_factor(diagonal, spread.selectExpr("*", "0 AS s", *(f"q{i} / {SCALE}D AS m{i}" for i in range(P)))))
     whole = _fit(_sums(vectors, "g").withColumn("s", F.lit(1)), 1.0)
     # an elemental set: for each of P + 1 seeded orders the vector that comes first
     drawn = vectors.groupBy("g").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), *V), *V)).alias(f"e{k}") for k in range(DRAWS * (P + 1))))
@@ -177,15 +178,15 @@ def _starts(vectors: DataFrame) -> DataFrame:
 
 
 def _step(vectors: DataFrame, fit: DataFrame) -> DataFrame:
-    """The fit of each group's and start's nearest documents, half of the group by weight."""
-    near = distance(_by_group(vectors, fit)).select("g", "_part", "s", *V, "w", "n", F.floor(BINS * F.log1p("d2")).cast("int").alias("bin"))
-    bins = near.groupBy("g", "s", "n", "bin").agg(F.sum("w").alias("w"))
-    half = F.expr(f"(n + {P + 1}) div 2")
-    upto = bins.select("g", "s", "bin", "w", F.least(half, "n").alias("h"), F.sum("w").over(W.partitionBy("g", "s").orderBy("bin")).alias("upto"))
-    cut = upto.where("upto >= h").groupBy("g", "s").agg(F.min(F.struct("bin", "w", "upto", "h")).alias("cut"))
-    cut = saved(cut.select("g", "s", F.col("cut.bin").alias("cut"), F.col("cut.w").alias("tied"), F.expr("cut.h - (cut.upto - cut.w)").alias("missing")))
-    share = F.when(F.col("bin") == F.col("cut"), F.expr("(w * missing + tied - 1) div tied")).otherwise(F.col("w"))
-    return _fit(_sums(_by_group(near, cut, "s").where("bin <= cut").withColumn("w", share), "g", "s"), GROW)
+    """The fit of each group's and start's nearest documents, half of the group by weight.
+
+    One pass: sums per bin of the distance, added up from the nearest bin on; of the bin where half is reached only the missing share counts.
+    """
+    near = distance(_by_group(vectors, fit)).selectExpr("g", "s", "n", f"CAST(floor({BINS} * log1p(d2)) AS int) AS bin", *V, "w")
+    nearest = "OVER (PARTITION BY g, s ORDER BY bin)"
+    upto = _sums(near, "g", "s", "n", "bin").selectExpr(f"least((n + {P + 1}) div 2, n) AS h", "g", "s", *SUMS, *(f"sum({c}) {nearest} AS {c}_upto" for c in SUMS))
+    cut = upto.where("k_upto >= h AND k_upto - k < h").withColumn("share", F.expr("(h - (k_upto - k)) / k"))
+    return _fit(cut.selectExpr("g", "s", *(f"{c}_upto - {c} + {c} * share AS {c}" for c in SUMS)), GROW)
 
 
 def _best(fit: DataFrame, n: int) -> DataFrame:
@@ -210,7 +211,7 @@ def fits(vectors: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         lower = _step(vectors, fit).select("g", "s", F.struct("det", *FIT).alias("new"))
         both = saved(fit.join(lower, ["g", "s"]).withColumn("moved", F.col("new.det") < F.col("det") * (1 - 1e-9)))
-        fit = both.select("g", "s", *(F.when(F.col("moved"), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) for c in (*FIT, "det")))
+        fit = both.selectExpr("g", "s", *(f"IF(moved, new.{c}, {c}) AS {c}" for c in (*FIT, "det")))
         if not both.where("moved").limit(1).count():
             break
     return _best(fit, 1).drop("s")
