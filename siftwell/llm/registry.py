@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, lines, media, minhash, mixing, oracles, quality, suffixes, warc
+from . import bpe, chat, credentials, licenses, lines, media, minhash, mixing, oracles, quality, suffixes, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (minhash.op1_minhash_dedup, licenses.op2_license_scan, chat.op5_chat_format, lines.op4_line_dedup, quality.op10_quality_rules, warc.op3_warc, suffixes.op6_suffix_dedup, media.op7_media_columns, bpe.op8_byte_bpe, mixing.op9_mix_sources)}
+    return {f.__name__: f for f in (minhash.op1_minhash_dedup, licenses.op2_license_scan, chat.op5_chat_format, lines.op4_line_dedup, quality.op10_quality_rules, warc.op3_warc, suffixes.op6_suffix_dedup, media.op7_media_columns, bpe.op8_byte_bpe, mixing.op9_mix_sources, credentials.op12_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,7 +20,7 @@ def test_agrees_with_sql(name, spark, duck, same):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stage_by_stage(spark):
