@@ -44,7 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 _ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
-_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:(?:[A-Za-z0-9+/]{64}\r?\n)++|(?:[A-Za-z0-9+/]{76}\r?\n)++)[A-Za-z0-9+/]++={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/])(?:(?:[A-Za-z0-9+/]{64}\r?\n)++|(?:[A-Za-z0-9+/]{76}\r?\n)++)(?:[A-Za-z0-9+/]++={0,2})?")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}+={0,2}")
 _HEX = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{64,}+")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{10,}+)\.([A-Za-z0-9_-]{2,}+)\.([A-Za-z0-9_-]++)")
@@ -219,8 +219,9 @@ def confirmed(text: str) -> list[tuple[str, int, int]]:
         opened = m if m[1] == "BEGIN" else None
     for pattern in (_WRAPPED, _BASE64):
         for m in pattern.finditer(text):
-            kind = kind_of(_decoded(_BREAKS.sub("", m[0]).rstrip("=")))
-            found += [(kind, m.start(), m.end())] if kind else []
+            run = m[0].rstrip()
+            kind = kind_of(_decoded(_BREAKS.sub("", run).rstrip("=")))
+            found += [(kind, m.start(), m.start() + len(run))] if kind else []
     for m in _HEX.finditer(text):
         kind = kind_of(bytes.fromhex(m[0])) if len(m[0]) % 2 == 0 else None
         found += [(kind, m.start(), m.end())] if kind else []
