@@ -72,3 +72,36 @@ WITH d AS (
 )
 SELECT doc_id, size, n AS source_size, target, (size * (whole + CASE WHEN 2 * upto - size <= 2 * rest THEN 1 ELSE 0 END))::bigint AS taken FROM c
 """
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    octets = f"list_transform(string_split({text}, ''), lambda c: ord(c)::bigint)"
+    step = "list_reduce([xor(c, o), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], {octets}), lambda c, o: {step}), 4294967295)"
+
+
+OP13 = f"""
+WITH t AS (
+  SELECT conv_id, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_id, octet_length(encode(coalesce(text, ''))) AS n_bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS p FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, n, {crc32("conv_id::varchar")} % 9 AS h, conv_id - conv_id % 5 AS base FROM (SELECT conv_id, count(*) AS n FROM t GROUP BY 1)
+), r AS (
+  SELECT c.conv_id, p + 1 AS depth, turn_id, n_bytes FROM c JOIN t ON t.conv_id = base AND p < h
+  UNION ALL SELECT c.conv_id, p - c.h + least(c.h, coalesce(b.n, 0)) + 1, turn_id, n_bytes FROM c JOIN t ON t.conv_id = c.conv_id AND p >= c.h LEFT JOIN c b ON b.conv_id = c.base
+), k AS (
+  SELECT conv_id, depth, n_bytes, sha256(string_agg(turn_id, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS id FROM r
+  UNION ALL SELECT conv_id, 0, 0, 'root' FROM c
+), u AS (
+  SELECT *, lag(id) OVER (PARTITION BY conv_id ORDER BY depth) AS above, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM k
+), n AS (
+  SELECT id, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(above) AS above, (count(*) - 1) * any_value(n_bytes) AS saved,
+    sha256(coalesce(string_agg(CASE WHEN ends THEN conv_id::varchar END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM u GROUP BY id, depth
+), f AS (
+  SELECT above AS id, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY 1
+), s AS (
+  SELECT k.id, sum(CASE WHEN f.id IS NULL THEN 1 ELSE 0 END)::bigint AS n_leaves, sum(n.saved)::bigint AS saved_tokens FROM n JOIN k ON k.conv_id = n.conv_id AND k.depth <= n.depth LEFT JOIN f ON f.id = n.id GROUP BY 1
+)
+SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.id = n.id LEFT JOIN f ON f.id = n.id LEFT JOIN n o ON o.id = n.above
+"""
