@@ -105,3 +105,53 @@ WITH t AS (
 SELECT n.conv_id, n.depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint AS n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM n JOIN s ON s.id = n.id LEFT JOIN f ON f.id = n.id LEFT JOIN n o ON o.id = n.above
 """
+
+
+def _add(item: str, cost: int | str, letter: str) -> str:
+    """An item, six digits of cost and then the audit, after one more edit."""
+    return f"(lpad((left({item}, 6)::int + {cost})::varchar, 6, '0') || substr({item}, 7) || '{letter}')"
+
+
+#: Items of the states START, SYSTEM, USER and ASSISTANT, with all that may be inserted before the next row.
+_USER = f"least(w.u, {_add('w.a', 2, 'I')}, {_add('w.s', 2, 'I')}, {_add('w.z', 2, 'I')})"
+_SPOKEN = "least(w.z, w.s, w.a2)"
+OP11 = rf"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(conv_id::varchar, ' ') AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 AS k FROM conversations
+), m AS (
+  SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE k <> 0
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS r FROM m
+), f AS (
+  SELECT *, lag(r) OVER (PARTITION BY c ORDER BY i) AS before, CASE
+    WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE 'none' END AS fault FROM o
+), walk AS (
+  SELECT DISTINCT c, 0::bigint AS i, '000000' AS z, NULL::varchar AS s, NULL::varchar AS u, NULL::varchar AS a FROM m
+  UNION ALL
+  SELECT c, i,
+    {_add('z', 3, 'D')} AS z,
+    least({_add('s', 3, 'D')}, CASE WHEN keep AND r = 's' THEN {_add('z', 'cut', 'K')} END) AS s,
+    least({_add('u2', 3, 'D')}, CASE WHEN keep AND r = 'u' THEN {_add('spoken', 'cut', 'K')} END, CASE WHEN keep THEN {_add('spoken', '2 + cut', 'R')} END) AS u,
+    least({_add('a2', 3, 'D')}, CASE WHEN keep AND r = 'a' THEN {_add('u2', 'cut', 'K')} END, CASE WHEN keep THEN {_add('u2', '2 + cut', 'R')} END) AS a
+  FROM (SELECT w.*, {_SPOKEN} AS spoken FROM (
+    SELECT w.*, least(w.a, {_add('u2', 2, 'I')}) AS a2 FROM (
+      SELECT f.c, f.i, f.r, fault IN ('none', 'truncated') AS keep, CASE fault WHEN 'truncated' THEN 1 ELSE 0 END AS cut, w.z, w.s, w.a, {_USER} AS u2 FROM walk w JOIN f ON f.c = w.c AND f.i = w.i + 1) w) w) w
+), g AS (
+  SELECT c, z, a, {_USER} AS u2 FROM walk w JOIN (SELECT c, max(i) AS i FROM f GROUP BY 1) USING (c, i)
+), b AS (
+  SELECT c, left(best, 6)::bigint AS cost, substr(best, 7) AS audit FROM (SELECT c, least(z, a, {_add('u2', 2, 'I')}) AS best FROM g)
+), e AS (
+  SELECT c, p, e, CASE WHEN e <> 'I' THEN sum(CASE WHEN e <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY c ORDER BY p) END AS i FROM (SELECT c, substr(audit, p::int, 1) AS e, p FROM (SELECT c, audit, unnest(range(1, length(audit) + 1)) AS p FROM b))
+), x AS (
+  SELECT e.*, f.role, f.r, f.text, row_number() OVER (PARTITION BY e.c ORDER BY p) AS n, first_value(e = 'K' AND f.r = 's') OVER (PARTITION BY e.c ORDER BY p) AS system FROM e LEFT JOIN f ON f.c = e.c AND f.i = e.i WHERE e <> 'D'
+), h AS (
+  SELECT c, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (n - CASE WHEN coalesce(system, false) THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS repaired_sha256 FROM x GROUP BY 1
+), n AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1
+)
+SELECT conv_id, coalesce(gaps, 0)::bigint AS gaps, coalesce(blank, 0)::bigint AS blank, coalesce(duplicate, 0)::bigint AS duplicate, coalesce(truncated, 0)::bigint AS truncated, coalesce(illegal, 0)::bigint AS illegal, coalesce(cost, 0)::bigint AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT c, conv_id FROM d) LEFT JOIN n USING (c) LEFT JOIN b USING (c) LEFT JOIN h USING (c)
+"""
