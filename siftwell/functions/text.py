@@ -29,6 +29,14 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def whole_number(text: Column) -> Column:
+    """An integer from text as int() takes it (blanks, sign, single underscores), or from a JSON number or boolean; fractions are cut off; null if that fails or is no 32-bit integer."""
+    t = stripped(text)
+    whole = F.replace(t, F.lit("_")).try_cast("int")
+    cut = t.try_cast("double").try_cast("int")
+    return F.when(t.rlike("^[+-]?[0-9]+(_[0-9]+)*$"), whole).when(t.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), cut).when(t == "true", 1).when(t == "false", 0)
+
+
 def parse_location(text: Column) -> Column:
     """{fl, ln} of `file:line`, split at the last colon; null if that isn't possible or the number is too large for a line."""
     file, line = (F.regexp_extract(text, r"(?s)^(.+):([0-9]+)$", k) for k in (1, 2))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from ..functions.text import let, whole_number
 from ..schemas import NODE, PRIMARY_ROLES
 
 
@@ -20,8 +20,9 @@ def path_nodes() -> Column:
 
 
 def location(loc: Column) -> Column:
-    """{fl, ln, cl} of a location; a missing column is 0, numbers too large are null."""
-    return F.when(loc.isNotNull(), F.struct(loc["file"].alias("fl"), loc["line"].try_cast("int").alias("ln"), F.coalesce(loc["column"], F.lit(0)).try_cast("int").alias("cl")))
+    """{fl, ln, cl} of a location; a missing or empty column is 0, numbers that don't convert or are too large are null."""
+    column = F.coalesce(F.nullif(loc["column"].cast("string"), F.lit("")), F.lit("0"))
+    return F.when(loc.isNotNull(), F.struct(loc["file"].alias("fl"), whole_number(loc["line"].cast("string")).alias("ln"), whole_number(column).alias("cl")))
 
 
 def path_place() -> Column:
@@ -111,8 +112,9 @@ def keyed(alerts: DataFrame, behaviours: dict[str, Behaviour] | None = None) ->
 
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable alerts, those without a location or batch key, with the reason)."""
-    reason = F.when(F.col("hint").isNull(), "unknown category").when(F.col("loc").isNull(), "no primary location").when(F.col("batch_key").isNull(), "no batch key")
+    """(usable alerts, those without a usable location or a batch key, with the reason)."""
+    unusable = F.col("loc.fl").isNull() | F.col("loc.ln").isNull() | F.col("loc.cl").isNull()
+    reason = F.when(F.col("hint").isNull(), "unknown category").when(F.col("loc").isNull(), "no primary location").when(unusable, "unusable location").when(F.col("batch_key").isNull(), "no batch key")
     marked = rows.withColumn("problem", reason)
     return marked.where("problem is null").drop("problem"), marked.where("problem is not null")
 

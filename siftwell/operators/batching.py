@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.json_edit import edited, json_string
 from ..work import saved
 
 SEPARATOR = "\n\n--- NEXT ALERT ---\n\n"
@@ -53,10 +54,9 @@ def make_batches(alerts: DataFrame, size: int = 8, order: str = "file_path") ->
 
 
 def prompts(members: DataFrame, alerts: DataFrame) -> DataFrame:
-    """(batch_no, batch_id, n_alerts, prompt): a batch's alerts in order. `alerts` has alert_id, hint and raw, its JSON."""
+    """(batch_no, batch_id, n_alerts, prompt): a batch's alerts in order. `alerts` has alert_id, hint and raw, its JSON, of which only the id is replaced by the short one."""
     rows = members.join(alerts.select("alert_id", "hint", "raw"), "alert_id")
-    short = F.concat(F.lit('"alert_id":"'), "short_id", F.lit('"'))
-    body = F.replace(F.col("raw"), F.concat(F.lit('"alert_id":"'), "alert_id", F.lit('"')), short)
+    body = edited(F.col("raw"), {"alert_id": json_string(F.col("short_id"))})
     rows = rows.withColumn("prompt", F.concat(F.lit("Classify this static-analysis alert. "), "hint", F.lit("\n\n"), body))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "prompt"))), lambda x: x["prompt"])
     head = F.concat(F.lit("Batch "), "batch_id", F.lit("\n\n"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.json_edit import edited, json_string
 from ..functions.text import stripped
 from ..schemas import CLASSIFICATIONS
 
@@ -74,20 +75,13 @@ def of_complete_batches(results: DataFrame, covered: DataFrame) -> DataFrame:
 
 
 def write_back(alerts: DataFrame, results: DataFrame) -> DataFrame:
-    """alerts (alert_id, raw: JSON text) with classification and reason set in raw where there is a result; other fields stay."""
+    """alerts (alert_id, raw: JSON text) with classification and reason set in raw where there is a result; every other byte stays."""
     valid = results.where(F.col("classification").isin(list(CLASSIFICATIONS))).select("alert_id", F.col("classification").alias("_class"), stripped(F.col("reason")).alias("_reason"))
     rows = alerts.join(valid, "alert_id", "left")
-    fields = F.map_filter(F.from_json("raw", "map<string, variant>"), lambda k, v: ~k.isin("classification", "reason"))
-    new = F.map_from_arrays(F.array(F.lit("classification"), F.lit("reason")), F.array(_variant("_class"), _variant("_reason")))
-    raw = F.when(F.col("_class").isNotNull(), F.to_json(F.map_concat(fields, new))).otherwise(F.col("raw"))
+    raw = edited(F.col("raw"), {"classification": json_string(F.col("_class")), "reason": json_string(F.col("_reason"))})
     return rows.select("alert_id", raw.alias("raw"), F.col("_class").isNotNull().alias("written"))
 
 
-def _variant(name: str) -> Column:
-    """A text column as a variant."""
-    return F.variant_get(F.parse_json(F.to_json(F.struct(F.col(name).alias("v")))), "$.v", "variant")
-
-
 def run_totals(pending: DataFrame, written: DataFrame, new_rules: DataFrame) -> DataFrame:
     """One row: pending, concluded, unfinished, rules appended, exit status."""
     counts = pending.agg(F.count(F.lit(1)).alias("n_pending")), written.agg(F.count(F.lit(1)).alias("n_concluded")), new_rules.agg(F.count(F.lit(1)).alias("n_rules"))

@@ -42,7 +42,7 @@ def alert_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT alert_id, row_number() OVER (PARTITION BY alert_id ORDER BY pos) - 1 AS pos, role, file, line, col FROM nodes_v")
 def alert_nodes(spark: SparkSession, d: str) -> DataFrame:
     rows = V.alerts(spark, d).select("alert_id", F.posexplode(A.path_nodes()).alias("pos", "n"))
-    return rows.select("alert_id", F.col("pos").cast("long").alias("pos"), "n.role", "n.location.file", "n.location.line", F.col("n.location.column").alias("col"))
+    return rows.select("alert_id", F.col("pos").cast("long").alias("pos"), "n.role", "n.location.file", F.col("n.location.line").cast("long").alias("line"), F.col("n.location.column").cast("long").alias("col"))
 
 
 @query("""SELECT alert_id, fl, ln, cl, fl || ':' || ln AS source_location, CASE WHEN ln IS NULL THEN 'no primary location' END AS problem
@@ -78,11 +78,9 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
     return batching.make_batches(_pending(spark, d)).select("alert_id", "short_id")
 
 
-@query("""SELECT batch_no, batch_id, count(*) AS n_alerts, 'Batch ' || batch_id || chr(10) || chr(10) || string_agg('Classify this static-analysis alert. ' || CASE a.category
-  WHEN 'MEMORY_LEAK' THEN '`paths` are possible safe freeing witnesses and `leak_condition` is the complement that constitutes danger.'
-  WHEN 'BUFFER_OVERFLOW' THEN '`range_analysis` is the ordered value-range derivation from variables and guards through the final bounds comparison.'
-  ELSE '`path` is a pruned SVFG value-flow witness; branch entries carry the required control outcome.' END || chr(10) || chr(10) ||
-  '{"alert_id":"' || batch_id || '-A' || lpad(pos::varchar, 2, '0') || '","category":"' || a.category || '","n":' || o_custkey || '}', chr(10) || chr(10) || '--- NEXT ALERT ---' || chr(10) || chr(10) ORDER BY pos) AS prompt
+@query(f"""SELECT batch_no, batch_id, count(*) AS n_alerts, 'Batch ' || batch_id || chr(10) || chr(10) || string_agg('Classify this static-analysis alert. ' || CASE a.category
+  WHEN 'MEMORY_LEAK' THEN '{A.LEAK_HINT}' WHEN 'BUFFER_OVERFLOW' THEN '{A.RANGE_HINT}' ELSE '{A.PATH_HINT}' END || chr(10) || chr(10) ||
+  {V.raw_sql(V.RAW_SHORT, "o_orderkey % 3", id="alert_id", cat="a.category", n="o_custkey", short="batch_id || '-A' || lpad(pos::varchar, 2, '0')")}, chr(10) || chr(10) || '--- NEXT ALERT ---' || chr(10) || chr(10) ORDER BY pos) AS prompt
 FROM batches_v JOIN alerts_v a USING (alert_id) GROUP BY batch_no, batch_id""")
 def batch_prompts(spark: SparkSession, d: str) -> DataFrame:
     alerts = _pending(spark, d)
@@ -373,12 +371,12 @@ def _written(spark: SparkSession, d: str) -> DataFrame:
     m = V.members(spark, d)
     results = _results(spark, d)
     complete = ledger.of_complete_batches(results, ledger.coverage(m, results))
-    raw = F.concat(F.lit('{"alert_id":"'), "alert_id", F.lit('","classification":null,"x":{"k":[1,2.5]}}'))
+    raw = V.raw_document(F.right("short_id", F.lit(1)).cast("int") % 3, id=F.col("alert_id"), cat=F.lit("none"), n=F.lit(7))
     return ledger.write_back(m.select("alert_id", raw.alias("raw")), ledger.canonical(complete, m))
 
 
-@query(f"""SELECT m.alert_id, c.short_id IS NOT NULL AS written, CASE WHEN c.short_id IS NULL THEN '{{"alert_id":"' || m.alert_id || '","classification":null,"x":{{"k":[1,2.5]}}}}'
-  ELSE '{{"alert_id":"' || m.alert_id || '","x":{{"k":[1,2.5]}},"classification":"' || classification || '","reason":"' || trim(reason) || '"}}' END AS raw
+@query(f"""SELECT m.alert_id, c.short_id IS NOT NULL AS written, CASE WHEN c.short_id IS NULL THEN {V.raw_sql(V.RAW, "right(m.short_id, 1)::int % 3", id="m.alert_id", cat="'none'", n="7")}
+  ELSE {V.raw_sql(V.RAW_WRITTEN, "right(m.short_id, 1)::int % 3", id="m.alert_id", cat="'none'", n="7", **{"class": "classification"}, why="trim(reason)")} END AS raw
 FROM members_v m LEFT JOIN (SELECT * FROM {_DONE} WHERE batch_id IN (SELECT batch_id FROM {_DONE} GROUP BY 1 HAVING count(*) = 4)) c USING (short_id)""")
 def write_back(spark: SparkSession, d: str) -> DataFrame:
     return _written(spark, d).select("alert_id", "written", "raw")

@@ -21,8 +21,44 @@ def _pick(values: tuple[str, ...], index: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), index.cast("int"))
 
 
+#: Alert documents as they are found: on one line, indented with nested and repeated keys and odd numbers, and without an id of its own.
+_DEEP = '"deep": {"b": [1.50, 1e5, {"alert_id": "@id"}], "a": 12345678901234567890123456789, "a": null},'
+RAW = (
+    '{"alert_id":"@id","category":"@cat","n":@n}',
+    f'{{\n  "category": "@cat",\n  "alert_id" : "@id",\n  {_DEEP}\n  "classification": null\n}}\n',
+    r'{ "n": 1e400, "s": "\"alert_id\": {", "reason" : [] }',
+)
+#: The same after the id was replaced, and after a conclusion was written back.
+RAW_SHORT = (
+    '{"alert_id":"@short","category":"@cat","n":@n}',
+    f'{{\n  "category": "@cat",\n  "alert_id" : "@short",\n  {_DEEP}\n  "classification": null\n}}\n',
+    r'{ "n": 1e400, "s": "\"alert_id\": {", "reason" : [], "alert_id": "@short" }',
+)
+RAW_WRITTEN = (
+    '{"alert_id":"@id","category":"@cat","n":@n,"classification":"@class","reason":"@why"}',
+    f'{{\n  "category": "@cat",\n  "alert_id" : "@id",\n  {_DEEP}\n  "classification": "@class",\n  "reason": "@why"\n}}\n',
+    r'{ "n": 1e400, "s": "\"alert_id\": {", "reason" : "@why", "classification": "@class" }',
+)
+
+
+def raw_document(shape: Column, **values: Column) -> Column:
+    """One of RAW with its marks filled."""
+    out = F.get(F.array(*map(F.lit, RAW)), shape.cast("int"))
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"@{name}"), value.cast("string"))
+    return out
+
+
+def raw_sql(texts: tuple[str, ...], shape: str, **values: str) -> str:
+    """The same for the oracle."""
+    out = "[" + ", ".join("'" + t.replace("'", "''") + "'" for t in texts) + f"][({shape} + 1)::int]"
+    for name, value in values.items():
+        out = f"replace({out}, '@{name}', {value}::varchar)"
+    return out
+
+
 def _node(role: Column, file: Column, line: Column, column: Column) -> Column:
-    return F.struct(role.alias("role"), F.struct(file.alias("file"), line.cast("long").alias("line"), column.cast("long").alias("column")).alias("location"))
+    return F.struct(role.alias("role"), F.struct(file.alias("file"), line.cast("string").alias("line"), column.cast("long").cast("string").alias("column")).alias("location"))
 
 
 def alerts(spark: SparkSession, d: str, with_paths: bool = True) -> DataFrame:
@@ -43,13 +79,13 @@ def alerts(spark: SparkSession, d: str, with_paths: bool = True) -> DataFrame:
         F.when(F.col("o_orderstatus") == "F", _node(F.lit("allocation"), own, F.col("o_custkey"), F.lit(None))).alias("allocation"),
         F.when(F.col("o_orderstatus") == "P", F.array(F.struct(F.slice(path, 1, 2).alias("path")))).alias("paths"),
         F.lit(None).cast("string").alias("leak_condition"),
-        F.struct(F.col("o_orderpriority").alias("kind"), F.struct(own.alias("file"), F.col("o_custkey").cast("long").alias("line"), F.lit(None).cast("long").alias("column")).alias("location")).alias("access"),
+        F.struct(F.col("o_orderpriority").alias("kind"), F.struct(own.alias("file"), F.col("o_custkey").cast("string").alias("line"), F.lit(None).cast("string").alias("column")).alias("location")).alias("access"),
         F.struct(F.struct(F.when(F.col("o_custkey") % 3 == 0, "").otherwise(F.concat(F.lit("t"), F.col("o_custkey") % 7)).alias("type"), F.col("o_orderpriority").alias("descriptor")).alias("memory_object")).alias("evidence"),
         F.lit(None).cast("string").alias("range_analysis"),
         F.when(F.col("o_orderstatus") == "F", "TP").when(F.col("o_orderstatus") == "P", "FP").alias("classification"),
         F.lit(None).cast("string").alias("reason"),
         F.concat(F.lower(category), F.lit("/"), alert_id, F.lit(".json")).alias("file_path"),
-        F.concat(F.lit('{"alert_id":"'), alert_id, F.lit('","category":"'), category, F.lit('","n":'), F.col("o_custkey"), F.lit("}")).alias("raw"),
+        raw_document(F.col("o_orderkey") % 3, id=alert_id, cat=category, n=F.col("o_custkey")).alias("raw"),
     )
 
 

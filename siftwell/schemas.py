@@ -9,7 +9,8 @@ MATCHES = ("exact", "substring")
 #: Roles of path nodes by preference as primary location.
 PRIMARY_ROLES = ("use", "second_free", "free", "first_free", "allocation", "object_origin")
 
-LOC = "STRUCT<file: STRING, line: BIGINT, column: BIGINT>"
+#: Lines and columns as they are spelled; they are converted where a location is taken.
+LOC = "STRUCT<file: STRING, line: STRING, column: STRING>"
 NODE = f"STRUCT<role: STRING, location: {LOC}>"
 ALERT = (
     f"alert_id STRING, category STRING, path ARRAY<{NODE}>, allocation {NODE}, paths ARRAY<STRUCT<path: ARRAY<{NODE}>>>, leak_condition STRING, "

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.json_edit import is_object
 from ..schemas import ALERT, CATEGORIES, RULE
 
 RULE_SCHEMA = "semantic-rules/v1"
@@ -29,8 +30,8 @@ def decoded_path(uri: Column) -> Column:
 
 
 def parsed_alerts(files: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(alerts with typed columns, file_path and raw; files that aren't JSON). If strict, reading the alerts raises where a file isn't."""
-    ok = F.try_parse_json("raw").isNotNull()
+    """(alerts with typed columns, file_path and raw; files that aren't one JSON object). If strict, reading the alerts raises where a file isn't."""
+    ok = is_object(F.col("raw"))
     if strict:
         ok = F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("not JSON: "), "file_path")).cast("boolean"))
     rows = files.withColumn("_ok", ok)

@@ -141,6 +141,15 @@ def test_numbers_too_large_for_a_line(spark, tmp_path):
     assert row["loc"].fl == "a.c" and row["loc"].ln is None and row["loc"].cl is None and row.source_location is None
 
 
+def test_lines_convert_like_integers(spark, tmp_path):
+    values = [("12", 12), (" 7\n", 7), ("1_000", 1000), (12.9, 12), (True, 1), ("x", None), ("1__0", None), (None, None), (99999999999, None), ("", None), ([3], None)]
+    load(spark, tmp_path, [alert(i, "MEMORY_LEAK", path=[node("use", line=v)]) for i, (v, _) in enumerate(values)])
+    rows = A.keyed(documents.parsed_alerts(documents.read_alerts(spark, str(tmp_path)))[0])
+    good, bad = A.quarantine(rows)
+    assert {r.alert_id: r["loc"].ln for r in good.collect()} == {alert(i, "MEMORY_LEAK")["alert_id"]: v for i, (_, v) in enumerate(values) if v is not None}
+    assert {r.problem for r in bad.collect()} == {"unusable location"} and good.count() + bad.count() == len(values)
+
+
 def test_turn_phase(spark):
     rows = spark.createDataFrame([("B", t, 0 if t == 2 else 1, 1) for t in range(1, 21)], "batch_id string, turn int, n_calls int, n_alerts int")
     got = {r.turn: (r.concluding, r.forced) for r in ledger.turn_phase(rows, max_turns=20).collect()}
