@@ -36,20 +36,21 @@ LAST = (1 << 63) - 1
 def _identified_columns() -> list[Column]:
     """d and h tell documents apart and order them; and the text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.unhex(F.substring(F.sha2(text, 256), 1, 32)).alias("h"), text.alias("text")]
 
 
 def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def blocks(text: Column, scope: Column, b: int) -> Column:
-    """Array of (key, width, before, block): the hash of the text without the block, the blocks' width, code points before the block, and the block."""
+def blocks(text: Column, scope: Column, b: int, short: bool = False) -> Column:
+    """Array of (key, width, before, block): SHA-256 of the text without the block (if short a 64-bit hash, to rule lines out), the blocks' width, code points before the block, and the block."""
     n = F.char_length(text)
 
     def one(s: Column, q: Column) -> Column:
         before, after = q * s, (b - 1 - q) * s
-        key = F.xxhash64(scope, s, q, text.substr(F.lit(1), before), text.substr(n - after + 1, after))
+        around = (text.substr(F.lit(1), before), text.substr(n - after + 1, after))
+        key = F.xxhash64(scope, s, q, *around) if short else F.unhex(F.sha2(F.concat_ws(":", F.hex(scope), s.cast("string"), q.cast("string"), *around), 256))
         return F.struct(key.alias("key"), s.alias("width"), before.alias("before"), text.substr(before + 1, n - before - after).alias("block"))
 
     widths = F.array_distinct(F.array(F.floor(n / b).cast("int"), F.floor((n - 1) / b).cast("int")))
@@ -61,7 +62,7 @@ def neighbourhood(block: Column, key: Column) -> Column:
     n = F.char_length(block)
 
     def variant(*parts: Column) -> Column:
-        return F.unhex(F.sha2(F.concat_ws(":", key.cast("string"), *parts), 256)).alias("variant")
+        return F.unhex(F.sha2(F.concat_ws(":", F.hex(key), *parts), 256)).alias("variant")
 
     def at(i: Column) -> Column:
         rest = F.concat(block.substr(F.lit(1), i), block.substr(i + 2, n))
@@ -92,8 +93,8 @@ def one_edit_apart(line: Column, other: Column, start: Column, size: Column, oth
 
 def near_lines(firsts: DataFrame) -> DataFrame:
     """(d, h, ln) of those of the distinct lines (id, at, line) that have an earlier one one edit away."""
-    none, zero = F.lit(0).cast("long"), F.lit(0)
-    keys = saved(firsts.select("id", F.explode(F.transform(blocks(F.col("line"), none, BLOCKS), lambda x: x["key"])).alias("key")))
+    none, zero = F.lit(""), F.lit(0)
+    keys = saved(firsts.select("id", F.explode(F.transform(blocks(F.col("line"), none, BLOCKS, short=True), lambda x: x["key"])).alias("key")))
     suspects = saved(firsts.join(shared_only(keys, "key").select("id").distinct(), "id"))
     rows = saved(cut(suspects, "line", none, zero, BLOCKS))
     short = rows.where(F.col("width") <= SHORT)

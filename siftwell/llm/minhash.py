@@ -71,12 +71,12 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     sketch[i] = row.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(sketch, pa.binary())], ["doc_id", "text_hash", "n", "name", "sketch"])
 
-    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, text_hash long, n long, name binary, sketch binary")
+    return _texts(docs, "doc_id").mapInArrow(run, "doc_id long, text_hash binary, n long, name binary, sketch binary")
 
 
 def _texts(docs: DataFrame, name: str) -> DataFrame:
     """(id by that name, text_hash, text); the hash tells texts of one id apart."""
-    return docs.select(F.col("doc_id").cast("long").alias(name), F.xxhash64("text").alias("text_hash"), "text")
+    return docs.select(F.col("doc_id").cast("long").alias(name), F.unhex(F.sha2("text", 256)).alias("text_hash"), "text")
 
 
 def band_keys(classes: DataFrame) -> DataFrame:

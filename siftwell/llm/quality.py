@@ -66,11 +66,17 @@ def _let(value: Column, use) -> Column:
 
 
 def repeat_words(words: Column, width: int = WINDOW) -> Column:
-    """Words that lie in windows of `width` words found twice or more in the array."""
+    """Words that lie in windows of `width` words found twice or more in the array.
+
+    Short hashes only tell that no window can repeat; where some are equal, SHA-256 of the windows decides.
+    """
 
     def windows(h: Column) -> Column:
         return F.transform(F.slice(h, 1, F.size(h) - (width - 1)), lambda x, i: F.xxhash64(x, *(F.get(h, i + k) for k in range(1, width))))
 
+    def names(w: Column) -> Column:
+        return F.transform(F.slice(w, 1, F.size(w) - (width - 1)), lambda x, i: F.sha2(F.concat_ws(" ", x, *(F.get(w, i + k) for k in range(1, width))), 256))
+
     def covered(at: Column) -> Column:
         steps = F.transform(at, lambda x, i: F.least(F.coalesce(F.get(at, i + 1) - x, F.lit(width)), F.lit(width)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
@@ -80,7 +86,7 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
         return F.sort_array(F.transform(same, lambda x: x["i"]))
 
     def count(g: Column) -> Column:
-        ordered = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        ordered = _let(names(words), lambda n: F.sort_array(F.transform(n, lambda x, i: F.struct(x.alias("g"), i.alias("i")))))
         return F.when(F.size(F.array_distinct(g)) < F.size(g), _let(_let(ordered, places), covered)).otherwise(F.lit(0).cast("long"))
 
     hashes = F.transform(words, lambda w: F.xxhash64(w))

@@ -9,6 +9,7 @@ import numpy as np
 
 from siftwell.llm import quality
 
+from .collide import words
 from .conftest import DOCS, ODD
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -35,6 +36,16 @@ def test_base_counts(make):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_words_of_one_hash_are_no_repeat(spark, make):
+    one, other = words()
+    a, b = spark.createDataFrame([(one,), (other,)], "w string").selectExpr("xxhash64(w) AS h").collect()
+    assert one != other and a.h == b.h
+    tail = "one two three four"
+    rows = [(1, " ".join(f"w{i}" for i in range(8)) + f" {one} {tail} {other} {tail}"), (2, f"{one} {tail} {one} {tail} five")]
+    got = {r.doc_id: r.n_repeat_words for r in quality.judge(make(rows)).collect()}
+    assert got == {i: base(t)[4] for i, t in rows} == {1: 0, 2: 10}
+
+
 def clean(draw):
     return " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 9))) for _ in range(draw.randint(30, 200)))
 
