@@ -450,31 +450,52 @@ def call_names(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file", F.col("ln").cast("long").alias("ln"), F.array_join("names", ",").alias("names"))
 
 
-@query()
+_LEFT = rf"regexp_replace(trim(left(text, place::int - 1), {V._WS}), '^(\s|({'|'.join(V.LEADING)})[ (]|\()*', '')"
+
+
+@query(rf"""SELECT file, ln, place - 1 AS eq_position, CASE WHEN regexp_full_match(name, '[a-zA-Z_][a-zA-Z0-9_]*') THEN name END AS name FROM (
+  SELECT *, string_split(string_split(string_split(ltrim(regexp_split_to_array(trim({_LEFT}, {V._WS}), '\s+')[-1], '*'), '[')[1], '->')[-1], '.')[-1] AS name FROM (
+    SELECT file, ln, any_value(text) AS text, arg_min(i, (CASE WHEN depth = 0 THEN 0 ELSE 1 END, -depth, i)) AS place FROM depth_v
+    WHERE c = '=' AND substr(text, i::int + 1, 1) <> '=' AND (i = 1 OR NOT contains('{V.NOT_ASSIGNED}', substr(text, i::int - 1, 1))) AND NOT starts_with(ltrim(text, {V._WS}), 'return ') GROUP BY 1, 2))""")
 def assignments(spark: SparkSession, d: str) -> DataFrame:
-    return scanners.assignments(V.code_lines(spark, d))
+    return _longs(scanners.assignments(V.code_lines(spark, d)), "ln", "eq_position")
+
+
+def _longs(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.withColumns({c: F.col(c).cast("long") for c in columns})
 
 
-@query()
+@query("SELECT file, ln, call_no, function, idx, arg FROM callargs_v")
 def call_args(spark: SparkSession, d: str) -> DataFrame:
-    return scanners.call_args(V.code_lines(spark, d))
+    return _longs(scanners.call_args(V.code_lines(spark, d)), "ln", "call_no", "idx")
 
 
-@query()
+@query(rf"""WITH t_v AS (SELECT file, ln, place, k, t, sum(CASE WHEN t IN ('(', '[', '{{') THEN 1 WHEN t IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER (PARTITION BY file, ln ORDER BY k) AS depth FROM (
+  SELECT file, ln, place, unnest(p) AS t, generate_subscripts(p, 1) AS k FROM (SELECT file, ln, place, regexp_extract_all(inner_text, '(?s)\\.|\\$|"(?:[^"\\]|\\.)*"?|''(?:[^''\\]|\\.)*''?|[()\[\]{{}},]|[^()\[\]{{}},\\"'']+') AS p FROM groups_v WHERE kind = 'call')))
+SELECT file, ln, place AS "at", row_number() OVER (PARTITION BY file, ln ORDER BY part) - 1 AS idx, arg FROM (
+  SELECT file, ln, place, part, trim(coalesce(string_agg(t, '' ORDER BY k) FILTER (NOT cut), ''), {V._WS}) AS arg FROM (
+    SELECT *, t = ',' AND depth = 0 AS cut, sum(CASE WHEN t = ',' AND depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file, ln ORDER BY k) AS part FROM t_v) GROUP BY 1, 2, 3, 4) WHERE arg <> ''""")
 def actual_args(spark: SparkSession, d: str) -> DataFrame:
-    return scanners.actual_arguments(V.code_lines(spark, d))
+    return _longs(scanners.actual_arguments(V.code_lines(spark, d)), "ln", "at", "idx")
 
 
-@query()
+@query("""WITH w_v AS (SELECT file, ln, unnest(['0', '1', '&2']) AS variable FROM code_v)
+SELECT w.file, w.ln, w.variable, arg_min(function, (call_no, idx)) AS function, arg_min(idx, (call_no, idx)) AS arg_index
+FROM w_v w LEFT JOIN callargs_v a ON a.file = w.file AND a.ln = w.ln AND regexp_matches(arg, '(^|[^A-Za-z0-9_])' || ltrim(variable, '&*') || '($|[^A-Za-z0-9_])') GROUP BY 1, 2, 3""")
 def arg_index(spark: SparkSession, d: str) -> DataFrame:
     code = V.code_lines(spark, d)
     wanted = code.select("file", "ln", F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("&2"))).alias("variable"))
-    return scanners.arg_index(wanted, scanners.call_args(code))
+    return _longs(scanners.arg_index(wanted, scanners.call_args(code)), "ln", "arg_index")
 
 
-@query()
+@query(rf"""WITH c_v AS (SELECT file, ln, i, c, sum(CASE WHEN c IN ('(', '[') THEN 1 WHEN c IN (')', ']') THEN -1 ELSE 0 END) OVER (PARTITION BY file, ln ORDER BY i) AS depth FROM (
+  SELECT file, ln, i, substr(inner_text, i::int, 1) AS c FROM (SELECT *, unnest(range(1, length(inner_text) + 1)) AS i FROM groups_v WHERE kind = 'first' AND inner_text <> 'void'))),
+p_v AS (SELECT file, ln, part, trim(coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT cut), ''), {V._WS}) AS p FROM (SELECT *, c = ',' AND depth = 0 AS cut, sum(CASE WHEN c = ',' AND depth = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY file, ln ORDER BY i) AS part FROM c_v) GROUP BY 1, 2, 3),
+n_v AS (SELECT file, ln, part, coalesce(nullif(regexp_extract(string_split(p, '=')[1], '\(\s*\*\s*([\p{{L}}\p{{N}}_]+)\s*\)', 1), ''), regexp_extract_all(rtrim(trim(regexp_replace(string_split(p, '=')[1], '\[[^\]\n]*\]', '', 'g'), {V._WS}), '*& '), '[\p{{L}}\p{{N}}_]+')[-1]) AS name FROM p_v WHERE p <> '...'),
+k_v AS (SELECT file, ln, name, row_number() OVER (PARTITION BY file, ln ORDER BY part) - 1 AS idx FROM n_v WHERE name IS NOT NULL)
+SELECT g.file, g.ln, idx, name, EXISTS (SELECT 1 FROM p_v p WHERE p.file = g.file AND p.ln = g.ln AND p = '...') AS has_varargs FROM (SELECT file, ln FROM groups_v WHERE kind = 'first') g LEFT JOIN k_v k ON k.file = g.file AND k.ln = g.ln""")
 def params(spark: SparkSession, d: str) -> DataFrame:
-    return scanners.params(V.code_lines(spark, d))
+    return _longs(scanners.params(V.code_lines(spark, d)), "ln", "idx")
 
 
 @query("""WITH r_v AS (SELECT event_id AS req_id, event_type AS tool, 'g' || user_id AS name, file, event_id % 9 AS ln FROM events LEFT JOIN files_v ON doc_id = event_id * 7919 % (SELECT count(*) FROM documents)),

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scanners import LEADING, NOT_ASSIGNED, NOT_CALLED  # noqa: F401
+from ..functions.text import KEYWORDS
 from ..schemas import CATEGORIES, PRIMARY_ROLES, RULE_KINDS
 from ..sources.documents import lines_of
 
@@ -204,6 +206,12 @@ def code_lines(spark: SparkSession, d: str) -> DataFrame:
     return p.where("html is not null").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("file"), F.posexplode(F.split("html", "<", -1)).alias("ln", "text"))
 
 
+def listed(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_HEAD = r"'([a-zA-Z_][a-zA-Z0-9_]*)\s*$'"
 #: The same views for the oracle.
 VIEWS_SQL = {
     "alerts_v": """
@@ -290,6 +298,26 @@ VIEWS_SQL = {
       coalesce(', "source_arg": ' || source_arg, '') || coalesce(', "target_arg": ' || target_arg, '') || '}'), 16) AS id,
     kind, trim(function) AS function, match, effect, try_cast(target_arg AS int) AS target_arg, try_cast(source_arg AS int) AS source_arg, confidence::double AS confidence, 'a' || p_partkey AS source_alert_id
   FROM candidates_v WHERE kind <> 'nonsense' AND trim(function) <> ''""",
+    "depth_v": """
+  SELECT *, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY file, ln ORDER BY i) AS depth
+  FROM (SELECT file, ln, text, i, substr(text, i::int, 1) AS c FROM (SELECT *, unnest(range(1, length(text) + 1)) AS i FROM code_v WHERE contains(text, '(') OR contains(text, '=')))""",
+    "callargs_v": rf"""
+  SELECT file, ln, dense_rank() OVER (PARTITION BY file, ln ORDER BY start) - 1 AS call_no, function, row_number() OVER (PARTITION BY file, ln, start ORDER BY i) - 1 AS idx, arg FROM (
+    SELECT *, trim(substr(text, i + 1, next - i - 1), {_WS}) AS arg, regexp_extract(left(text, start - 1), {_HEAD}, 1) AS function FROM (
+      SELECT *, max(CASE WHEN c = ')' THEN 1 ELSE 0 END) OVER (PARTITION BY file, ln, level, g) AS closed, min(i) FILTER (c = '(') OVER (PARTITION BY file, ln, level, g)::int AS start FROM (
+        SELECT *, lead(i) OVER w AS next, lead(c) OVER w AS next_c, sum(CASE WHEN c = '(' THEN 1 ELSE 0 END) OVER w AS g
+        FROM (SELECT file, ln, text, i::int AS i, c, depth - CASE c WHEN ')' THEN 0 ELSE 1 END AS level FROM depth_v WHERE c IN ('(', ')', ',')) WINDOW w AS (PARTITION BY file, ln, level ORDER BY i)))
+    WHERE closed = 1 AND g > 0 AND c <> ')' AND next_c <> '(')
+  WHERE function <> '' AND function NOT IN {listed(KEYWORDS)} AND (arg <> '' OR next_c = ',')""",
+    "groups_v": rf"""
+  SELECT s.*, trim(substr(text, start + 1, stop - start - 1), {_WS}) AS inner_text FROM (
+    SELECT s.*, (SELECT min(i) FROM depth_v d WHERE d.file = s.file AND d.ln = s.ln AND d.c = ')' AND d.i > s.start AND d.depth = s.outside)::int AS stop FROM (
+      SELECT file, ln, text, kind, place, min(start)::int AS start, arg_min(depth, start) - 1 AS outside FROM (
+        SELECT file, ln, text, 'first' AS kind, -1 AS place, i AS start, depth FROM depth_v WHERE c = '('
+        UNION ALL SELECT file, ln, text, 'call', place, i, depth FROM (
+          SELECT *, CASE WHEN n IS NULL THEN -1 ELSE n - 1 - length(regexp_extract(left(text, n - 1), '([a-zA-Z_][a-zA-Z0-9_]*\s*)$', 1)) END AS place FROM (
+            SELECT d.*, n FROM depth_v d LEFT JOIN (SELECT file, ln, min(i)::int AS n FROM depth_v WHERE c = '(' AND regexp_extract(left(text, i::int - 1), {_HEAD}, 1) NOT IN {listed(("", *NOT_CALLED))} GROUP BY 1, 2) h ON h.file = d.file AND h.ln = d.ln WHERE c = '(' AND (n IS NULL OR i = n))))
+      GROUP BY ALL) s) s""",
     "code_v": """
   SELECT 'p' || page_id || '.html' AS file, unnest(string_split(html, '<')) AS text, generate_subscripts(string_split(html, '<'), 1) - 1 AS ln FROM pages WHERE html IS NOT NULL""",
 }
