@@ -43,14 +43,24 @@ def _split(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def blocks(text: Column, scope: Column, b: int, short: bool = False) -> Column:
-    """Array of (key, width, before, block): SHA-256 of the text without the block (if short a 64-bit hash, to rule lines out), the blocks' width, code points before the block, and the block."""
+def short_keys(text: Column, b: int) -> Column:
+    """Array of 64-bit hashes of the text without one of its blocks, to rule lines out; without a lambda, so that it is compiled."""
+    n = F.char_length(text)
+
+    def keys(s: Column) -> Column:
+        return F.array(*(F.xxhash64(s, F.lit(q), text.substr(F.lit(1), q * s), F.right(text, (b - 1 - q) * s)) for q in range(b)))
+
+    return F.when(n % b == 0, F.concat(keys(F.floor(n / b).cast("int")), keys(F.floor((n - 1) / b).cast("int")))).otherwise(keys(F.floor(n / b).cast("int")))
+
+
+def blocks(text: Column, scope: Column, b: int) -> Column:
+    """Array of (key, width, before, block): SHA-256 of the text without the block, the blocks' width, code points before the block, and the block."""
     n = F.char_length(text)
 
     def one(s: Column, q: Column) -> Column:
         before, after = q * s, (b - 1 - q) * s
         around = (text.substr(F.lit(1), before), text.substr(n - after + 1, after))
-        key = F.xxhash64(scope, s, q, *around) if short else F.unhex(F.sha2(F.concat_ws(":", F.hex(scope), s.cast("string"), q.cast("string"), *around), 256))
+        key = F.unhex(F.sha2(F.concat_ws(":", F.hex(scope), s.cast("string"), q.cast("string"), *around), 256))
         return F.struct(key.alias("key"), s.alias("width"), before.alias("before"), text.substr(before + 1, n - before - after).alias("block"))
 
     widths = F.array_distinct(F.array(F.floor(n / b).cast("int"), F.floor((n - 1) / b).cast("int")))
@@ -94,7 +104,7 @@ def one_edit_apart(line: Column, other: Column, start: Column, size: Column, oth
 def near_lines(firsts: DataFrame) -> DataFrame:
     """(d, h, ln) of those of the distinct lines (id, at, line) that have an earlier one one edit away."""
     none, zero = F.lit(""), F.lit(0)
-    keys = saved(firsts.select("id", F.explode(F.transform(blocks(F.col("line"), none, BLOCKS, short=True), lambda x: x["key"])).alias("key")))
+    keys = saved(firsts.select("id", F.explode(short_keys(F.col("line"), BLOCKS)).alias("key")))
     suspects = saved(firsts.join(shared_only(keys, "key").select("id").distinct(), "id"))
     rows = saved(cut(suspects, "line", none, zero, BLOCKS))
     short = rows.where(F.col("width") <= SHORT)
