@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -82,14 +82,17 @@ def write_back(alerts: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("alert_id", raw.alias("raw"), F.col("_class").isNotNull().alias("written"))
 
 
-def run_totals(pending: DataFrame, written: DataFrame, new_rules: DataFrame) -> DataFrame:
-    """One row: pending, concluded, unfinished, rules appended, exit status."""
-    counts = pending.agg(F.count(F.lit(1)).alias("n_pending")), written.agg(F.count(F.lit(1)).alias("n_concluded")), new_rules.agg(F.count(F.lit(1)).alias("n_rules"))
-    one = counts[0].withColumn("_k", F.lit(1))
-    for c in counts[1:]:
-        one = one.join(F.broadcast(c.withColumn("_k", F.lit(1))), "_k")  # single rows
-    rest = F.col("n_pending") - F.col("n_concluded")
-    return one.select("n_pending", "n_concluded", rest.alias("n_unfinished"), "n_rules", F.when(rest == 0, 0).otherwise(1).alias("status"))
+def observed_totals(written: DataFrame) -> tuple[DataFrame, Observation]:
+    """written (see write_back) and an observation that has n_pending and n_concluded once its rows were written anywhere, without another scan."""
+    totals = Observation()
+    return written.observe(totals, F.count(F.lit(1)).alias("n_pending"), F.count(F.when(F.col("written"), 1)).alias("n_concluded")), totals
+
+
+def run_totals(spark: SparkSession, totals: Observation, n_rules: int) -> DataFrame:
+    """One row of a finished run: pending, concluded, unfinished, rules appended, exit status."""
+    pending, concluded = totals.get["n_pending"], totals.get["n_concluded"]
+    row = (pending, concluded, pending - concluded, n_rules, int(pending != concluded))
+    return spark.createDataFrame([row], "n_pending long, n_concluded long, n_unfinished long, n_rules long, status int")
 
 
 def turn_phase(turns: DataFrame, max_turns: int = 32, reserve: int | None = None) -> DataFrame:

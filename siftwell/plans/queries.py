@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..operators import alerts as A
 from ..operators import batching, failures, ledger, lookups, rules
 from ..schemas import CATEGORIES
-from ..sources import documents
+from ..sources import documents, sinks
 from ..streaming import jobs
 from . import views as V
 
@@ -386,7 +386,11 @@ def write_back(spark: SparkSession, d: str) -> DataFrame:
   (SELECT count(*) FROM members_v) AS n, (SELECT coalesce(sum(k), 0)::bigint FROM (SELECT count(*) AS k FROM {_DONE} GROUP BY batch_id HAVING count(*) = 4)) AS c,
   (SELECT count(DISTINCT id) FROM rules_v WHERE id NOT IN (SELECT id FROM {_OLD})) AS r)""")
 def run_totals(spark: SparkSession, d: str) -> DataFrame:
-    return ledger.run_totals(V.members(spark, d), _written(spark, d).where("written"), rules.new_rules(V.candidates(spark, d), _repository(spark, d), "p_partkey"))
+    """Write-back and rules of a run, each written once; the totals are counted on the way."""
+    root = work.folder(spark)
+    written, totals = ledger.observed_totals(_written(spark, d))
+    sinks.write_version(written, f"{root}/alerts")
+    return ledger.run_totals(spark, totals, sinks.append_rules(_repository(spark, d), V.candidates(spark, d), f"{root}/rules", "p_partkey"))
 
 
 @query("""SELECT batch_id, turn, conclusion AS concluding, conclusion OR coalesce(before, false) AS forced FROM (

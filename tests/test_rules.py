@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftwell.operators import rules
-from siftwell.sources import documents, sinks
+from siftwell.sources import documents, sinks, versions
 
 FIELDS = "n int, kind string, function string, match string, effect string, target_arg string, source_arg string, length_arg string, field_path string, pair string, confidence string, reason string, source_alert_id string"
 
@@ -72,6 +72,37 @@ def test_versions_of_the_repository(spark, tmp_path):
     assert sinks.write_rules(sinks.read_version(spark, root).limit(1), root) == 1
 
 
+def test_writers_notice_each_other(spark, tmp_path, monkeypatch):
+    """Two appends and a review at once: each starts again from what the others committed, and nothing is lost."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    root = str(tmp_path / "rules")
+    sinks.append_rules(rules.first_of_each(rules.to_rules(candidates(spark, {}).limit(0)), "n"), candidates(spark, {"function": "old"}), root, "n")
+    old = sinks.read_version(spark, root).first().id
+    names = ["a", "b", "c", "d"]
+    with ThreadPoolExecutor(5) as pool:
+        counts = [pool.submit(sinks.append_rules, sinks.read_version(spark, root), candidates(spark, {"function": f}, {"function": "shared"}), root, "n") for f in names]
+        review = pool.submit(sinks.review_rules, spark, root, spark.createDataFrame([(old,)], "id string"), spark.createDataFrame([], "id string"))
+        counts, _ = [c.result() for c in counts], review.result()
+    rows = sinks.read_version(spark, root).collect()
+    assert sorted(r.function for r in rows) == sorted([*names, "shared", "old"]) and sum(counts) == 5
+    assert [r.function for r in rows if r.status == "approved"] == ["old"]
+    assert versions.head(spark, root) == 6
+
+
+def test_a_number_is_given_once(spark, tmp_path):
+    root = str(tmp_path / "v ü")
+    assert versions.head(spark, root) == 0 and versions.commit(spark, root, "x", 1)
+    assert not versions.commit(spark, root, "y", 1) and versions.at(spark, root, 1)["path"] == "x" and versions.publish(spark, root, "z", 3) == 2
+    assert versions.latest(spark, root) == "z" and versions.at(spark, root, 2)["n"] == 3
+    with pytest.raises(ValueError, match="no version"):
+        versions.latest(spark, str(tmp_path / "none"))
+
+
+def test_paths_are_those_of_spark(spark, tmp_path):
+    assert versions.qualified(spark, str(tmp_path)) == f"file://{tmp_path}" and versions.qualified(spark, f"file:{tmp_path}/a b") == f"file://{tmp_path}/a%20b"
+
+
 def test_wrong_envelope(spark):
     with pytest.raises(Exception, match="expected semantic-rules/v1"):
         documents.rules_of(spark.createDataFrame([('{"schema":"x","rules":[]}',)], "value string")).collect()
