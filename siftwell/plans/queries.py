@@ -543,12 +543,15 @@ def _finished(stream: DataFrame) -> DataFrame:
 
 @query("SELECT alert_id, category FROM alerts_v WHERE classification IS NULL AND o_orderkey % 3 <> 0")
 def stream_intake(spark: SparkSession, d: str) -> DataFrame:
-    orders = _streamed(spark, d, "orders")
+    """Orders as alert documents; conclusions of a third of them were committed before."""
+    root = work.folder(spark)
     alert_id = F.sha2(F.col("o_orderkey").cast("string"), 256)
     category = F.get(F.array(*map(F.lit, CATEGORIES)), (F.col("o_orderkey") % 5).cast("int"))
-    alerts = orders.select(alert_id.alias("alert_id"), category.alias("category"), F.when(F.col("o_orderstatus") != "O", "TP").alias("classification"))
-    concluded = V.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(alert_id.alias("alert_id"))
-    return _finished(jobs.intake(alerts, concluded).select("alert_id", "category"))
+    raw = F.to_json(F.struct(alert_id.alias("alert_id"), category.alias("category"), F.when(F.col("o_orderstatus") != "O", "TP").alias("classification")))
+    files = _streamed(spark, d, "orders").select(F.concat(F.lower(category), F.lit("/"), alert_id, F.lit(".json")).alias("file_path"), raw.alias("raw"))
+    sinks.write_version(V.table(spark, d, "orders").where("o_orderkey % 3 = 0").select(alert_id.alias("alert_id")), f"{root}/done")
+    jobs.start_intake(files, f"{root}/done", f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{root}/out/alerts").select("alert_id", "category")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, tool, failure_kind, count(*) AS n FROM failures_v GROUP BY 1, 2, 3")
@@ -564,4 +567,10 @@ def stream_failures(spark: SparkSession, d: str) -> DataFrame:
 def stream_ledger(spark: SparkSession, d: str) -> DataFrame:
     known = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.concat("batch_id", F.lit("-A"), i))
     calls = V.conclusion_calls(_streamed(spark, d, "conversations")).withColumn("known", known)
-    return _finished(jobs.ledger(calls)).select("batch_id", F.col("turn").cast("long").alias("turn"), "error")
+    name, value = jobs.STATE_STORE
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        return _finished(jobs.ledger(calls)).select("batch_id", F.col("turn").cast("long").alias("turn"), "error")
+    finally:
+        spark.conf.set(name, before)
