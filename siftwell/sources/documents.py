@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_edit import is_object
 from ..schemas import ALERT, CATEGORIES, RULE
+from . import tree
 
 RULE_SCHEMA = "semantic-rules/v1"
 
@@ -58,10 +59,15 @@ def rules_of(texts: DataFrame) -> DataFrame:
 
 
 def project_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path) of every file below root, relative to it, empty ones too; contents aren't read, the list is that of the driver's file index."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).inputFiles()
-    rows = spark.createDataFrame([(f,) for f in files], "path string")
-    return rows.select(F.substring_index(decoded_path(F.col("path")), f"{root.rstrip('/')}/", -1).alias("path"))
+    """(path) of every file below root, relative to it, empty ones too; tasks list the folders (`tree.py`), and contents aren't read.
+
+    In a store that only Spark's readers can open, Spark's file index lists them.
+    """
+    found = tree.listed(spark, root)
+    if found is not None:
+        return found
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(decoded_path(F.col("path")).alias("path"))
+    return rows.select(F.substring_index("path", f"{root.rstrip('/')}/", -1).alias("path"))
 
 
 def lines_of(texts: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
@@ -72,6 +78,10 @@ def lines_of(texts: DataFrame, file: str = "file", text: str = "text") -> DataFr
 
 
 def source_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(file, ln, text) of all files below root, which tasks list and read."""
+    found = tree.listed(spark, root, contents=True)
+    if found is not None:
+        return lines_of(found.select(F.col("path").alias("file"), "text"))
     rows = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
     return lines_of(rows.select(F.substring_index(decoded_path(F.col("_metadata.file_path")), f"{root.rstrip('/')}/", -1).alias("file"), F.col("value").alias("text")))
 
