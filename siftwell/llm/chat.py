@@ -12,7 +12,9 @@ the others are `duplicate_call`; of several results the earliest is taken, the o
 `orphan_result`. Null ids never link: such calls are `call_without_id`, such results
 `result_without_id`. Other messages are `context`. Only linked, missing and orphan rows have levels
 and errors; all but duplicates have a message. Calls on a cycle, or that wait for one that doesn't
-exist, have no level. Arguments that aren't an object are invalid. Repeated rows are duplicates of
+exist, have no level. Arguments that aren't an object, or repeat a key, are invalid; whole numbers are
+integers however they are spelled; a schema with keywords that aren't checked is refused. Numbers are
+spelled as the variant type spells them. Repeated rows are duplicates of
 each other. Texts of any length are kept whole; null and empty ones are null and empty in the
 message. Other columns are dropped; an empty table gives an empty result.
 """
@@ -27,7 +29,10 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Variant types that pass for a schema's type.
-TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+TYPES = {"null": ("VOID",), "string": ("STRING",), "integer": ("BIGINT", "DECIMAL", "DOUBLE"), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
+#: Keywords of a schema that are checked, and those that say nothing about a value.
+CHECKED = ("type", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "minItems", "maxItems", "items", "required", "properties", "additionalProperties")
+SILENT = ("title", "description", "default", "examples", "deprecated", "$schema", "$id", "$comment")
 #: The one function that the query's calls go to.
 SCHEMAS = {"reply": {"required": ["text", "turn"], "properties": {"text": {"type": "string", "maxLength": 400}, "turn": {"type": "integer", "minimum": 0}}}}
 
@@ -50,10 +55,15 @@ def errors_of(value: Column, rule: dict, at: str = "") -> Column:
     for t in TYPES["number"]:
         is_number = is_number | kind.startswith(t)
     if "type" in rule:
-        right = F.lit(False)
-        for t in TYPES[rule["type"]]:
-            right = right | kind.startswith(t)
-        bad(~right, f"not of type {rule['type']}" if at else f"not an {rule['type']}")
+        exact = F.try_variant_get(value, "$", "decimal(38,18)")
+        whole = F.coalesce(exact % 1 == 0, number == F.floor(number), F.lit(False))
+        right, types = F.lit(False), [rule["type"]] if isinstance(rule["type"], str) else rule["type"]
+        for t in types:
+            fits = F.lit(False)
+            for k in TYPES[t]:
+                fits = fits | kind.startswith(k)
+            right = right | ((fits & whole) if t == "integer" else fits)
+        bad(~right, f"not of type {' or '.join(types)}" if at else f"not an {' or '.join(types)}")
     for allowed in ([rule["const"]],) if "const" in rule else (rule["enum"],) if "enum" in rule else ():
         bad(~F.to_json(value).isin([json.dumps(x, ensure_ascii=False, separators=(",", ":")) for x in allowed]), "not an allowed value")
     if "pattern" in rule:
@@ -76,7 +86,8 @@ def errors_of(value: Column, rule: dict, at: str = "") -> Column:
     inner = []
     for field in {**fields, **dict.fromkeys(rule.get("required", ()), {})}:
         path = f"{at}.{field}" if at else field
-        part = F.try_variant_get(value, '$["' + field + '"]', "variant")
+        quote = "'" if '"' in field else '"'
+        part = F.try_variant_get(value, f"$[{quote}{field}{quote}]", "variant")
         missing = F.array(F.lit(f"{path}: missing")) if field in rule.get("required", ()) else none
         inner.append(F.when(part.isNull(), missing).otherwise(errors_of(part, fields.get(field, {}), path)))
     if fields and not rule.get("additionalProperties"):
@@ -87,8 +98,28 @@ def errors_of(value: Column, rule: dict, at: str = "") -> Column:
     return F.flatten(F.array(*(F.coalesce(x, none) for x in out)))
 
 
+def check_schema(rule: dict, at: str = "schema") -> None:
+    """Raise ValueError where a schema asks for what errors_of doesn't check, instead of taking wrong arguments for valid."""
+    if not isinstance(rule, dict) or (unknown := [k for k in rule if k not in CHECKED + SILENT]):
+        raise ValueError(f"{at}: {'not an object' if not isinstance(rule, dict) else 'keywords not supported: ' + ', '.join(unknown)}")
+    types = rule.get("type", [])
+    if unknown := [t for t in ([types] if isinstance(types, str) else types) if t not in TYPES]:
+        raise ValueError(f"{at}: unknown types: {', '.join(map(str, unknown))}")
+    if not isinstance(rule.get("additionalProperties", False), bool):
+        raise ValueError(f"{at}: additionalProperties must be true or false")
+    for field in {**rule.get("properties", {}), **dict.fromkeys(rule.get("required", ()))}:
+        if '"' in field and "'" in field:
+            raise ValueError(f"{at}: names with both kinds of quotes aren't supported: {field}")
+    for field, inner in rule.get("properties", {}).items():
+        check_schema(inner, f"{at}.{field}")
+    if "items" in rule:
+        check_schema(rule["items"], f"{at}[]")
+
+
 def argument_errors(name: Column, arguments: Column, schemas: dict) -> Column:
     """Array of texts, empty for valid arguments. `arguments` is a variant, null if it isn't JSON."""
+    for schema in schemas.values():
+        check_schema(schema)
     out = F.array(F.concat(F.lit("unknown function "), F.coalesce(name, F.lit("null"))))
     for function, schema in schemas.items():
         out = F.when(name == function, errors_of(arguments, {"type": "object"} | schema)).otherwise(out)

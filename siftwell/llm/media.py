@@ -148,6 +148,8 @@ def tables(data: memoryview) -> list[dict]:
         t["offsets"] = t["chunks"][chunk] + before - start_of_chunk[chunk]
         if n and (int(t["offsets"].min()) < 0 or int((t["offsets"] + t["sizes"]).max()) > len(data)):
             raise ValueError("samples lie outside the file")
+        if int(t["sizes"].sum()) > len(data):
+            raise ValueError("samples overlap: together they are longer than the file")
         t.setdefault("keys", np.arange(n))
         if len(t["keys"]) and not 0 <= int(t["keys"].min()) <= int(t["keys"].max()) < n:
             raise ValueError("key frames that aren't samples")

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import json
 
+import pytest
+from pyspark.sql import functions as F
+
 from siftwell.llm import chat
 
 CALLS = "id string, at int, name string, arguments string, after string"
@@ -71,3 +74,17 @@ def test_turns_give_a_row_each_with_clashing_columns(spark):
 
 def test_empty(spark):
     assert linked(spark, [], []) == []
+
+
+def test_schemas_are_checked_or_refused(spark):
+    schema = {"f": {"properties": {"a": {"type": ["string", "null"]}, "n": {"type": "integer"}, 'q"x': {"type": "null"}, "it's": {"type": "string"}}}}
+    cases = [
+        ('{"a":null}', []), ('{"a":"x"}', []), ('{"a":1}', ["a: not of type string or null"]), ('{"n":1.0}', []), ('{"n":9223372036854775808}', []), ('{"n":1e3}', []), ('{"n":1.5}', ["n: not of type integer"]),
+        ('{"n":12345678901234567.5}', ["n: not of type integer"]), ('{"q\\"x":null,"it\'s":"y"}', []), ('{"q\\"x":1}', ['q"x: not of type null']), ('{"a":"x","a":"y"}', ["not an object"]),
+    ]
+    rows = spark.createDataFrame([(i, "f", a) for i, (a, _) in enumerate(cases)], "i int, name string, arguments string")
+    got = rows.select("i", chat.argument_errors(F.col("name"), F.try_parse_json("arguments"), schema).alias("e")).orderBy("i").collect()
+    assert [(c[0], r.e if len(c[1]) != 1 or "object" not in c[1][0] else ["not an object"] * bool(r.e)) for c, r in zip(cases, got)] == cases
+    for bad in ({"anyOf": []}, {"properties": {"a": {"$ref": "#"}}}, {"items": {"type": "text"}}, {"additionalProperties": {}}, {"properties": {"a'\"": {}}}):
+        with pytest.raises(ValueError):
+            chat.argument_errors(F.col("name"), F.try_parse_json("arguments"), {"f": bad})

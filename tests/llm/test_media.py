@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import pytest
@@ -57,3 +58,20 @@ def test_broken_containers(spark):
     out = {r.id: r for r in media.probe(frame, "id").collect()}
     assert all(out[i].error and out[i].payload_bytes is None for i in (1, 2, 3, 4, 10, 11, 12, 13, 14)) and out[5].error is None
     assert media.probe(frame.limit(0), "id").count() == 0
+
+
+def test_samples_that_overlap_are_refused():
+    """Many samples at one place would read far more than the file holds."""
+
+    def file(sizes, offsets):
+        n = len(sizes)
+        table = (
+            media._full(b"stsd", struct.pack(">I", 1), media._box(b"raw ", bytes(28))), media._full(b"stsz", struct.pack(">II", 0, n), struct.pack(f">{n}I", *sizes)),
+            media._full(b"stco", struct.pack(f">{n + 1}I", n, *offsets)), media._full(b"stsc", struct.pack(">IIII", 1, 1, 1, 1)),
+        )
+        inner = media._box(b"minf", media._box(b"stbl", *table))
+        return media._box(b"moov", media._box(b"trak", media._box(b"mdia", media._full(b"mdhd", struct.pack(">IIIII", 0, 0, 8000, n, 0)), inner)))
+
+    assert len(media.tables(memoryview(file([8] * 9, range(9))))[0]["sizes"]) == 9
+    with pytest.raises(ValueError, match="overlap"):
+        media.tables(memoryview(file([200] * 9, [0] * 9)))
