@@ -11,7 +11,7 @@ from .. import work
 from ..functions import scanners
 from ..functions import text as T
 from ..operators import alerts as A
-from ..operators import batching, failures, ledger, lookups, rules
+from ..operators import batching, failures, ledger, lookups, rules, tools
 from ..schemas import CATEGORIES
 from ..sources import documents, sinks
 from ..streaming import jobs
@@ -529,6 +529,57 @@ def dispatch(spark: SparkSession, d: str) -> DataFrame:
 # streams
 
 
+_TOOLS = "['set_conclusion', 'dump_source_snippet', 'dump_source_line', 'find_callee', 'find_current_function', 'find_callers', 'find_function_body', 'get_path_cond_func_', 'dump_source_line', 'nope', 'find_callers']"
+
+
+def _tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Events as calls of all eight tools, some with text that is nearly JSON, some that can't run."""
+    n, k, ln = V.table(spark, d, "documents").count(), F.col("event_id"), F.col("event_id") % 9
+    events = V.table(spark, d, "events").select("event_id", "user_id", V.documents_of(k, n)).join(V.source_texts(spark, d).select("doc_id", "file"), "doc_id")
+    text = [
+        F.format_string('{"alert_ids":["A%s",],"classification":"%s","reason":"r"}', k, F.when(k % 2 == 1, "MAYBE").otherwise("TP")),
+        F.format_string('`{"file_name":"%s","start_line":%s,"end_line":%s}`', "file", ln, ln + 2),
+        F.format_string('{"file_name":"%s","line_number":%s}', "file", ln),
+        F.format_string('{"source_location":"%s:%s"}', "file", ln),
+        F.format_string('{"source_location":"/elsewhere/%s:%s"}', "file", ln),
+        F.format_string("{'function_name':'g%s'}", "user_id"),
+        F.format_string('{"function_name":"f0_%sC1E"}', "doc_id"),
+        F.format_string('{"start":"%s:1","start_code":"","target":"%s:2","target_code":""}', "file", "file"),
+        F.format_string('{"file_name":"%s","line_number":"x"}', "file"),
+        F.lit("{}"),
+        F.lit("{nope"),
+    ]
+    names = F.array(*map(F.lit, (*tools.TOOLS, "dump_source_line", "nope", "find_callers")))
+    return events.select(k.alias("req_id"), F.get(names, (k % 11).cast("int")).alias("tool"), F.get(F.array(*text), (k % 11).cast("int")).alias("arguments"))
+
+
+@query(rf"""WITH r_v AS (SELECT event_id AS req_id, event_id % 11 AS m, user_id, file, doc_id, event_id % 9 AS ln FROM events JOIN files_v ON doc_id = event_id * 7919 % (SELECT count(*) FROM documents)),
+text_v AS (SELECT file, ln, text, trim(text, {V._WS}) AS code FROM lines_v),
+body_v AS (SELECT *, (SELECT string_agg(text, chr(10) ORDER BY l.ln) FROM lines_v l WHERE l.file = f.filename AND l.ln BETWEEN f.start_line AND f.end_line) AS body FROM functions_v f),
+shown_v AS (SELECT function_name, filename, start_line, end_line, '{{"function_name":' || to_json(function_name)::varchar || ',"filename":' || to_json(filename)::varchar || ',"start_line":' || start_line || ',"end_line":' || end_line || ',"function_body":' || to_json(body)::varchar || '}}' AS shown FROM body_v),
+path_v AS (SELECT file, count(*) AS n, '[' || string_agg('{{"event_no":' || ln || ',"type":"' || CASE WHEN ln % 2 = 1 THEN 'call' ELSE 'condition' END || '","location":' || to_json(file || ':' || ln)::varchar || ',"code":' || to_json(code)::varchar || '}}', ',' ORDER BY ln) || ']' AS events FROM text_v GROUP BY 1),
+a_v AS (
+  SELECT req_id, m, CASE WHEN req_id % 2 = 1 THEN '{{"error":"invalid classification or reason"}}' ELSE '{{"received":["A' || req_id || '"]}}' END AS result FROM r_v WHERE m = 0
+  UNION ALL SELECT req_id, m, to_json(coalesce((SELECT string_agg(text, chr(10) ORDER BY l.ln) FROM lines_v l WHERE l.file = r.file AND l.ln BETWEEN r.ln AND r.ln + 2), ''))::varchar FROM r_v r WHERE m = 1
+  UNION ALL SELECT req_id, m, to_json(coalesce(code, 'The line number is invalid or out of range for the file.'))::varchar FROM r_v r LEFT JOIN text_v t ON t.file = r.file AND t.ln = r.ln WHERE m = 2
+  UNION ALL SELECT req_id, m, coalesce(arg_min(shown, (end_line - start_line, function_name)), '{{"error":"no function at this location"}}') FROM r_v r LEFT JOIN shown_v f ON f.filename = r.file AND r.ln BETWEEN start_line AND end_line WHERE m IN (3, 4) GROUP BY 1, 2
+  UNION ALL SELECT req_id, m, CASE WHEN s.fl IS NULL THEN '[]' ELSE '{{"location":' || to_json(s.fl || ':' || s.ln)::varchar || ',"code":' || to_json(coalesce(code, 'The line number is invalid or out of range for the file.'))::varchar || '}}' END
+    FROM r_v r LEFT JOIN sites_v s ON callee = 'g' || user_id LEFT JOIN text_v t ON t.file = s.fl AND t.ln = s.ln WHERE m = 5
+  UNION ALL SELECT req_id, m, coalesce(shown, '{{"error":"Function body unavailable for ''f0_' || doc_id || 'C1E''. unknown function"}}') FROM r_v r LEFT JOIN shown_v f ON f.function_name = 'f0_' || doc_id || 'C2E' WHERE m = 6
+  UNION ALL SELECT req_id, m, CASE WHEN n IS NULL THEN '{{"error":"start code was not found near its line"}}' WHEN n = 1 THEN '[]' ELSE events END FROM r_v r LEFT JOIN path_v p ON p.file = r.file WHERE m = 7
+  UNION ALL SELECT req_id, m, CASE m WHEN 8 THEN '{{"error":"invalid tool arguments: line_number is not of type int"}}' WHEN 9 THEN '{{"error":"unknown tool: nope"}}' ELSE '{{"error":"invalid tool arguments: not a JSON object"}}' END FROM r_v WHERE m > 7)
+SELECT req_id, {_TOOLS}[(m + 1)::int] AS tool, CASE WHEN m IN (8, 10) THEN 'parse_arguments' WHEN m = 9 THEN 'unknown_tool' ELSE 'batch' END AS context, sha256(result) AS result_sha256,
+  CASE WHEN result LIKE '{{"error":%' THEN 'error_dict' WHEN result = '"The line number is invalid or out of range for the file."' THEN 'invalid_line' END AS failure_kind FROM a_v""")
+def tool_calls(spark: SparkSession, d: str) -> DataFrame:
+    """A call's way from its text to its answer and its record in the failure log."""
+    lines = V.source_lines(spark, d)
+    place = lambda n: F.concat("file", F.lit(":"), F.lit(n))
+    paths = lines.select(place(1).alias("start"), place(2).alias("target"), F.lit(1).alias("path_no"), F.col("ln").alias("event_no"), F.when(F.col("ln") % 2 == 1, "call").otherwise("condition").alias("type"), F.col("file").alias("fl"), "ln")
+    facts = tools.Facts(V.source_texts(spark, d).select(F.col("file").alias("path")), lines, V.functions(spark, d), V.with_file(V.call_sites(spark, d), spark, d), paths)
+    answered = tools.results(_tool_calls(spark, d), facts)
+    return answered.select("req_id", "tool", "context", F.sha2("result", 256).alias("result_sha256"), failures.classify(F.col("result"))["kind"].alias("failure_kind"))
+
+
 def _streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A table's folder or file as a stream of all it holds; a pattern, since a stream's plain path must be a folder."""
     return spark.readStream.schema(V.table(spark, d, name).schema).parquet(f"{d}/{name}[.]parquet")
