@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import itertools
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from .failures import NO_FILE, NO_LINE
 
 #: Lines of a file that fall into one bucket of an interval join.
 BUCKET = 1000
+#: The same where places meet stretches of lines; stretches of functions that are handed over at once.
+NARROW, SWEPT = 64, 10_000
 
 
 def lookup(requests: DataFrame, facts: DataFrame, *keys: str) -> DataFrame:
@@ -48,13 +55,59 @@ def snippets(requests: DataFrame, lines: DataFrame) -> DataFrame:
     return requests.join(body, "req_id", "left").withColumn("snippet", F.when(F.col("file").isNull(), NO_FILE).otherwise(F.coalesce("snippet", F.lit(""))))
 
 
+def segments(functions: DataFrame) -> DataFrame:
+    """functions (function_name, filename, start_line, end_line) as the stretches of lines of each file that have one innermost function: file, first, last, and its columns.
+
+    One sweep over a file's starts and ends, with the open functions in a heap by size and name, so
+    nesting of any depth costs n log n. A file's functions pass through one task, row by row sorted.
+    """
+    rows = functions.where("filename is not null and start_line <= end_line").select(F.col("filename").alias("file"), "function_name", F.col("start_line").cast("long"), F.col("end_line").cast("long"))
+    kind = "file string, first long, last long, function_name string, start_line long, end_line long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in kind.split(", ")]
+        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        everything = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        out: list[tuple] = []
+        for file, group in itertools.groupby(everything, key=lambda r: r[0]):
+            out += ((file, *s) for s in innermost([r[1:] for r in group]))
+            if len(out) >= SWEPT:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+    return rows.repartition("file").sortWithinPartitions("file").mapInArrow(run, kind)
+
+
+def innermost(functions: list[tuple]) -> Iterator[tuple]:
+    """(first, last, name, start, end) of the stretches of (name, start, end) with their smallest function, the first by name of equal ones."""
+    functions = sorted(functions, key=lambda f: f[1])
+    bounds = sorted({f[1] for f in functions} | {f[2] + 1 for f in functions})
+    heap, i = [], 0
+    for at, after in zip(bounds, bounds[1:]):
+        while i < len(functions) and functions[i][1] <= at:
+            name, start, end = functions[i]
+            heapq.heappush(heap, (end - start, name is not None, name or "", start, end, i))
+            i += 1
+        while heap and heap[0][4] < at:
+            heapq.heappop(heap)
+        if heap:
+            _, named, name, start, end, _ = heap[0]
+            yield at, after - 1, name if named else None, start, end
+
+
 def current_function(requests: DataFrame, functions: DataFrame) -> DataFrame:
-    """requests (req_id, file, ln) with the innermost function whose lines hold ln (the first by name of equal ones); nulls if there is none."""
-    spread = functions.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start_line") / BUCKET), F.floor(F.col("end_line") / BUCKET)))).withColumnRenamed("filename", "file")
-    placed = requests.where("file is not null").select("req_id", "file", "ln", F.floor(F.col("ln") / BUCKET).alias("_bucket"))
-    inside = placed.join(spread, ["file", "_bucket"]).where("ln between start_line and end_line")
-    best = inside.groupBy("req_id").agg(F.min(F.struct((F.col("end_line") - F.col("start_line")).alias("size"), "function_name", "start_line", "end_line")).alias("f"))
-    return requests.join(best, "req_id", "left").select(*requests.columns, "f.function_name", "f.start_line", "f.end_line")
+    """requests (req_id, file, ln) with the innermost function whose lines hold ln (the first by name of equal ones); nulls if there is none.
+
+    Each request meets the one stretch of lines that it lies in, by file and narrow buckets of lines.
+    """
+    spread = segments(functions).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("first") / NARROW), F.floor(F.col("last") / NARROW))))
+    spread = spread.select(F.col("file").alias("_file"), "_bucket", "first", "last", "function_name", "start_line", "end_line")
+    here = (F.col("file") == F.col("_file")) & (F.floor(F.col("ln") / NARROW) == F.col("_bucket")) & F.col("ln").between(F.col("first"), F.col("last"))
+    kinds = dict(functions.dtypes)
+    found = requests.join(spread, here, "left")
+    return found.select(*(requests[c] for c in requests.columns), spread["function_name"], *(spread[c].cast(kinds[c]).alias(c) for c in ("start_line", "end_line")))
 
 
 def function_bodies(requests: DataFrame, functions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -207,13 +207,13 @@ def function_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    """Every third line of every document, from line 0, to some beyond the end."""
+    """Every line of every document, from line 0, to some beyond the end."""
     sizes = V.source_lines(spark, d).groupBy("file").agg(F.max("ln").alias("n"))
-    rows = sizes.select("file", F.explode(F.sequence(F.lit(0), F.col("n") + 6, F.lit(3))).alias("ln"))
+    rows = sizes.select("file", F.explode(F.sequence(F.lit(0), F.col("n") + 6)).alias("ln"))
     return rows.select(F.concat("file", F.lit(":"), "ln").alias("req_id"), "file", "ln")
 
 
-_PLACES = "(SELECT file || ':' || ln AS req_id, file, ln FROM (SELECT file, unnest(range(0, max(ln) + 7, 3)) AS ln FROM lines_v GROUP BY file))"
+_PLACES = "(SELECT file || ':' || ln AS req_id, file, ln FROM (SELECT file, unnest(range(0, max(ln) + 7)) AS ln FROM lines_v GROUP BY file))"
 
 
 @query(f"""SELECT p.req_id, p.file, p.ln, arg_min(function_name, (end_line - start_line, function_name)) AS function_name, arg_min(start_line, (end_line - start_line, function_name)) AS start_line, arg_min(end_line, (end_line - start_line, function_name)) AS end_line

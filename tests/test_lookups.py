@@ -112,3 +112,26 @@ def test_dispatch(spark):
     calls = spark.createDataFrame([(1, "up", "a"), (2, "what", "b"), (3, None, "c")], "req_id int, tool string, arg string")
     got = {r.req_id: (r.result, r.error) for r in lookups.dispatched(calls, {"up": lambda c: c.select("req_id", F.upper("arg").alias("result"))}).collect()}
     assert got == {1: ("A", None), 2: (None, "unknown tool: what"), 3: (None, "unknown tool: null")}
+
+
+def test_innermost_functions_by_a_sweep(spark):
+    """Nested, equal and crossing functions, against all enclosing ones; ten thousand nested ones are swept once."""
+    import random
+    import time
+
+    rng = random.Random(6)
+    functions = [(rng.choice("abcd"), rng.choice(["x.c", "y.c"]), s, s + rng.randrange(0, 300)) for s in (rng.randrange(1, 400) for _ in range(60))] + [("z", None, 1, 5), ("w", "x.c", 9, 3)]
+    requests = [(f"{f}{n}", f, n) for f in ("x.c", "y.c", "gone", None) for n in range(-1, 720)]
+    got = lookups.current_function(spark.createDataFrame(requests, "req_id string, file string, ln int").repartition(3), spark.createDataFrame(functions, "function_name string, filename string, start_line int, end_line int").repartition(3)).collect()
+    want = {}
+    for r, f, n in requests:
+        inside = [(e - s, name, s, e) for name, file, s, e in functions if file and file == f and s <= n <= e]
+        want[r] = min(inside)[1:] if inside else (None, None, None)
+    assert len(got) == len(requests)
+    for r in got:
+        assert (r.function_name is None) == (want[r.req_id][0] is None)
+        if r.function_name:
+            assert (r.end_line - r.start_line, r.function_name) == (want[r.req_id][2] - want[r.req_id][1], want[r.req_id][0]) and r.start_line <= r.ln <= r.end_line
+    nested = [(f"f{i}", i, 40_000 - i) for i in range(10_000)]
+    start = time.perf_counter()
+    assert list(lookups.innermost(nested))[9_999] == (9_999, 30_001, "f9999", 9_999, 30_001) and time.perf_counter() - start < 2
