@@ -84,6 +84,7 @@ def strip_false_error(error: Column) -> Column:
 
 def tolerant_json(text: Column) -> Column:
     """A variant from text that is nearly JSON: as is, then repaired step by step; an empty object from no text, null if nothing helps."""
+    # fixed values: the order of the repairs, and the patterns that say what they take away
     text = F.coalesce(text, F.lit(""))
     ticks = stripped(text)
     clean = F.when(ticks.rlike(r"(?s)^`.*`$") & (F.char_length(ticks) > 1), stripped(ticks.substr(F.lit(2), F.char_length(ticks) - 2))).otherwise(ticks)

@@ -447,8 +447,8 @@ def tail_after_marker(spark: SparkSession, d: str) -> DataFrame:
 # extraction
 
 
-@query("""SELECT file, ln, array_to_string(list_filter(list_transform(r, lambda x, i: CASE WHEN list_position(r, x) = i THEN x END), lambda x: x IS NOT NULL), ',') AS names FROM (
-  SELECT file, ln, list_filter(regexp_extract_all(text, '([a-zA-Z_][a-zA-Z0-9_]*)\\s*\\(', 1), lambda x: x NOT IN ('if', 'while', 'for', 'switch', 'do', 'return', 'break', 'continue', 'goto', 'case', 'default', 'sizeof', 'typeof', '__typeof__', 'static', 'extern', 'auto', 'register', 'volatile', 'const', 'struct', 'union', 'enum', 'typedef')) AS r FROM code_v) WHERE len(r) > 0""")
+@query(rf"""SELECT file, ln, array_to_string(list_filter(list_transform(r, lambda x, i: CASE WHEN list_position(r, x) = i THEN x END), lambda x: x IS NOT NULL), ',') AS names FROM (
+  SELECT file, ln, list_filter(regexp_extract_all(text, '([a-zA-Z_][a-zA-Z0-9_]*)\s*\(', 1), lambda x: x NOT IN {V.listed(T.KEYWORDS)}) AS r FROM code_v) WHERE len(r) > 0""")
 def call_names(spark: SparkSession, d: str) -> DataFrame:
     rows = V.code_lines(spark, d).select("file", "ln", T.call_names(F.col("text")).alias("names")).where("size(names) > 0")
     return rows.select("file", F.col("ln").cast("long").alias("ln"), F.array_join("names", ",").alias("names"))
