@@ -2,16 +2,19 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import Counter
 
+import duckdb
 import pytest
 
 import corpus_pipeline
-from siftwell.llm import registry
+from siftwell.llm import oracles, registry
 
 from ..conftest import SMALL
 from .test_bpe import EXACT
 from .test_lines import brute as lines_left
 from .test_minhash import brute as groups
+from .test_quality import base as base_counts
 
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
@@ -27,6 +30,7 @@ def test_pipeline_stage_by_stage(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES:
         before = {r.doc_id: r.text for r in docs.collect()}
+        table = docs.toPandas()
         docs = corpus_pipeline.saved(stage(spark, docs, SMALL))
         rows = docs.collect()
         assert rows and {r.doc_id for r in rows} <= set(before), name
@@ -34,11 +38,20 @@ def test_pipeline_stage_by_stage(spark):
             assert docs.columns == list(corpus_pipeline.COLUMNS)
         if name == "quality_rules":
             assert len(rows) == len({r.doc_id for r in rows}) < len(before) and all(r.text == before[r.doc_id] for r in rows)
+            assert not {r.doc_id for r in rows} & {i for i, t in before.items() if base_counts(t)[-1]}  # whatever fails the base rules is gone
+            bad = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r.quality == 0}
+            good = {r.doc_id for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect() if r.quality == 1}
+            assert {i for i in good if not base_counts(before[i])[-1]} <= {r.doc_id for r in rows} and len(bad & {r.doc_id for r in rows}) <= len(bad) // 4
         if name == "line_dedup":
             want = lines_left(list(before.items()))
             assert {r.doc_id: (r.text, r.n_chars) for r in rows} == {i: (want[i, t][2], len(want[i, t][2])) for i, t in before.items()} and len(rows) == len(before)
         if name == "near_dedup":
             assert sorted((r.doc_id, r.text) for r in rows) == sorted((i, before[i]) for i, _, _, kept in groups(list(before.items()), 5, 80) if kept)
+        if name == "mix_sources":
+            con = duckdb.connect()
+            con.register("documents", table)
+            want = {i: int(taken) // size if size else 0 for i, size, _, _, taken in con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({oracles.OP9})").fetchall()}
+            assert Counter(r.doc_id for r in rows) == Counter({i: n for i, n in want.items() if n}) and all(r.text == before[r.doc_id] for r in rows)
         if name == "bpe":
             for r in rows:
                 ids = EXACT.encode_ordinary(before[r.doc_id])
