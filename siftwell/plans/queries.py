@@ -83,7 +83,7 @@ def short_ids(spark: SparkSession, d: str) -> DataFrame:
   {V.raw_sql(V.RAW_SHORT, "o_orderkey % 3", id="alert_id", cat="a.category", n="o_custkey", short="batch_id || '-A' || lpad(pos::varchar, 2, '0')")}, chr(10) || chr(10) || '--- NEXT ALERT ---' || chr(10) || chr(10) ORDER BY pos) AS prompt
 FROM batches_v JOIN alerts_v a USING (alert_id) GROUP BY batch_no, batch_id""")
 def batch_prompts(spark: SparkSession, d: str) -> DataFrame:
-    alerts = _pending(spark, d)
+    alerts = work.saved(_pending(spark, d).select("alert_id", "batch_key", "file_path", "hint", "raw"))
     return batching.prompts(batching.make_batches(alerts), alerts)
 
 
