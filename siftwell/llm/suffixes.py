@@ -14,9 +14,14 @@ in the runs, so copies and common anchors weigh little. Anchors with more than P
 dealt over several buckets by document; strings that are first in their part are then compared
 across parts by their bytes. A task holds one bucket at a time.
 
+A string that equals the one up to PERIOD bytes before it needs no search (runs of blanks, rulers,
+repeated entities): it repeats, and the first strings of its run stand for it everywhere. Blocks of
+nothing else are left out, and what they cover is found again where texts are cut, so such a run
+weighs nothing, whatever its length.
+
 Null texts are empty. Texts below LENGTH bytes lose nothing. A null id comes after all others.
-Rows that repeat an id and its text are one document and get the same result. Very long texts
-are cut into overlapping parts. Other columns are dropped; an empty table gives an empty result.
+Rows that repeat an id and its text are one document and get the same result; different texts of
+one id are told apart, and ordered, by SHA-256. Very long texts are cut into overlapping parts. Other columns are dropped; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .anchors import LENGTH, SPAN, blocks
+from .anchors import LENGTH, SPAN, Blocks, blocks
 from .common import pieces, saved, small_batches
 from .runs import front_code, front_decode, merge
 from .shingles import buffers, mix
@@ -37,14 +42,65 @@ from .shingles import buffers, mix
 #: Bytes of text handled at once, candidates of an anchor in one part, blocks gathered for a run, and buckets of a reducer.
 TEXT_BYTES, PART, RUN, FINER = 2 << 20, 20_000, 200_000, 4
 LAST = (1 << 63) - 1
+#: Largest distance of a repeat that is found where it stands, and bytes between the probes for it; four probes lie in every LENGTH bytes.
+PERIOD, PROBE = 16, LENGTH // 4
 #: Bit of a span that marks an anchor found twice in its batch.
 KNOWN = 128
 
 
-def _documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, d, h, text): d and h tell documents apart and order them."""
+def _documents(docs: DataFrame, tasks: int) -> DataFrame:
+    """(doc_id, d, h, text): d and h tell documents apart and order them.
+
+    h is 0 where an id has one text; different texts of one id are numbered by their SHA-256, once, in a table of their own.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.sha2(text, 256).alias("_sha"), text.alias("text"))
+    several = rows.groupBy("d").agg(F.min("_sha").alias("_least"), F.max("_sha").alias("_most")).where("_least < _most")
+    texts = rows.select("d", "_sha").join(several.select("d"), "d", "left_semi").distinct()
+    numbers = texts.repartitionByRange(tasks, "d", "_sha").sortWithinPartitions("d", "_sha").select("d", "_sha", (F.monotonically_increasing_id() + 1).alias("_no"))
+    return rows.join(saved(numbers), ["d", "_sha"], "left").select("doc_id", "d", F.coalesce("_no", F.lit(0).cast("long")).alias("h"), "text")
+
+
+def nearby(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches (from, to) of places whose string equals that of a place up to PERIOD before it in the same text."""
+    start, stop = [], []
+    for p in range(1, PERIOD + 1):
+        n = len(data) - p
+        probe = data[: max(n, 0) : PROBE] == data[p::PROBE]
+        if n < LENGTH or not (probe[3:] & probe[2:-1] & probe[1:-2] & probe[:-3]).any():
+            continue
+        differ = data[:n] != data[p:]
+        across = (offsets[1:-1, None] - np.arange(1, p + 1)).ravel()
+        differ[across[(across >= 0) & (across < n)]] = True
+        edges = np.concatenate([[-1], np.flatnonzero(differ), [n]])
+        equal = np.diff(edges) - 1
+        long = np.flatnonzero(equal >= LENGTH)
+        start.append(edges[long] + 1 + p)
+        stop.append(start[-1] + equal[long] - LENGTH + 1)
+    return (np.concatenate(start), np.concatenate(stop)) if start else (np.zeros(0, np.int64),) * 2
+
+
+def nearby_in_text(text: bytes, most: int = TEXT_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """nearby() of one text, in parts."""
+    data, found = np.frombuffer(text, np.uint8), []
+    for a in range(0, len(data), most):
+        shift = max(a - PERIOD, 0)
+        part = data[shift : a + most + LENGTH - 1]
+        found.append(np.array(nearby(part, np.array([0, len(part)]))) + shift)
+    return tuple(np.concatenate(found, axis=1)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def _searched(x: Blocks, data: np.ndarray, offsets: np.ndarray) -> Blocks:
+    """Blocks with a string that doesn't repeat nearby."""
+    start, stop = nearby(data, offsets)
+    if not len(start):
+        return x
+    marks = np.zeros(len(data) + 1, np.int64)
+    np.add.at(marks, start, 1)
+    np.add.at(marks, stop, -1)
+    near = np.append(0, np.cumsum(np.cumsum(marks) > 0))
+    left = near[x.first + x.count] - near[x.first] < x.count
+    return Blocks(*(c[left] for c in x))
 
 
 def _cut(buckets: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -74,7 +130,7 @@ def sent_anchors(docs: DataFrame, buckets: int, text_bytes: int = TEXT_BYTES) ->
     names = ["bucket", "d", "h", "owner", "gram", "span", "sure"]
 
     def rows(d: np.ndarray, h: np.ndarray, data: np.ndarray, offsets: np.ndarray, shift: int) -> Iterator[pa.RecordBatch]:
-        x = blocks(data, offsets)
+        x = _searched(blocks(data, offsets), data, offsets)
         if not len(x.first):
             return
         span = (x.first - offsets[x.text] + shift) << 16 | (x.anchor - x.first) << 8 | x.count
@@ -272,16 +328,18 @@ def across_parts(strings: DataFrame) -> DataFrame:
 
 
 def removed(texts: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept) from texts with the spans of repeated strings."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept) from texts with the spans of repeated strings; those that repeat nearby are found here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             out = []
             for text, lists in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
                 spans = np.array(lists or (), np.int64)
-                start = spans >> 16
+                near = nearby_in_text(text)
+                start = np.concatenate([spans >> 16, near[0]])
+                stop = np.concatenate([(spans >> 16) + (spans & 127), near[1]]) + LENGTH - 1
                 order = np.argsort(start, kind="stable")
-                start, stop = start[order], np.maximum.accumulate((start + (spans & 127) + LENGTH - 1)[order])
+                start, stop = start[order], np.maximum.accumulate(stop[order])
                 new = np.ones(len(start), bool)
                 new[1:] = start[1:] > stop[:-1]
                 firsts = start[new].tolist()
@@ -299,7 +357,7 @@ def without_repeats(docs: DataFrame, part: int = PART, text_bytes: int = TEXT_BY
     spark = docs.sparkSession
     small_batches(spark)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    docs = _documents(docs)
+    docs = _documents(docs, tasks)
     found = saved(candidates(sent_anchors(docs, tasks, text_bytes).repartition(tasks, "bucket")))
     hot = saved(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part).select("gram", F.ceil(F.col("n") / part).cast("int").alias("parts")))
     found = found.join(hot, "gram", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
