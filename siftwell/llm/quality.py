@@ -5,7 +5,7 @@ and source a minimum-covariance-determinant fit is made: the half of the documen
 has the least determinant. From several starts (medians and absolute deviations, mean and covariance
 of all, seeded elemental sets) concentration steps move to the mean and covariance of the documents
 with the smallest distances; after BEGIN steps the BEST starts of least determinant go on until no
-step lowers their determinant, and the least one is the fit. Half of a group is the least share
+step lowers any determinant, however many that takes, and the least one is the fit. Half of a group is the least share
 there is, so that a group of copies of up to half a fit can't take it over. Documents beyond a
 chi-square bound by their Mahalanobis distance go.
 
@@ -34,8 +34,8 @@ from .common import WORD, saved
 
 #: Base rules: fewest words, and the largest percentage of words in repeated windows of so many words.
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Steps of a statistic; documents of a fit at least; steps of all starts, starts that go on, and the most steps of these.
-SCALE, LEAST, BEGIN, BEST, STEPS = 256, 20, 2, 2, 12
+#: Steps of a statistic; documents of a fit at least; steps of all starts, and starts that go on.
+SCALE, LEAST, BEGIN, BEST = 256, 20, 2, 2
 #: Elemental sets that starts are made of, and parts that a group's vectors are dealt over.
 DRAWS, PARTS = 3, 16
 #: Standard deviations that a fit never goes below, so that constant statistics reject nothing by a hair.
@@ -214,12 +214,12 @@ def fits(vectors: DataFrame) -> DataFrame:
     for k in range(1, BEGIN + 1):
         fit = _step(vectors, fit)
         fit = saved(_best(fit, BEST) if k == BEGIN else fit)
-    for _ in range(STEPS):
+    moving = True
+    while moving:  # ends, as only lower determinants are taken and floors keep them from falling below a bound
         lower = _step(vectors, fit).select("g", "s", F.struct("det", *FIT).alias("new"))
         both = saved(fit.join(lower, ["g", "s"]).withColumn("moved", F.col("new.det") < F.col("det") * (1 - 1e-9)))
         fit = both.selectExpr("g", "s", *(f"IF(moved, new.{c}, {c}) AS {c}" for c in (*FIT, "det")))
-        if not both.where("moved").limit(1).count():
-            break
+        moving = both.where("moved").limit(1).count() > 0
     return _best(fit, 1).drop("s")
 
 
