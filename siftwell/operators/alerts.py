@@ -107,14 +107,17 @@ def keyed(alerts: DataFrame, behaviours: dict[str, Behaviour] | None = None) ->
         "batch_key": by_category(lambda b: b.batch_key, behaviours),
         "hint": by_category(lambda b: b.hint, behaviours),
     })
-    # the next projection uses _place several times, so Spark computes it once, below
-    return rows.withColumn("loc", location(F.col("_place"))).drop("_place").withColumn("source_location", F.concat("loc.fl", F.lit(":"), "loc.ln"))
+    # let: a filter on loc is pushed below this projection and would repeat _place at each use
+    return rows.withColumn("loc", let(F.col("_place"), location)).drop("_place").withColumn("source_location", F.concat("loc.fl", F.lit(":"), "loc.ln"))
 
 
 def quarantine(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(usable alerts, those without a usable location or a batch key, with the reason)."""
-    unusable = F.col("loc.fl").isNull() | F.col("loc.ln").isNull() | F.col("loc.cl").isNull()
-    reason = F.when(F.col("hint").isNull(), "unknown category").when(F.col("loc").isNull(), "no primary location").when(unusable, "unusable location").when(F.col("batch_key").isNull(), "no batch key")
+
+    def misplaced(loc: Column) -> Column:
+        return F.when(loc.isNull(), "no primary location").when(loc["fl"].isNull() | loc["ln"].isNull() | loc["cl"].isNull(), "unusable location")
+
+    reason = F.coalesce(F.when(F.col("hint").isNull(), "unknown category"), let(F.col("loc"), misplaced), F.when(F.col("batch_key").isNull(), "no batch key"))
     marked = rows.withColumn("problem", reason)
     return marked.where("problem is null").drop("problem"), marked.where("problem is not null")
 
