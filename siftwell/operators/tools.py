@@ -67,18 +67,19 @@ def argument_error(tool: Tool, value: Column) -> Column:
             checks.append(F.when(~there, f"{name} is missing"))
         checks.append(F.when(there & F.try_variant_get(value, f"$.{name}", kind).isNull(), f"{name} is not of type {kind}"))
     known = F.array(*map(F.lit, tool.required | tool.optional))
-    more = F.array_except(F.map_keys(F.from_json(F.to_json(value), "map<string, variant>")), known)
+    more = F.array_except(F.json_object_keys(F.to_json(value)), known)
     return F.coalesce(*checks, F.when(F.size(more) > 0, F.concat(F.lit("unexpected "), F.array_join(F.array_sort(more), ", "))))
 
 
 def typed(calls: DataFrame) -> DataFrame:
     """calls (req_id, tool, arguments: text) with the typed arguments, `error`, and `context`: where the error arose."""
-    rows = calls.withColumn("_value", tolerant_json(F.col("arguments")))
-    value = F.col("_value")
-    is_object = F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
-    wrong = F.lit(None).cast("string")
+    value, is_object, wrong = map(F.col, ("_value", "_object", "_wrong"))
+    problem = F.lit(None).cast("string")
     for name, tool in TOOLS.items():
-        wrong = F.when(F.col("tool") == name, argument_error(tool, value)).otherwise(wrong)
+        problem = F.when(F.col("tool") == name, argument_error(tool, value)).otherwise(problem)
+    # columns of their own, so that each is worked out once
+    rows = calls.withColumn("_value", tolerant_json(F.col("arguments"))).withColumn("_object", F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False)))
+    rows = rows.withColumn("_wrong", F.when(is_object, problem))
     unknown = ~F.coalesce(F.col("tool").isin(list(TOOLS)), F.lit(False))
     error = (
         F.when(~is_object, "invalid tool arguments: not a JSON object")
@@ -91,7 +92,7 @@ def typed(calls: DataFrame) -> DataFrame:
 
 
 def _results(rows: DataFrame, result: Column) -> DataFrame:
-    return rows.select("req_id", result.alias("result"))
+    return rows.select("req_id", "call", result.alias("result"))
 
 
 def _body(rows: DataFrame, missing: Column) -> Column:
@@ -107,7 +108,7 @@ def _paths(calls: DataFrame, facts: Facts) -> DataFrame:
     wanted = rows.where(F.col("text").rlike(SOURCE_LOCATION)).select("req_id", "at.fl", "at.ln", "code")
     moved = lookups.reanchored(wanted, facts.lines).where("anchor is not null").select("req_id.req_id", "req_id.end", F.concat("fl", F.lit(":"), "anchor").alias("place"))
     both = moved.groupBy("req_id").agg(*(F.max(F.when(F.col("end") == end, F.col("place"))).alias(end) for end in ("start", "target")))
-    known = calls.select("req_id").join(both, "req_id", "left")
+    known = calls.select("req_id", "call").join(both, "req_id", "left")
     coded = lookups.path_code(facts.paths.select(F.struct("start", "target").alias("req_id"), "path_no", "event_no", "type", "fl", "ln"), facts.lines)
     coded = coded.select(F.col("req_id.start").alias("start"), F.col("req_id.target").alias("target"), F.to_json("events").alias("events"))
     error = F.when(F.col("start").isNull(), "start code was not found near its line").when(F.col("target").isNull(), "target code was not found near its line")
@@ -115,40 +116,43 @@ def _paths(calls: DataFrame, facts: Facts) -> DataFrame:
 
 
 def results(calls: DataFrame, facts: Facts) -> DataFrame:
-    """(req_id, tool, context, arguments, result: JSON text) of calls (req_id, tool, arguments), with their other columns."""
-    rows = saved(typed(calls))
+    """(req_id, tool, context, arguments, result: JSON text) of calls (req_id, tool, arguments), with their other columns.
+
+    What a call came with goes along as `call`, so that answers, which may be long, need no join with their calls.
+    """
+    others = [c for c in calls.columns if c != "req_id"]
+    rows = saved(typed(calls)).withColumn("call", F.struct(*others, "context"))
     good = rows.where("error is null")
 
     def of(*names: str) -> DataFrame:
         return good.where(F.col("tool").isin(*names))
 
     # every place that is named by a file: one resolution for the three tools that resolve
-    place = parse_location(F.col("source_location"))
-    named = of("dump_source_snippet", "dump_source_line", "find_current_function").select("req_id", "tool", "start_line", "end_line", F.coalesce(place["fl"], "file_name").alias("name"), F.coalesce(place["ln"], "line_number").alias("ln"))
+    place, null = parse_location(F.col("source_location")), F.lit(None).cast("string")
+    named = of("dump_source_snippet", "dump_source_line", "find_current_function").select("req_id", "call", "tool", "start_line", "end_line", F.coalesce(place["fl"], "file_name").alias("name"), F.coalesce(place["ln"], "line_number").alias("ln"))
     resolved = saved(lookups.resolve_paths(named, facts.files))
     # functions around places
-    direct = of("find_callee").select("req_id", "tool", place["fl"].alias("file"), place["ln"].alias("ln"))
-    around = resolved.where("tool = 'find_current_function'").select("req_id", "tool", "file", "ln").unionByName(direct)
-    functions = lookups.current_function(around, facts.functions)
-    # ranges of lines
-    ranges = resolved.where("tool = 'dump_source_snippet'").select("req_id", "tool", "file", "start_line", "end_line", F.lit(None).cast("string").alias("function_name"))
-    texts = lookups.snippets(ranges.unionByName(functions.select("req_id", "tool", "file", "start_line", "end_line", "function_name")), facts.lines)
-    ranged = F.when(F.col("tool") == "dump_source_snippet", json_string(F.col("snippet"))).otherwise(_body(texts, F.lit("no function at this location")))
-    single = lookups.source_lines_of(resolved.where("tool = 'dump_source_line'").select("req_id", F.col("file").alias("fl"), "ln"), facts.lines)
-    line = F.when(F.col("fl").isNull(), failures.NO_FILE).otherwise(F.col("line_text"))
-    bodies = lookups.function_bodies(of("find_function_body").select("req_id", F.col("function_name").alias("name")), facts.functions, facts.lines)
-    bodies = bodies.withColumn("function_name", F.when(F.col("error").isNull(), F.col("resolved_name")))
-    asked = of("find_callers").select("req_id", F.col("function_name").alias("callee"))
-    sites = lookups.callers(asked, facts.call_sites, facts.lines)
-    site = F.to_json(F.struct(F.concat("fl", F.lit(":"), "ln").alias("location"), "code"))
-    nobody = asked.join(facts.call_sites.select("callee").distinct(), "callee", "left_anti")
+    direct = of("find_callee").select("req_id", "call", "tool", place["fl"].alias("file"), place["ln"].alias("ln"))
+    around = resolved.where("tool = 'find_current_function'").select("req_id", "call", "tool", "file", "ln").unionByName(direct)
+    # ranges of lines: those asked for, of functions around places, and of functions by name
+    columns = ("req_id", "call", "tool", "file", "start_line", "end_line", "function_name", "error")
+    ranges = resolved.where("tool = 'dump_source_snippet'").withColumns({"function_name": null, "error": null}).select(*columns)
+    functions = lookups.current_function(around, facts.functions).withColumn("error", F.lit("no function at this location")).select(*columns)
+    bodies = lookups.found_functions(of("find_function_body").select("req_id", "call", "tool", F.col("function_name").alias("name")), facts.functions)
+    bodies = bodies.withColumn("function_name", F.when(F.col("error").isNull(), F.col("resolved_name"))).select(*columns)
+    texts = lookups.snippets(ranges.unionByName(functions).unionByName(bodies), facts.lines)
+    ranged = F.when(F.col("tool") == "dump_source_snippet", json_string(F.col("snippet"))).otherwise(_body(texts, F.col("error")))
+    # single lines: those asked for, and of call sites
+    single = resolved.where("tool = 'dump_source_line'").select("req_id", "call", "tool", F.col("file").alias("fl"), "ln", F.lit(False).alias("site"))
+    asked = of("find_callers").select("req_id", "call", "tool", F.col("function_name").alias("callee"))
+    sites = asked.join(facts.call_sites.select("callee", "fl", "ln", F.lit(True).alias("site")), "callee", "left").select(*single.columns)
+    lines = lookups.source_lines_of(single.unionByName(sites), facts.lines)
+    site = F.to_json(F.struct(F.concat("fl", F.lit(":"), "ln").alias("location"), F.col("line_text").alias("code")))
+    line = json_string(F.when(F.col("fl").isNull(), failures.NO_FILE).otherwise(F.col("line_text")))
     shape = ledger.conclusion_error(F.col("alert_ids"), F.col("classification"), F.col("reason"))
     parts = [
         _results(texts, ranged),
-        _results(single, json_string(line)),
-        _results(bodies, _body(bodies, F.col("error"))),
-        _results(sites, site),
-        _results(nobody, F.lit("[]")),
+        _results(lines, F.when(F.col("tool") == "dump_source_line", line).when(F.col("site"), site).otherwise("[]")),
         _paths(of("get_path_cond_func_"), facts),
         _results(of("set_conclusion"), F.when(shape.isNotNull(), _error(shape)).otherwise(F.to_json(F.struct(F.col("alert_ids").alias("received"))))),
         _results(rows.where("error is not null"), _error(F.col("error"))),
@@ -156,7 +160,7 @@ def results(calls: DataFrame, facts: Facts) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return rows.select(*calls.columns, "context").join(out, "req_id", "left")
+    return out.select(*(F.col("req_id" if c == "req_id" else f"call.{c}") for c in calls.columns), "call.context", "result")
 
 
 def failed(answered: DataFrame) -> DataFrame:

@@ -65,3 +65,12 @@ def test_calls_that_cannot_run(spark):
 def test_failures_are_those_of_the_log(spark):
     rows = spark.createDataFrame([(0, "dump_source_line", '{"file_name":"a.c","line_number":77}'), (1, "dump_source_line", '{"file_name":"a.c","line_number":1}'), (2, "x", "{}")], "req_id int, tool string, arguments string")
     assert {(r.req_id, r.failure_kind, r.context) for r in tools.failed(tools.results(rows, facts(spark))).collect()} == {(0, "invalid_line", "batch"), (2, "error_dict", "unknown_tool")}
+
+
+def test_answers_are_not_shuffled_again(spark):
+    """Answers, which may be long, come straight from what found them; lines meet single places once and ranges once; other columns stay."""
+    rows = spark.createDataFrame([(0, "dump_source_line", '{"file_name":"a.c","line_number":2}', "p"), (1, "find_callers", '{"function_name":"g"}', "q"), (2, "find_function_body", '{"function_name":"f"}', "r")], "req_id int, tool string, arguments string, origin string")
+    out = tools.results(rows, facts(spark))
+    assert out.columns == ["req_id", "tool", "arguments", "origin", "context", "result"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+    assert sorted((r.req_id, r.tool, r.origin, json.loads(r.arguments)) for r in out.collect()) == [(0, "dump_source_line", "p", {"file_name": "a.c", "line_number": 2}), *[(1, "find_callers", "q", {"function_name": "g"})] * 2, (2, "find_function_body", "r", {"function_name": "f"})]
