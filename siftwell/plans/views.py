@@ -125,8 +125,8 @@ def path_events(spark: SparkSession, d: str) -> DataFrame:
     """Line items as events: a request per order, a path per flag pair."""
     n = table(spark, d, "documents").count()
     order = W.partitionBy("l_orderkey", "l_returnflag", "l_linestatus").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_tax")
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", F.row_number().over(order).alias("event_no"))
-    return rows.select(F.col("l_orderkey").alias("req_id"), F.concat("l_returnflag", "l_linestatus").alias("path_no"), "event_no", F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("condition").alias("type"), documents_of(F.col("l_partkey"), n), F.col("l_linenumber").cast("int").alias("ln"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey", F.row_number().over(order).alias("event_no"), F.count(F.lit(1)).over(W.partitionBy("l_orderkey", "l_returnflag", "l_linestatus")).alias("n_events"))
+    return rows.select(F.col("l_orderkey").alias("req_id"), F.concat("l_returnflag", "l_linestatus").alias("path_no"), "event_no", "n_events", F.when(F.col("l_linenumber") % 2 == 0, "call").otherwise("condition").alias("type"), documents_of(F.col("l_partkey"), n), F.col("l_linenumber").cast("int").alias("ln"))
 
 
 def with_file(rows: DataFrame, spark: SparkSession, d: str, name: str = "fl") -> DataFrame:

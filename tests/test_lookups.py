@@ -147,3 +147,15 @@ def test_innermost_functions_by_a_sweep(spark):
     nested = [(f"f{i}", i, 40_000 - i) for i in range(10_000)]
     start = time.perf_counter()
     assert list(lookups.innermost(nested))[9_999] == (9_999, 30_001, "f9999", 9_999, 30_001) and time.perf_counter() - start < 2
+
+
+def test_paths_of_one_event_stay_with_their_line(spark):
+    """Lines of one-event paths aren't gathered; sizes counted here or given make no difference, unknown files neither."""
+    rows = [(1, "a", 1, "call", "a.c", 4), (1, "b", 2, "call", "a.c", 1), (1, "b", 1, "condition", None, 3), (2, "a", 1, "call", "a.c", 9), (2, "b", 3, "call", "a.c", 3), (2, "b", 1, "call", "a.c", 3)]
+    events = spark.createDataFrame(rows, "req_id int, path_no string, event_no int, type string, fl string, ln int")
+    none = "The line number is invalid or out of range for the file."
+    want = {(1, "a"): [(1, "call", "a.c:4", "three")], (1, "b"): [(1, "condition", None, none), (2, "call", "a.c:1", "one")], (2, "a"): [(1, "call", "a.c:9", none)], (2, "b"): [(1, "call", "a.c:3", "two(x)"), (3, "call", "a.c:3", "two(x)")]}
+    for given in (events, events.withColumn("n_events", F.when(F.col("path_no") == "a", 1).otherwise(2))):
+        found = lookups.path_code(given, lines(spark))
+        assert found.columns == ["req_id", "path_no", "events"] and {(r.req_id, r.path_no): [tuple(e) for e in r.events] for r in found.collect()} == want
+        assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
