@@ -2,7 +2,7 @@
 
 Arguments are read tolerantly, checked against the tool's own fields and typed, once for all calls.
 Then each kind of lookup runs once for all tools that need it: names of files are resolved together,
-places find their functions together, and ranges of lines are read together. A call that can't run
+places find their functions together, and all lines meet the same blocks of their files. A call that can't run
 gives an error of its own instead of ending the job. Callers and paths give a row each, since there
 is no bound on how many a name has; every other call gives one row.
 """
@@ -95,24 +95,35 @@ def _results(rows: DataFrame, result: Column) -> DataFrame:
     return rows.select("req_id", "call", result.alias("result"))
 
 
-def _body(rows: DataFrame, missing: Column) -> Column:
+def _body(snippet: Column, missing: Column) -> Column:
     """The JSON of a function with its text, or the error."""
-    found = F.to_json(F.struct("function_name", F.col("file").alias("filename"), "start_line", "end_line", F.col("snippet").alias("function_body")))
+    found = F.to_json(F.struct("function_name", F.col("file").alias("filename"), "start_line", "end_line", snippet.alias("function_body")))
     return F.when(F.col("function_name").isNull(), _error(missing)).otherwise(found)
 
 
-def _paths(calls: DataFrame, facts: Facts) -> DataFrame:
-    """Paths between two places, each of which moves to the line that holds its code."""
+def _event(event_no: Column, kind: Column, fl: Column, ln: Column, text: Column) -> Column:
+    return F.struct(event_no.alias("event_no"), kind.alias("type"), F.concat(fl, F.lit(":"), ln).alias("location"), lookups.line_shown(text).alias("code"))
+
+
+def _between(calls: DataFrame, facts: Facts) -> tuple[DataFrame, DataFrame]:
+    """Paths between two places, each of which moves to the line that holds its code: calls with a path within one block of lines, or with none or an error; and with the answer of longer paths.
+
+    Events are gathered without their texts. Those of one block find them where a call's lines do; only the texts of longer paths are sent on to meet.
+    """
     ends = F.explode(F.array(*(F.struct(F.lit(end).alias("end"), F.col(end).alias("text"), F.col(f"{end}_code").alias("code")) for end in ("start", "target"))))
     rows = calls.select("req_id", ends.alias("e")).select(F.struct("req_id", "e.end").alias("req_id"), "e.text", "e.code", parse_location(F.col("e.text")).alias("at"))
     wanted = rows.where(F.col("text").rlike(SOURCE_LOCATION)).select("req_id", "at.fl", "at.ln", "code")
     moved = lookups.reanchored(wanted, facts.lines).where("anchor is not null").select("req_id.req_id", "req_id.end", F.concat("fl", F.lit(":"), "anchor").alias("place"))
     both = moved.groupBy("req_id").agg(*(F.max(F.when(F.col("end") == end, F.col("place"))).alias(end) for end in ("start", "target")))
     known = calls.select("req_id", "call").join(both, "req_id", "left")
-    coded = lookups.path_code(facts.paths.select(F.struct("start", "target").alias("req_id"), "path_no", "event_no", "type", "fl", "ln"), facts.lines)
-    coded = coded.select(F.col("req_id.start").alias("start"), F.col("req_id.target").alias("target"), F.to_json("events").alias("events"))
+    paths = lookups.path_extents(facts.paths)
     error = F.when(F.col("start").isNull(), "start code was not found near its line").when(F.col("target").isNull(), "target code was not found near its line")
-    return _results(known.join(coded, ["start", "target"], "left"), F.when(error.isNotNull(), _error(error)).otherwise(F.coalesce("events", F.lit("[]"))))
+    near = known.join(paths, ["start", "target"], "left").where("far is null or not far").select("req_id", "call", "file", "start_line", "end_line", "events", error.alias("error"))
+    events = paths.where("far").select("start", "target", "path_no", F.explode("events").alias("e")).select("start", "target", "path_no", "e.*", F.col("e.fl").alias("file"), F.col("e.ln").alias("start_line"), F.col("e.ln").alias("end_line"))
+    event = _event(*map(F.col, ("event_no", "type", "fl", "ln")), F.get("found", F.lit(0))["text"])
+    coded = lookups.lines_in_block(events, facts.lines).select("start", "target", "path_no", event.alias("event")).repartition("start", "target")
+    coded = coded.groupBy("start", "target", "path_no").agg(F.to_json(F.array_sort(F.collect_list("event"))).alias("events"))
+    return near, _results(known.join(coded, ["start", "target"]), F.col("events"))
 
 
 def results(calls: DataFrame, facts: Facts) -> DataFrame:
@@ -132,28 +143,43 @@ def results(calls: DataFrame, facts: Facts) -> DataFrame:
     named = of("dump_source_snippet", "dump_source_line", "find_current_function").select("req_id", "call", "tool", "start_line", "end_line", F.coalesce(place["fl"], "file_name").alias("name"), F.coalesce(place["ln"], "line_number").alias("ln"))
     resolved = saved(lookups.resolve_paths(named, facts.files))
     # functions around places
-    direct = of("find_callee").select("req_id", "call", "tool", place["fl"].alias("file"), place["ln"].alias("ln"))
-    around = resolved.where("tool = 'find_current_function'").select("req_id", "call", "tool", "file", "ln").unionByName(direct)
+    direct = of("find_callee").select("req_id", "call", place["fl"].alias("file"), place["ln"].alias("ln"))
+    around = resolved.where("tool = 'find_current_function'").select("req_id", "call", "file", "ln").unionByName(direct)
     # ranges of lines: those asked for, of functions around places, and of functions by name
-    columns = ("req_id", "call", "tool", "file", "start_line", "end_line", "function_name", "error")
+    columns = ("req_id", "call", "file", "start_line", "end_line", "function_name", "error")
     ranges = resolved.where("tool = 'dump_source_snippet'").withColumns({"function_name": null, "error": null}).select(*columns)
     functions = lookups.current_function(around, facts.functions).withColumn("error", F.lit("no function at this location")).select(*columns)
-    bodies = lookups.found_functions(of("find_function_body").select("req_id", "call", "tool", F.col("function_name").alias("name")), facts.functions)
+    bodies = lookups.found_functions(of("find_function_body").select("req_id", "call", F.col("function_name").alias("name")), facts.functions)
     bodies = bodies.withColumn("function_name", F.when(F.col("error").isNull(), F.col("resolved_name"))).select(*columns)
-    texts = lookups.snippets(ranges.unionByName(functions).unionByName(bodies), facts.lines)
-    ranged = F.when(F.col("tool") == "dump_source_snippet", json_string(F.col("snippet"))).otherwise(_body(texts, F.col("error")))
-    # single lines: those asked for, and of call sites
-    single = resolved.where("tool = 'dump_source_line'").select("req_id", "call", "tool", F.col("file").alias("fl"), "ln", F.lit(False).alias("site"))
-    asked = of("find_callers").select("req_id", "call", "tool", F.col("function_name").alias("callee"))
-    sites = asked.join(facts.call_sites.select("callee", "fl", "ln", F.lit(True).alias("site")), "callee", "left").select(*single.columns)
-    lines = lookups.source_lines_of(single.unionByName(sites), facts.lines)
-    site = F.to_json(F.struct(F.concat("fl", F.lit(":"), "ln").alias("location"), F.col("line_text").alias("code")))
-    line = json_string(F.when(F.col("fl").isNull(), failures.NO_FILE).otherwise(F.col("line_text")))
+    texts = saved(ranges.unionByName(functions).unionByName(bodies))
+    # single lines: those asked for, and of call sites; only sites of names that are asked for are sent on
+    single = resolved.where("tool = 'dump_source_line'").select("req_id", "call", "file", F.col("ln").alias("start_line"), F.col("ln").alias("end_line"))
+    asked = of("find_callers").select("req_id", "call", F.col("function_name").alias("callee"))
+    called = facts.call_sites.join(saved(asked.select("callee").distinct()), "callee", "left_semi")
+    sites = asked.join(called.select("callee", F.col("fl").alias("file"), F.col("ln").alias("start_line"), F.col("ln").alias("end_line"), F.lit(True).alias("site")), "callee", "left").drop("callee")
+    near, far = _between(of("get_path_cond_func_"), facts)
+    # all that lies in one block of lines meets it at once, and is answered there
+    short = texts.where(~lookups.crosses_blocks())
+    for more in (single, sites, near):
+        short = short.unionByName(more, allowMissingColumns=True)
+    tool, file, found = F.col("call.tool"), F.col("file"), F.col("found")
+    text = F.get(found, F.lit(0))["text"]
+    snippet = lookups.snippet_of(file, found)
+    line = json_string(F.when(file.isNull(), failures.NO_FILE).otherwise(lookups.line_shown(text)))
+    site = F.to_json(F.struct(F.concat("file", F.lit(":"), "start_line").alias("location"), lookups.line_shown(text).alias("code")))
+    events = F.array_sort(F.transform("events", lambda e: _event(e["event_no"], e["type"], e["fl"], e["ln"], F.get(F.filter(found, lambda x: x["ln"] == e["ln"]), F.lit(0))["text"])))
+    ranged = F.when(tool == "dump_source_snippet", json_string(snippet)).otherwise(_body(snippet, F.col("error")))
+    answer = (
+        F.when(tool == "dump_source_line", line)
+        .when(tool == "find_callers", F.when(F.col("site"), site).otherwise("[]"))
+        .when(tool == "get_path_cond_func_", F.when(F.col("error").isNotNull(), _error(F.col("error"))).otherwise(F.coalesce(F.to_json(events), F.lit("[]"))))
+        .otherwise(ranged)
+    )
     shape = ledger.conclusion_error(F.col("alert_ids"), F.col("classification"), F.col("reason"))
     parts = [
-        _results(texts, ranged),
-        _results(lines, F.when(F.col("tool") == "dump_source_line", line).when(F.col("site"), site).otherwise("[]")),
-        _paths(of("get_path_cond_func_"), facts),
+        _results(lookups.lines_in_block(short, facts.lines), answer),
+        _results(lookups.lines_across_blocks(texts.where(lookups.crosses_blocks()), facts.lines), ranged),
+        far,
         _results(of("set_conclusion"), F.when(shape.isNotNull(), _error(shape)).otherwise(F.to_json(F.struct(F.col("alert_ids").alias("received"))))),
         _results(rows.where("error is not null"), _error(F.col("error"))),
     ]

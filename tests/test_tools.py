@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import functions as F
+
 from siftwell.operators import tools
 
 
@@ -74,3 +76,59 @@ def test_answers_are_not_shuffled_again(spark):
     assert out.columns == ["req_id", "tool", "arguments", "origin", "context", "result"]
     assert out._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
     assert sorted((r.req_id, r.tool, r.origin, json.loads(r.arguments)) for r in out.collect()) == [(0, "dump_source_line", "p", {"file_name": "a.c", "line_number": 2}), *[(1, "find_callers", "q", {"function_name": "g"})] * 2, (2, "find_function_body", "r", {"function_name": "f"})]
+
+
+def test_lines_meet_all_tools_once(spark):
+    """Texts of lines are read and sent once for ranges, single lines, anchors and paths; of call sites, only those of names that are asked for."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(value):
+        read.add(1)
+        return value
+
+    lines = spark.createDataFrame([("a.c", n, f"line {n}") for n in range(1, 51)], "file string, ln int, text string").withColumn("text", counted("text"))
+    sites = spark.createDataFrame([("f", "g", "a.c", 2), ("f", "g", "a.c", 3), ("f", "h", "a.c", 4)], "caller string, callee string, fl string, ln int")
+    functions = spark.createDataFrame([("f", "a.c", 1, 3)], "function_name string, filename string, start_line int, end_line int")
+    paths = spark.createDataFrame([("a.c:1", "a.c:2", 1, n, "call", "a.c", n) for n in (1, 2)], "start string, target string, path_no int, event_no int, type string, fl string, ln int")
+    given = tools.Facts(spark.createDataFrame([("a.c",)], "path string"), lines, functions, sites, paths)
+    calls = [
+        ("dump_source_snippet", {"file_name": "a.c", "start_line": 4, "end_line": 5}), ("dump_source_line", {"file_name": "a.c", "line_number": 6}), ("find_callers", {"function_name": "g"}),
+        ("find_function_body", {"function_name": "f"}), ("get_path_cond_func_", {"start": "a.c:1", "start_code": "1", "target": "a.c:2", "target_code": "2"}),
+    ]
+    rows = spark.createDataFrame([(i, t, json.dumps(a)) for i, (t, a) in enumerate(calls)], "req_id int, tool string, arguments string")
+    out = tools.results(rows, given)
+    got = sorted((r.req_id, r.result) for r in out.collect())
+    assert len(got) == 6 and [json.loads(v) for i, v in got if i < 2] == ["line 4\nline 5", "line 6"] and [e["code"] for e in json.loads(got[-1][1])] == ["line 1", "line 2"]
+    assert read.value == 50 and "Join LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ranges_and_paths_across_blocks(spark):
+    """Ranges and paths within a block, over several and over files, with places that aren't there; ends far beyond the file; paths asked twice and paths of one pair."""
+    lines = spark.createDataFrame([(f, n, f" {f} {n} ") for f in ("a.c", "b.c") for n in range(1, 301)], "file string, ln int, text string")
+    events = [(1, [("a.c", 3), ("a.c", 1)]), (2, [("a.c", 63), ("a.c", 64)]), (3, [("a.c", 5), ("b.c", 5)]), (4, [("b.c", 200)]), (5, [(None, 5), ("b.c", 5)]), (6, [("b.c", None)]), (7, [("b.c", 300), ("b.c", 301)])]
+    paths = [("a.c:1", "b.c:2", p, e, "call", fl, ln) for p, places in events for e, (fl, ln) in enumerate(places)] + [("a.c:9", "a.c:8", 1, 1, "call", "gone.c", 1)]
+    given = tools.Facts(
+        spark.createDataFrame([("a.c",), ("b.c",)], "path string"), lines, spark.createDataFrame([("long", "b.c", 60, 260)], "function_name string, filename string, start_line int, end_line int"),
+        spark.createDataFrame([], "caller string, callee string, fl string, ln int"), spark.createDataFrame(paths, "start string, target string, path_no int, event_no int, type string, fl string, ln int"),
+    )
+    asked = {"start": "a.c:1", "start_code": "a.c 1", "target": "b.c:2", "target_code": "b.c 2"}
+    ranges = [(1, 64), (63, 64), (64, 64), (128, 2**31 - 1), (-(2**31), 2), (300, 400), (301, 2**31 - 1), (9, 3)]
+    calls = [("get_path_cond_func_", asked), ("get_path_cond_func_", asked), ("get_path_cond_func_", {"start": "a.c:9", "start_code": "", "target": "a.c:8", "target_code": ""}), ("get_path_cond_func_", {**asked, "target": "b.c:90", "target_code": "b.c 90"}), ("find_function_body", {"function_name": "long"})]
+    calls += [("dump_source_snippet", {"file_name": "a.c", "start_line": s, "end_line": e}) for s, e in ranges]
+    rows = spark.createDataFrame([(i, t, json.dumps(a)) for i, (t, a) in enumerate(calls)], "req_id int, tool string, arguments string")
+    got = {}
+    for r in tools.results(rows, given).collect():
+        got.setdefault(r.req_id, []).append(r.result)
+    none = "The line number is invalid or out of range for the file."
+
+    def event(e, fl, ln):
+        place = {} if None in (fl, ln) else {"location": f"{fl}:{ln}"}
+        return {"event_no": e, "type": "call", **place, "code": f"{fl} {ln}" if place and fl != "gone.c" and ln <= 300 else none}
+
+    want = sorted(json.dumps([event(e, *p) for e, p in enumerate(places)]) for _, places in events)
+    assert sorted(json.dumps(json.loads(r)) for r in got[0]) == want and sorted(got[0]) == sorted(got[1])
+    assert [json.loads(r) for r in got[2]] == [[event(1, "gone.c", 1)]] and got[3] == ["[]"]
+    text = lambda f, s, e: "\n".join(f" {f} {n} " for n in range(max(s, 1), min(e, 300) + 1))
+    assert [json.loads(r)["function_body"] for r in got[4]] == [text("b.c", 60, 260)]
+    assert [[json.loads(r) for r in got[5 + i]] for i in range(len(ranges))] == [[text("a.c", s, e)] for s, e in ranges]
