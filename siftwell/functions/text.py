@@ -85,16 +85,21 @@ def strip_false_error(error: Column) -> Column:
 def tolerant_json(text: Column) -> Column:
     """A variant from text that is nearly JSON: as is, then repaired step by step; an empty object from no text, null if nothing helps."""
     # fixed values: the order of the repairs, and the patterns that say what they take away
+
+    def unquoted(clean: Column) -> Column:
+        quotes = F.char_length(clean) - F.char_length(F.replace(clean, F.lit('"')))
+        return F.when((quotes % 2 == 1) & clean.endswith('"'), clean.substr(F.lit(1), F.char_length(clean) - 1)).otherwise(clean)
+
+    def repaired(clean: Column) -> Column:
+        single = F.when(clean.contains("'") & ~clean.contains('"'), F.replace(clean, F.lit("'"), F.lit('"')))
+        commas = F.regexp_replace(clean, r",\s*(\]|\})", "$1")
+        inner = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
+        return F.coalesce(*map(F.try_parse_json, (single, commas, F.nullif(inner, F.lit("")))))
+
     text = F.coalesce(text, F.lit(""))
-    ticks = stripped(text)
-    clean = F.when(ticks.rlike(r"(?s)^`.*`$") & (F.char_length(ticks) > 1), stripped(ticks.substr(F.lit(2), F.char_length(ticks) - 2))).otherwise(ticks)
-    quotes = F.char_length(clean) - F.char_length(F.replace(clean, F.lit('"')))
-    clean = F.when((quotes % 2 == 1) & clean.endswith('"'), clean.substr(F.lit(1), F.char_length(clean) - 1)).otherwise(clean)
-    single = F.when(clean.contains("'") & ~clean.contains('"'), F.replace(clean, F.lit("'"), F.lit('"')))
-    commas = F.regexp_replace(clean, r",\s*(\]|\})", "$1")
-    inner = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
-    tries = [F.when(text == "", F.lit("{}")).otherwise(text), single, commas, F.nullif(inner, F.lit(""))]
-    return F.coalesce(*(F.try_parse_json(t) for t in tries))
+    clean = let(stripped(text), lambda t: F.when(t.startswith("`") & t.endswith("`") & (F.char_length(t) > 1), stripped(t.substr(F.lit(2), F.char_length(t) - 2))).otherwise(t))
+    # each step once, and only where the text as it is can't be parsed
+    return F.coalesce(F.try_parse_json(F.when(text == "", F.lit("{}")).otherwise(text)), let(let(clean, unquoted), repaired))
 
 
 def call_names(line: Column) -> Column:

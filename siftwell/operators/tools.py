@@ -67,12 +67,12 @@ def argument_error(tool: Tool, value: Column) -> Column:
             checks.append(F.when(~there, f"{name} is missing"))
         checks.append(F.when(there & F.try_variant_get(value, f"$.{name}", kind).isNull(), f"{name} is not of type {kind}"))
     known = F.array(*map(F.lit, tool.required | tool.optional))
-    more = F.array_except(F.json_object_keys(F.to_json(value)), known)
+    more = F.array_except(F.map_keys(F.try_variant_get(value, "$", "map<string, variant>")), known)
     return F.coalesce(*checks, F.when(F.size(more) > 0, F.concat(F.lit("unexpected "), F.array_join(F.array_sort(more), ", "))))
 
 
 def typed(calls: DataFrame) -> DataFrame:
-    """calls (req_id, tool, arguments: text) with the typed arguments, `error`, and `context`: where the error arose."""
+    """calls (req_id, tool, arguments: text) with the typed arguments of their tool, `error`, and `context`: where the error arose."""
     value, is_object, wrong = map(F.col, ("_value", "_object", "_wrong"))
     problem = F.lit(None).cast("string")
     for name, tool in TOOLS.items():
@@ -87,7 +87,8 @@ def typed(calls: DataFrame) -> DataFrame:
         .when(wrong.isNotNull(), F.concat(F.lit("invalid tool arguments: "), wrong))
     )
     context = F.when(~is_object | (~unknown & wrong.isNotNull()), "parse_arguments").when(unknown, "unknown_tool").otherwise("batch")
-    values = [F.try_variant_get(value, f"$.{name}", kind).alias(name) for name, kind in ARGUMENTS.items()]
+    owners = {name: [t for t, tool in TOOLS.items() if name in tool.required | tool.optional] for name in ARGUMENTS}
+    values = [F.when(F.col("tool").isin(owners[name]), F.try_variant_get(value, f"$.{name}", kind)).alias(name) for name, kind in ARGUMENTS.items()]
     return rows.select(*calls.columns, error.alias("error"), context.alias("context"), *values)
 
 

@@ -132,3 +132,12 @@ def test_ranges_and_paths_across_blocks(spark):
     text = lambda f, s, e: "\n".join(f" {f} {n} " for n in range(max(s, 1), min(e, 300) + 1))
     assert [json.loads(r)["function_body"] for r in got[4]] == [text("b.c", 60, 260)]
     assert [[json.loads(r) for r in got[5 + i]] for i in range(len(ranges))] == [[text("a.c", s, e)] for s, e in ranges]
+
+
+def test_arguments_are_typed_for_their_tool_alone(spark):
+    """Values are read where the tool has such an argument; a value of another tool's name is an error of its own."""
+    text = '{"function_name":"g","file_name":"a.c"}'
+    rows = tools.typed(spark.createDataFrame([(0, "find_callers", '{"function_name":"g"}'), (1, "find_callers", text), (2, "find_current_function", '`{"file_name":"a.c","line_number":"2",}`'), (3, "find_callers", '{"function_name":"g","file_name":null}')], "req_id int, tool string, arguments string"))
+    got = {r.req_id: (r.error, r.function_name, r.file_name, r.line_number) for r in rows.collect()}
+    assert got[0] == (None, "g", None, None) and got[2] == (None, None, "a.c", 2)
+    assert {got[i] for i in (1, 3)} == {("invalid tool arguments: unexpected file_name", "g", None, None)}
